@@ -32,7 +32,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     salted = rows.groupBy("d", "x", "s", "content").agg(F.min("id").alias("k"), F.count(F.lit(1)).alias("n"))
     winners = salted.groupBy("d", "x", "content").agg(F.min("k").alias("keep_id"), F.sum("n").alias("group_size"))
-    back = salted.select("d", "x", "s").join(winners.select("d", "x", "keep_id", "group_size"), ["d", "x"])
+    back = rows.select("d", "x", "s").distinct().join(winners.select("d", "x", "keep_id", "group_size"), ["d", "x"])
     out = rows.drop("content").join(back, ["d", "x", "s"])
     return out.select(
         F.col("id").alias("doc_id"),
