@@ -43,10 +43,10 @@ _RARE_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the
 class WordEncoder:
     """Encodes texts word by word with a memo; exact for tokenizers that never join across white space."""
 
-    def __init__(self, path: str):
+    def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok = Tokenizer.from_str(definition)
         self.memo: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -68,8 +68,11 @@ class WordEncoder:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: documents longer than ``capacity`` are cut, the rest stay whole."""
 
+    with open(tokenizer, encoding="utf-8") as f:  # read once, where the driver runs; its size does not depend on any data
+        definition = docs.sparkSession.sparkContext.broadcast(f.read())
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = WordEncoder(tokenizer)
+        enc = WordEncoder(definition.value)
         end = np.asarray([END_ID], dtype="<u4").tobytes()
         for pdf in batches:
             out = []

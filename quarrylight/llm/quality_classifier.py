@@ -172,14 +172,12 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     sums = _sums(train, fourier)
     full = _solve(sums.sum(axis=0), ridge)
     without = np.stack([_solve(sums.sum(axis=0) - sums[i], ridge) if sums.sum(axis=0)[-2, -2] > sums[i][-2, -2] else full for i in range(4)])
-    sc = docs.sparkSession.sparkContext
-    model = sc.broadcast((fourier, full, without))
 
     def to_bin(raw: np.ndarray) -> np.ndarray:
         return np.clip(((raw + 0.5) / 2 * n_bins).astype(int), 0, n_bins - 1)
 
     def left_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f, _, w = model.value
+        f, w = fourier, without
         n, pos = np.zeros(n_bins), np.zeros(n_bins)
         for pdf in batches:
             if len(pdf):
@@ -192,14 +190,12 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     curve = train.mapInPandas(left_out, "b int, n double, pos double").groupBy("b").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).toPandas().sort_values("b")
     mid = (curve["b"].to_numpy() + 0.5) / n_bins * 2 - 0.5
     level = isotonic(curve["n"].to_numpy(), curve["pos"].to_numpy() / curve["n"].to_numpy())
-    cal = sc.broadcast((mid, np.clip(level, 0, 1)))
+    level = np.clip(level, 0, 1)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f, w, _ = model.value
-        xs, ys = cal.value
         for pdf in batches:
-            raw = f(np.stack(pdf["x"])) @ w if len(pdf) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "raw_score": raw, "score": np.interp(raw, xs, ys)})
+            raw = fourier(np.stack(pdf["x"])) @ full if len(pdf) else np.zeros(0)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "raw_score": raw, "score": np.interp(raw, mid, level)})
 
     out = stats.mapInPandas(score, "doc_id long, raw_score double, score double")
     return out.select("doc_id", held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "raw_score")

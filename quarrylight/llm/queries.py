@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, packing, quality_classifier, quality_rules, suffix_dedup, warc
-from .common import shared_dir, stage, text_of
+from . import chat_format, exact_dedup, html_extract, minhash_join, packing, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, warc
+from .common import shared_dir, text_of
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -41,6 +41,13 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_records(chat_format.records_of_turns(rows)))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every text, then decode the ids: doc_id, n_ids, ids_crc32, and digest and length of the decoded text."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    back = sentencepiece_codec.decode(sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), model), model)
+    return back.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"), F.length("text").cast("long").alias("decoded_chars"))
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
@@ -53,6 +60,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -65,9 +76,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op4_chat_format": op4_chat_format,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_html_extract": op6_html_extract,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_minhash_join": op9_minhash_join,
     "op10_warc": op10_warc,
 }
 

@@ -330,8 +330,8 @@ def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["rid", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text: what is left, without cut characters)."""
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text: what is left, without cut characters; input columns ``carry`` as in_<name>)."""
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = text_of(text_col)
     src = docs.select(F.xxhash64(F.col(id_col), t).alias("rid"), t.alias("t"))
@@ -357,9 +357,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cut = stage(cut, "cut").dropDuplicates(["rid"])
     extra = [F.when(F.col("rid_").isNull(), F.col("t")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), t).alias("rid"), F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t, 256).alias("whole"), *([t.alias("t")] if with_text else [])
+        F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), t).alias("rid"), F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t, 256).alias("whole"), *([t.alias("t")] if with_text else []), *[F.col(c).alias(f"in_{c}") for c in carry]
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return rows.join(cut.withColumn("rid_", F.col("rid")), "rid", "left").select(
-        "doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), *extra
+        "doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), *extra, *[f"in_{c}" for c in carry]
     )
