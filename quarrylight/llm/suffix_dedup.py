@@ -38,7 +38,7 @@ from .common import stage, text_of
 
 LENGTH = 400
 GRAM = 128
-SYMBOL = 40
+SYMBOL = 80
 MAX_RUN = 4096
 HOT_RUNS = 4096
 BATCH_BYTES = 160_000
