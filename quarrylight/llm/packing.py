@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -35,13 +37,15 @@ from .common import stage, text_of
 CAPACITY = 4096
 END_ID = 1
 #: Words kept with their ids in a worker; the memo starts anew when full, so memory is bounded.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_200_000
 
 _RARE_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
+_TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
-    """Encodes texts word by word with a memo; exact for tokenizers that never join across white space."""
+    """Encodes texts word by word with a memo; exact for tokenizers that lower-case, split at white space
+    and take runs of letters and runs of marks apart, as ``word_bpe_49k.json`` does."""
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -49,18 +53,59 @@ class WordEncoder:
         self.tok = Tokenizer.from_str(definition)
         self.memo: dict[str, bytes] = {}
 
+    @classmethod
+    def of_worker(cls, definition: str) -> WordEncoder:
+        """The encoder of this process: Python workers live on from task to task, and so does the memo."""
+        held = sys.modules.setdefault("_quarrylight_encoders", types.ModuleType("_quarrylight_encoders")).__dict__
+        key = hash(definition)
+        if key not in held:
+            held[key] = cls(definition)
+        return held[key]
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Puts words into the memo. Words of plain letters are encoded as one text: each is one run."""
+        memo = self.memo
+        plain = [w for w in words if w.isalpha() and max(w) < "\u0100"]
+        for i in range(0, len(plain), 20_000):
+            part = plain[i : i + 20_000]
+            got = self.tok.encode(" ".join(part), add_special_tokens=False)
+            raw = np.asarray(got.ids, dtype="<u4").tobytes()
+            ends = (4 * np.searchsorted(np.asarray(got.word_ids), np.arange(len(part)), side="right")).tolist()
+            at = 0
+            for w, end in zip(part, ends, strict=True):
+                memo[w] = raw[at:end]
+                at = end
+        rest = [w for w in words if w not in memo]
+        for i in range(0, len(rest), 20_000):
+            memo.update(zip(rest[i : i + 20_000], self._ids(rest[i : i + 20_000]), strict=True))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         memo = self.memo
         if len(memo) > MEMO_WORDS:
             memo.clear()
         split = [None if _RARE_SPACE.search(t) else t.split() for t in texts]
-        new = list({w for ws in split if ws for w in ws if w not in memo})
-        for i in range(0, len(new), 20_000):
-            memo.update(zip(new[i : i + 20_000], self._ids(new[i : i + 20_000]), strict=True))
+        new = {w for ws in split if ws for w in ws if w not in memo}
+        made: dict[str, tuple[str, str]] = {}
+        learn: set[str] = set()
+        for w in new:
+            core = w.rstrip(_TAIL)
+            if core and core[-1].isalpha() and max(core) < "\u0100" and "<|" not in w:
+                low, tail = core.lower(), w[len(core) :]
+                if low != w:
+                    made[w] = (low, tail)
+                    if tail and tail not in memo:
+                        learn.add(tail)
+                if low not in memo:
+                    learn.add(low)
+            else:
+                learn.add(w)
+        self._learn(list(learn))
+        for w, (low, tail) in made.items():
+            memo[w] = memo[low] + memo[tail] if tail else memo[low]
         for t, ws in zip(texts, split, strict=True):
             yield self._ids([t])[0] if ws is None else b"".join([memo[w] for w in ws])
 
@@ -72,12 +117,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = WordEncoder(definition.value)
+        enc = WordEncoder.of_worker(definition.value)
         end = np.asarray([END_ID], dtype="<u4").tobytes()
         for pdf in batches:
             out = []
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256]
+            for lo in range(0, len(pdf), 1000):
+                part = pdf.iloc[lo : lo + 1000]
                 for doc_id, raw in zip(part["doc_id"], enc.encode(part["t"].tolist()), strict=True):
                     raw += end
                     for k, at in enumerate(range(0, len(raw), 4 * capacity)):
