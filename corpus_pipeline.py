@@ -18,7 +18,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; boilerplate lines go from the rest."""
-    judged = quality_rules.quality_rules(docs, carry=("lang", "source"), clean=True).filter("kept")
+    # staged before the filter: pushed below the join, the filter would take the counts' expressions apart and repeat them
+    judged = stage(quality_rules.quality_rules(docs, carry=("lang", "source"), clean=True), "judged").filter("kept")
     return judged.select("doc_id", F.col("clean_text").alias("text"), F.col("in_lang").alias("lang"), F.col("in_source").alias("source"), F.length("clean_text").cast("long").alias("n_chars"))
 
 
