@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import stage, text_of, unstage
 
 LENGTH = 400
 GRAM = 128
@@ -340,6 +340,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = runs.join(seen, "m").groupBy("rid").agg(F.collect_set(F.struct("m", "s", "e", "n")).alias("runs"))
     held = src.join(marked, "rid")
     texts = stage(held, "held")
+    unstage(runs)
     frags = stage(texts.mapInPandas(_cut, "m long, frag binary, rid long, s long").withColumn("fh", F.xxhash64("frag")), "frags")
     distinct = frags.groupBy("m", "fh", "frag").agg(F.count(F.lit(1)).alias("n"))
     dealt = distinct.repartition(n_parts, "m").sortWithinPartitions("m")
@@ -355,6 +356,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not with_text:
         cut = cut.drop("kept_text")
     cut = stage(cut, "cut").dropDuplicates(["rid"])
+    unstage(texts, frags, found)
     extra = [F.when(F.col("rid_").isNull(), F.col("t")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), t).alias("rid"), F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t, 256).alias("whole"), *([t.alias("t")] if with_text else []), *[F.col(c).alias(f"in_{c}") for c in carry]
