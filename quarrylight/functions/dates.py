@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapse, s, trim
+from .text import collapse, group, let, s, trim, without
 
 MONTH = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
@@ -22,7 +22,7 @@ def date_window(x: Column) -> Column:
     t = collapse(x)
 
     def got(p: str, g: int = 1) -> Column:
-        return F.nullif(F.regexp_extract(t, "(?i)" + p, g), F.lit(""))
+        return F.nullif(group(t, "(?i)" + p, g), F.lit(""))
 
     def year(p: str, g: int = 1) -> Column:
         n = got(p, g).cast("int")
@@ -36,21 +36,26 @@ def date_window(x: Column) -> Column:
 
     month = lambda m: F.array_position(F.array(*[F.lit(v) for v in MONTHS]), F.lower(F.substring(m, 1, 3)))
     span = r"\b(?:between|from)\s+(\d{4})\s+(?:and|to|through|-)\s+(\d{4})\b"
-    a, b = year(span, 1), year(span, 2)
-    lo, hi = F.least(a, b), F.greatest(a, b)
     dmy = rf"\b(?:on|as of|at|by)\s+(\d{{1,2}})(?:st|nd|rd|th)?\s+{MONTH}\s*,?\s*(\d{{4}})\b"
     mdy = rf"\b(?:on|as of|at|by)\s+{MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?\s*,?\s*(\d{{4}})\b"
-    exact = F.coalesce(iso_date(got(dmy, 3), month(got(dmy, 2)), got(dmy, 1)), iso_date(got(mdy, 3), month(got(mdy, 1)), got(mdy, 2)))
-    as_of, before, after, during = (year(rf"\b(?:{w})\s+(\d{{4}})\b") for w in ("as of|by", "before", "after", "in|during|for"))
+    parts = {"a": year(span, 1), "b": year(span, 2)}
+    parts["exact"] = F.coalesce(iso_date(got(dmy, 3), month(got(dmy, 2)), got(dmy, 1)), iso_date(got(mdy, 3), month(got(mdy, 1)), got(mdy, 2)))
+    parts |= {k: year(rf"\b(?:{w})\s+(\d{{4}})\b") for k, w in (("as_of", "as of|by"), ("before", "before"), ("after", "after"), ("during", "in|during|for"))}
     day = lambda n, tail: F.concat(F.lpad(four(n), 4, "0"), F.lit(tail))
-    return (
-        F.when(a.isNotNull() & b.isNotNull(), out("range", F.concat(four(lo), F.lit("-"), four(hi)), day(lo, "-01-01"), day(hi, "-12-31")))
-        .when(exact.isNotNull(), out("exact", date_label(exact), exact, exact))
-        .when(as_of.isNotNull(), out("as_of_year", four(as_of), day(as_of, "-12-31"), day(as_of, "-12-31")))
-        .when(before.isNotNull(), out("before", F.concat(F.lit("before "), four(before)), F.lit("0001-01-01"), day(before - 1, "-12-31")))
-        .when(after.isNotNull(), out("after", F.concat(F.lit("after "), four(after)), day(after + 1, "-01-01"), F.lit("9999-12-31")))
-        .when(during.isNotNull(), out("year", four(during), day(during, "-01-01"), day(during, "-12-31")))
-    )
+
+    def choose(r: Column) -> Column:
+        lo, hi = F.least(r["a"], r["b"]), F.greatest(r["a"], r["b"])
+        exact, as_of, before, after, during = (r[k] for k in ("exact", "as_of", "before", "after", "during"))
+        return (
+            F.when(r["a"].isNotNull() & r["b"].isNotNull(), out("range", F.concat(four(lo), F.lit("-"), four(hi)), day(lo, "-01-01"), day(hi, "-12-31")))
+            .when(exact.isNotNull(), out("exact", date_label(exact), exact, exact))
+            .when(as_of.isNotNull(), out("as_of_year", four(as_of), day(as_of, "-12-31"), day(as_of, "-12-31")))
+            .when(before.isNotNull(), out("before", F.concat(F.lit("before "), four(before)), F.lit("0001-01-01"), day(before - 1, "-12-31")))
+            .when(after.isNotNull(), out("after", F.concat(F.lit("after "), four(after)), day(after + 1, "-01-01"), F.lit("9999-12-31")))
+            .when(during.isNotNull(), out("year", four(during), day(during, "-01-01"), day(during, "-12-31")))
+        )
+
+    return let(parts, choose)
 
 
 def date_label(iso: Column) -> Column:
@@ -67,19 +72,19 @@ def strip_dates(x: Column) -> Column:
         rf"\b(?:on|as of|at|by)\s+{MONTH}\s+\d{{1,2}}(?:st|nd|rd|th)?\s*,?\s*\d{{4}}\b",
         r"\b(?:in|during|for|as of|by|before|after)\s+\d{4}\b",
     ):
-        t = F.regexp_replace(t, "(?i)" + p, " ")
+        t = without(t, "(?i)" + p, " ")
     return t
 
 
 def compact(x: Column) -> Column:
     """yyyy-MM-dd as the number yyyymmdd, else 0."""
     t = s(x)
-    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.replace(t, F.lit("-"), F.lit("")).cast("int")).otherwise(F.lit(0))
+    return F.when(has(t, r"^\d{4}-\d{2}-\d{2}$"), F.replace(t, F.lit("-"), F.lit("")).cast("int")).otherwise(F.lit(0))
 
 
 def gdelt_date(x: Column) -> Column:
     t = trim(x)
-    return F.when(t.rlike(r"^\d{14}$"), F.regexp_replace(t, r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6Z")).otherwise(t)
+    return F.when(has(t, r"^\d{14}$"), without(t, r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6Z")).otherwise(t)
 
 
 def age_days(at: Column, as_of: Column) -> Column:

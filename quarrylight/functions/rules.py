@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import dates, urls
-from .text import COMMON_TERMS, collapse, intent_tokens, query_terms, s, trim
+from .text import COMMON_TERMS, collapse, group, has, intent_tokens, query_terms, s, trim, without
 
 # --- fixed values: routing patterns --------------------------------------------------------------------
 
@@ -56,16 +56,16 @@ def route(x: Column) -> Column:
     def to(r: str, c: str, p: Column | float) -> Column:
         return F.struct(F.lit(r).alias("route"), F.lit(c).alias("category"), (F.lit(p) if isinstance(p, float) else p).cast("double").alias("confidence"))
 
-    dated = t.rlike(DATE_SIGNAL) & ((t.rlike(ASKS) & t.rlike(CHANGING)) | (t.rlike(DATED_LEAD) & t.rlike(DATED_THING)))
-    hits = sum((t.rlike(p).cast("int") for p in STABLE), F.lit(0))
+    dated = has(t, DATE_SIGNAL) & ((has(t, ASKS) & has(t, CHANGING)) | (has(t, DATED_LEAD) & has(t, DATED_THING)))
+    hits = sum((has(t, p).cast("int") for p in STABLE), F.lit(0))
     stable = F.round(F.least(F.lit(0.9), F.greatest(F.lit(0.42), F.least(F.lit(1.0), hits * F.lit(0.28)))), 2)
-    out = F.when(t == "", to("clarify", "clarify", 0.2)).when(t.rlike(SQL_TOPIC) | (t.rlike(SQL_VERB) & t.rlike(SQL_CLAUSE)), to("llm", "sql_generation", 0.99))
-    out = out.when(t.rlike(EXPLICIT_SEARCH), to("live_required", "web_search", 0.88))
+    out = F.when(t == "", to("clarify", "clarify", 0.2)).when(has(t, SQL_TOPIC) | (has(t, SQL_VERB) & has(t, SQL_CLAUSE)), to("llm", "sql_generation", 0.99))
+    out = out.when(has(t, EXPLICIT_SEARCH), to("live_required", "web_search", 0.88))
     for p in NO_FREE_SOURCE:
-        out = out.when(t.rlike(p), to("live_required", "unsupported_free_live", 0.82))
+        out = out.when(has(t, p), to("live_required", "unsupported_free_live", 0.82))
     for category, r, p in CATEGORIES:
-        out = out.when(t.rlike(p), to(r, category, 0.86))
-    out = out.when(t.rlike(TOPIC_SIGNAL) & (F.size(intent_tokens(t)) >= 2), to("live_required", "web_search", 0.82))
+        out = out.when(has(t, p), to(r, category, 0.86))
+    out = out.when(has(t, TOPIC_SIGNAL) & (F.size(intent_tokens(t)) >= 2), to("live_required", "web_search", 0.82))
     out = out.when(dated, to("live_required", "web_search", 0.84))
     return out.otherwise(to("llm", "stable_knowledge", stable))
 
@@ -115,10 +115,10 @@ def entity_target(x: Column) -> Column:
     t = F.lower(s(x))
     found = []
     for role, lead in ROLE_PATTERNS:
-        place = F.trim(F.regexp_replace(F.trim(F.regexp_extract(t, lead + ROLE_TAIL, 1)), r"\b(?:the|current|latest|now|today|is|who)\b", ""))
+        place = F.trim(without(F.trim(group(t, lead + ROLE_TAIL, 1)), r"\b(?:the|current|latest|now|today|is|who)\b", ""))
         found.append(F.when(F.length(place).between(2, 40), F.struct(F.lit(role).alias("role"), F.initcap(place).alias("jurisdiction"))))
-    raw = F.trim(F.regexp_extract(t, ROLE_REVERSED, 2))
-    place = F.trim(F.regexp_replace(F.regexp_extract(t, ROLE_REVERSED, 1), r"\b(?:current|the|who is|what is|who's|tell me)\b", ""))
+    raw = F.trim(group(t, ROLE_REVERSED, 2))
+    place = F.trim(without(group(t, ROLE_REVERSED, 1), r"\b(?:current|the|who is|what is|who's|tell me)\b", ""))
     role = F.when(raw == "cm", "Chief Minister").when(raw == "pm", "Prime Minister").otherwise(F.initcap(raw))
     found.append(F.when((raw != "") & F.length(place).between(2, 40), F.struct(role.alias("role"), F.initcap(place).alias("jurisdiction"))))
     return F.coalesce(*found)
@@ -131,13 +131,13 @@ def intent(x: Column) -> Column:
     def to(kind: str, category: str, live: bool) -> Column:
         return F.struct(F.lit(kind).alias("type"), F.lit(category).alias("category"), F.lit(live).alias("live"))
 
-    any_of = lambda ps: F.coalesce(*[F.when(t.rlike(p), F.lit(True)) for p in ps], F.lit(False))
+    any_of = lambda ps: F.coalesce(*[F.when(has(t, p), F.lit(True)) for p in ps], F.lit(False))
     return (
         F.when(t == "", to("static_reasoning", "empty_query", False))
-        .when(t.rlike(FIND_ONLINE), to("explicit_search", "web_search", True))
-        .when(t.rlike(WEATHER), to("domain_specific", "weather", True))
-        .when(t.rlike(FINANCE), to("domain_specific", "finance_crypto", True))
-        .when(t.rlike(CAPITAL) & ~t.rlike(FRESH), to("static_reasoning", "stable_geographic_fact", False))
+        .when(has(t, FIND_ONLINE), to("explicit_search", "web_search", True))
+        .when(has(t, WEATHER), to("domain_specific", "weather", True))
+        .when(has(t, FINANCE), to("domain_specific", "finance_crypto", True))
+        .when(has(t, CAPITAL) & ~has(t, FRESH), to("static_reasoning", "stable_geographic_fact", False))
         .when(entity_target(t).isNotNull(), to("temporal_fact", "political_leadership", True))
         .when(any_of(LEADER), to("temporal_fact", "civic_or_leadership_fact", True))
         .when(any_of(CODING), to("static_reasoning", "coding", False))
@@ -170,12 +170,12 @@ def risk_flags(message: Column, answer: Column) -> Column:
     both, low = F.lower(F.concat(m, F.lit("\n"), a)), F.lower(a)
     both_of = dict(RISK_BOTH)
     flags = [
-        F.when(both.rlike(both_of["challenged_or_uncertain"]), "challenged_or_uncertain"),
-        F.when(low.rlike(RISK_UNSURE), "model_uncertainty"),
-        F.when(low.rlike(RISK_CLAIM) & ~a.rlike(RISK_LINK), "source_like_claim_without_source"),
-        F.when(m.rlike(RISK_NOW) & low.rlike(RISK_STATE), "current_or_date_sensitive_claim"),
-        F.when(m.rlike(RISK_DATED) & a.rlike(RISK_NAME), "dated_named_entity_claim"),
-        *[F.when(both.rlike(both_of[k]), k) for k in ("high_stakes", "code", "calculation")],
+        F.when(has(both, both_of["challenged_or_uncertain"]), "challenged_or_uncertain"),
+        F.when(has(low, RISK_UNSURE), "model_uncertainty"),
+        F.when(has(low, RISK_CLAIM) & ~has(a, RISK_LINK), "source_like_claim_without_source"),
+        F.when(has(m, RISK_NOW) & has(low, RISK_STATE), "current_or_date_sensitive_claim"),
+        F.when(has(m, RISK_DATED) & has(a, RISK_NAME), "dated_named_entity_claim"),
+        *[F.when(has(both, both_of[k]), k) for k in ("high_stakes", "code", "calculation")],
     ]
     return F.slice(F.array_compact(F.array(*flags)), 1, 5)
 
@@ -194,10 +194,10 @@ PRESENT = r"\b(current|incumbent|serving|serves as|present)\b"
 
 def discovery_subject(query: Column) -> Column:
     """What a who-discovered question is about; null for other questions."""
-    t = collapse(F.regexp_replace(F.lower(s(query)), r"[?.!]+$", ""))
+    t = collapse(without(F.lower(s(query)), r"[?.!]+$", ""))
     hit = F.coalesce(
         *[
-            F.nullif(F.regexp_extract(t, p, 1), F.lit(""))
+            F.nullif(group(t, p, 1), F.lit(""))
             for p in (
                 r"^(?:who\s+)?(?:discovered|invented|founded|created)\s+(.+)$",
                 r"^(?:who\s+was\s+)?(?:the\s+)?(?:discoverer|inventor|founder|creator)\s+of\s+(.+)$",
@@ -205,7 +205,7 @@ def discovery_subject(query: Column) -> Column:
             )
         ]
     )
-    subject = collapse(F.regexp_replace(hit, r"\b(?:the|a|an)\b", " "))
+    subject = collapse(without(hit, r"\b(?:the|a|an)\b", " "))
     return F.when(hit.isNotNull() & F.length(subject).between(1, 90), subject)
 
 
@@ -217,14 +217,14 @@ def _own_terms(x: Column) -> Column:
 def is_discovery_source(subject: Column, title: Column, description: Column) -> Column:
     hay = F.lower(F.concat_ws(" ", s(title), s(description)))
     words = _own_terms(subject)
-    return (F.size(words) > 0) & F.forall(words, lambda t: F.contains(hay, t)) & (hay.rlike(DISCOVERY) | F.contains(F.lower(s(title)), F.lower(subject)))
+    return (F.size(words) > 0) & F.forall(words, lambda t: F.contains(hay, t)) & (has(hay, DISCOVERY) | F.contains(F.lower(s(title)), F.lower(subject)))
 
 
 def is_related(query: Column, hay: Column) -> Column:
     """Two thirds of the query's own terms, two at least, occur; a lone term needs four letters; a phrase of two words or more is enough."""
-    text = F.trim(F.regexp_replace(F.lower(s(hay)), r"[^a-z0-9]+", " "))
-    phrase = F.trim(F.regexp_replace(F.lower(s(query)), r"[^a-z0-9]+", " "))
-    words = F.filter(_own_terms(query), lambda t: (F.length(t) > 2) | t.rlike(r"^\d{4}$"))
+    text = F.trim(without(F.lower(s(hay)), r"[^a-z0-9]+", " "))
+    phrase = F.trim(without(F.lower(s(query)), r"[^a-z0-9]+", " "))
+    words = F.filter(_own_terms(query), lambda t: (F.length(t) > 2) | has(t, r"^\d{4}$"))
     n = F.size(words)
     hits = F.size(F.filter(words, lambda t: F.contains(text, t)))
     need = F.least(n, F.greatest(F.lit(2), F.ceil(n * F.lit(0.67)).cast("int")))
@@ -240,17 +240,17 @@ def is_citation(query: Column, title: Column, url: Column, description: Column,
     subject = discovery_subject(query)
     own = F.size(_own_terms(query))
     related = (
-        F.when(subject.isNotNull(), is_discovery_source(subject, t, d)).when(k.rlike("(?i)^free_"), True).when(own == 0, True).otherwise(is_related(query, F.concat_ws(" ", t, d)))
+        F.when(subject.isNotNull(), is_discovery_source(subject, t, d)).when(has(k, "(?i)^free_"), True).when(own == 0, True).otherwise(is_related(query, F.concat_ws(" ", t, d)))
     )
     fetched = F.coalesce(fetched, F.lit(False))
     shortcut = F.lit(False) if shortcut is None else F.coalesce(shortcut, F.lit(False))
     return (
         F.when((t == "") | (u == "") | (k == "") | k.isin(*LOOKUP_ONLY) | (F.length(d) < 20), False)
-        .when(seen.rlike(SEARCH_PAGE) | dom.rlike(ARCHIVE), False)
+        .when(has(seen, SEARCH_PAGE) | has(dom, ARCHIVE), False)
         .when((k == "official_source") & ~fetched, False)
         .when(s(level) == "structured_claim", True)
         .when(k == "official_source", shortcut | related)
-        .when(k.rlike(LISTED_TYPES), related)
+        .when(has(k, LISTED_TYPES), related)
         .otherwise(False)
     )
 
@@ -260,8 +260,8 @@ def is_strong(kind: Column, domain: Column, fetched: Column, level: Column, trus
     return (
         (s(level) == "structured_claim")
         | ((s(kind) == "official_source") & F.coalesce(fetched, F.lit(False)))
-        | (F.coalesce(trusted, F.lit(False)) & ~d.rlike(r"(?i)reddit|archive\.(today|ph|is)"))
-        | d.rlike(STRONG_DOMAIN)
+        | (F.coalesce(trusted, F.lit(False)) & ~has(d, r"(?i)reddit|archive\.(today|ph|is)"))
+        | has(d, STRONG_DOMAIN)
     )
 
 
@@ -274,7 +274,7 @@ CACHE_BYPASS = r"(?i)\b(today|tomorrow|yesterday|now|current|live|time|date|stoc
 
 def is_abusive(x: Column) -> Column:
     t = s(x)
-    return (F.length(t) > 500_000) | (t.rlike(ABUSE_PHRASE) & (F.length(t) > 12_000)) | t.rlike(ABUSE_MARKUP)
+    return (F.length(t) > 500_000) | (has(t, ABUSE_PHRASE) & (F.length(t) > 12_000)) | has(t, ABUSE_MARKUP)
 
 
 def bypasses_cache(x: Column) -> Column:

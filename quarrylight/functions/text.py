@@ -11,11 +11,37 @@ from pyspark.sql import functions as F
 
 SPACE = r"(?U)[\s\x{FEFF}]"
 
+#: A word boundary between ASCII word characters and others. Java's own ``\b`` takes accented letters for
+#: word characters on some versions, where the rules here mean ASCII.
+BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def ascii_words(pattern: str) -> str:
+    """The pattern with ASCII word boundaries."""
+    return pattern.replace(r"\b", BOUNDARY)
+
+
+def has(x: Column, pattern: str) -> Column:
+    return x.rlike(ascii_words(pattern))
+
+
+def group(x: Column, pattern: str, n: int = 1) -> Column:
+    return F.regexp_extract(x, ascii_words(pattern), n)
+
+
+def without(x: Column, pattern: str, to: str = "") -> Column:
+    return F.regexp_replace(x, ascii_words(pattern), to)
+
 
 def s(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit(""))
 
 
+def let(parts: dict[str, Column], body) -> Column:
+    """``body`` of a row of named parts, each of which is evaluated once."""
+    return F.transform(F.array(F.struct(*[c.alias(n) for n, c in parts.items()])), body)[0]
+
+
 def trim(x: Column) -> Column:
     return F.regexp_replace(s(x), f"^{SPACE}+|{SPACE}+$", "")
 
@@ -185,7 +211,7 @@ def word_request(x: Column) -> Column:
     num = r"(\d{1,4})"
 
     def got(p: str, g: int = 1) -> Column:
-        return F.nullif(F.regexp_extract(t, "(?i)" + p, g), F.lit("")).cast("int")
+        return F.nullif(group(t, "(?i)" + p, g), F.lit("")).cast("int")
 
     def spec(mode: str, low: Column, high: Column, target: Column) -> Column:
         return F.struct(F.lit(mode).alias("mode"), low.cast("int").alias("low"), high.cast("int").alias("high"), target.cast("int").alias("target"))
@@ -193,26 +219,33 @@ def word_request(x: Column) -> Column:
     up = lambda c: F.floor(c + 0.5)
     one = lambda c: F.greatest(F.lit(1), c)
     pair = rf"\b{num}\s*(?:-|to)\s*{num}\s+words?\b"
-    a, b = got(pair, 1), got(pair, 2)
-    low = one(F.least(a, b))
-    high = F.greatest(low, F.greatest(a, b))
-    exact = F.coalesce(got(rf"\b(?:exactly|strictly|no more no less than)\s+{num}\s+words?\b"), got(rf"\b{num}\s+words?\s+exactly\b"))
-    most = got(rf"\b(?:under|within|at most|no more than|max(?:imum)?(?: of)?)\s+{num}\s+words?\b")
-    least = got(rf"\b(?:at least|minimum(?: of)?|no less than)\s+{num}\s+words?\b")
-    about = got(rf"\b(?:around|about|approximately|approx(?:\.|imately)?|roughly)\s+{num}\s+words?\b")
-    bare = F.coalesce(
-        got(rf"\b(?:in|within)\s+{num}\s+words?\b"),
-        got(rf"\b(?:answer|respond|explain|write|summarize|describe|give(?:\s+me)?)\b[\s\S]{{0,60}}?\b(?:in\s+)?{num}\s+words?\b"),
-        got(rf"\b{num}\s+words?\b"),
-    )
-    return (
-        F.when(a.isNotNull(), spec("range", low, high, up((low + high) / 2)))
-        .when(exact.isNotNull(), spec("exact", exact, exact, exact))
-        .when(most.isNotNull(), spec("max", F.lit(0), one(most), one(up(most * 0.9))))
-        .when(least.isNotNull(), spec("min", one(least), one(up(least * 1.5)), one(up(least * 1.1))))
-        .when(about.isNotNull(), spec("target", one(up(about * 0.85)), one(up(about * 1.15)), one(about)))
-        .when(bare.isNotNull(), spec("exact", bare, bare, bare))
-    )
+    parts = {
+        "a": got(pair, 1),
+        "b": got(pair, 2),
+        "exact": F.coalesce(got(rf"\b(?:exactly|strictly|no more no less than)\s+{num}\s+words?\b"), got(rf"\b{num}\s+words?\s+exactly\b")),
+        "most": got(rf"\b(?:under|within|at most|no more than|max(?:imum)?(?: of)?)\s+{num}\s+words?\b"),
+        "least": got(rf"\b(?:at least|minimum(?: of)?|no less than)\s+{num}\s+words?\b"),
+        "about": got(rf"\b(?:around|about|approximately|approx(?:\.|imately)?|roughly)\s+{num}\s+words?\b"),
+        "bare": F.coalesce(
+            got(rf"\b(?:in|within)\s+{num}\s+words?\b"),
+            got(rf"\b(?:answer|respond|explain|write|summarize|describe|give(?:\s+me)?)\b[\s\S]{{0,60}}?\b(?:in\s+)?{num}\s+words?\b"),
+            got(rf"\b{num}\s+words?\b"),
+        ),
+    }
+
+    def choose(r: Column) -> Column:
+        low, high = one(F.least(r["a"], r["b"])), one(F.greatest(r["a"], r["b"]))
+        most, least, about = r["most"], r["least"], r["about"]
+        return (
+            F.when(r["a"].isNotNull(), spec("range", low, high, up((low + high) / 2)))
+            .when(r["exact"].isNotNull(), spec("exact", r["exact"], r["exact"], r["exact"]))
+            .when(most.isNotNull(), spec("max", F.lit(0), one(most), one(up(most * 0.9))))
+            .when(least.isNotNull(), spec("min", one(least), one(up(least * 1.5)), one(up(least * 1.1))))
+            .when(about.isNotNull(), spec("target", one(up(about * 0.85)), one(up(about * 1.15)), one(about)))
+            .when(r["bare"].isNotNull(), spec("exact", r["bare"], r["bare"], r["bare"]))
+        )
+
+    return let(parts, choose)
 
 
 # --- markup -----------------------------------------------------------------------------------------
@@ -220,7 +253,7 @@ def word_request(x: Column) -> Column:
 
 def _subs(x: Column, *pairs: tuple[str, str]) -> Column:
     for pattern, to in pairs:
-        x = F.regexp_replace(x, pattern, to)
+        x = F.regexp_replace(x, ascii_words(pattern), to)
     return x
 
 

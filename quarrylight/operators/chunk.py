@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse
 
 
-def chunks(text: Column, size: int = 1400, overlap: int = 160, most: int = 24) -> Column:
+def chunks(text: Column, size: int = 1400, overlap: int = 160, most: int = 24, collapsed: bool = False) -> Column:
     """Array of chunks. A full-width slice ends after its last space, if that lies beyond 55 per cent of the width; the next one starts ``overlap`` before."""
+    t = text if collapsed else collapse(text)
     size, overlap = max(300, min(2400, size)), max(0, min(400, overlap))
     zero = F.struct(F.lit(1).alias("i"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, _: Column) -> Column:
-        t = collapse(text)
         piece = F.substring(t, acc["i"], F.lit(size))
         full = F.length(piece) == size
         # position of the last space, from 0; -1 where there is none
@@ -31,11 +31,11 @@ def chunks(text: Column, size: int = 1400, overlap: int = 160, most: int = 24) -
         )
 
     folded = F.aggregate(F.sequence(F.lit(1), F.lit(most)), zero, step, lambda a: F.filter(a["out"], lambda c: c != ""))
-    return F.when(collapse(text) == "", F.array().cast("array<string>")).otherwise(folded)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(folded)
 
 
 def explode_chunks(df: DataFrame, text: str, size: int = 1400, overlap: int = 160, most: int = 24) -> DataFrame:
     """One row per chunk: the input's columns, chunk_index, chunk."""
     # the collapsed text is computed once per row, not once per step
     base = df.withColumn("_t", collapse(F.col(text)))
-    return base.select("*", F.posexplode(chunks(F.col("_t"), size, overlap, most)).alias("chunk_index", "chunk")).drop("_t")
+    return base.select("*", F.posexplode(chunks(F.col("_t"), size, overlap, most, collapsed=True)).alias("chunk_index", "chunk")).drop("_t")

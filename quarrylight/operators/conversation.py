@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, s, topic_terms, trim
+from ..functions.text import collapse, has, s, topic_terms, trim
 
 
 def speaker(role: Column) -> Column:
@@ -64,8 +64,8 @@ def topic_anchor(turns: DataFrame, last: int = 8, key: str = "conv_id", order: s
     rows = rows.withColumn("_t", t).filter("_t <> ''").withColumn("_w", topic_terms(F.col("_t")))
     n, low = F.size("_w"), F.lower("_t")
     strong = (n == 1) & (F.length(F.col("_w")[0]) >= 4)
-    vague = low.rlike(UNDERSPECIFIED) | ((n > 0) & (n <= 3)) | (low.rlike(QUESTION_LEAD) & (n <= 4))
-    told = (n > 0) & F.col("_t").rlike(INTRODUCTION)
+    vague = has(low, UNDERSPECIFIED) | ((n > 0) & (n <= 3)) | (has(low, QUESTION_LEAD) & (n <= 4))
+    told = (n > 0) & has(F.col("_t"), INTRODUCTION)
     good = (n > 0) & ((n >= 2) | strong) & (~vague | strong | told)
     picked = rows.filter(good).groupBy(key).agg(F.max_by(F.array_join(F.slice("_w", 1, 8), " "), order).alias("anchor"))
     return turns.select(key).distinct().join(picked, key, "left").select(key, F.coalesce("anchor", F.lit("")).alias("anchor"))

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, urls
-from ..functions.text import s, trim
+from ..functions.text import group, has, s, trim, without
 
 
 def conflict(text: Column) -> Column:
     """Aggregate: some text speaks of a former and some of a current holder, of two texts or more."""
     t = F.lower(text)
-    return F.coalesce(F.max(t.rlike(rules.FORMER)) & F.max(t.rlike(rules.PRESENT)) & (F.count_if(t != "") >= 2), F.lit(False))
+    return F.coalesce(F.max(has(t, rules.FORMER)) & F.max(has(t, rules.PRESENT)) & (F.count_if(t != "") >= 2), F.lit(False))
 
 
 def gate(evidence: DataFrame, key: str) -> DataFrame:
@@ -70,7 +70,7 @@ def grounding(answers: DataFrame, sources: DataFrame, key: str = "answer_id", fa
     t = trim(F.col("text"))
     fact = F.lit(False) if fact is None else F.coalesce(fact, F.lit(False))
     flags = F.array_compact(
-        F.array(F.when(t.rlike(UNSURE), "model_uncertainty_declared"), F.when(t.rlike(SNIPPET_TALK), "snippet_meta_disclaimer"), F.when((F.col("n") == 0) & ~fact, "no_citations_attached"))
+        F.array(F.when(has(t, UNSURE), "model_uncertainty_declared"), F.when(has(t, SNIPPET_TALK), "snippet_meta_disclaimer"), F.when((F.col("n") == 0) & ~fact, "no_citations_attached"))
     )
     base = (
         F.when(F.col("n") > 0, F.lit(0.5) + F.least(F.lit(0.3), F.col("n") * 0.1) + F.least(F.lit(0.2), F.col("a") * 0.1)).when(fact, F.lit(0.95)).otherwise(F.lit(0.4))
@@ -94,19 +94,19 @@ def entity_status(pairs: DataFrame, key: str, text: Column, name: Column) -> Dat
     """key, status, confidence from texts that name an entity: twice the texts per signal, the greater wins."""
     t = F.lower(text)
     rows = pairs.filter(F.contains(t, F.lower(name)))
-    agg = rows.groupBy(key).agg(*[(2 * F.count_if(t.rlike(p))).alias(c) for c, p in (("i", INCUMBENT), ("f", FORMERLY), ("c", CANDIDATE))])
+    agg = rows.groupBy(key).agg(*[(2 * F.count_if(has(t, p))).alias(c) for c, p in (("i", INCUMBENT), ("f", FORMERLY), ("c", CANDIDATE))])
     i, f, c = F.col("i"), F.col("f"), F.col("c")
     status = F.when((i > f) & (i > c), "incumbent").when(c > i, "candidate").when(f > i, "former").otherwise("unknown")
     n = F.when(status == "incumbent", i).when(status == "candidate", c).when(status == "former", f)
-    return agg.select(key, status.alias("status"), F.round(F.coalesce(F.least(F.lit(1.0), 0.6 + n * 0.1), F.lit(0.3)), 2).alias("confidence"))
+    return agg.select(key, status.alias("status"), F.round(F.when(n.isNull(), F.lit(0.3)).otherwise(F.least(F.lit(1.0), 0.6 + n * 0.1)), 2).alias("confidence"))
 
 
 def robots_rules(robots: DataFrame, agent: str, key: str = "host", text: str = "robots") -> DataFrame:
     """key, ord, kind, path: rules of the groups for ``agent`` or ``*``. Every user-agent line opens a group."""
     token = agent.split("/")[0].lower()
     lines = robots.select(key, F.posexplode(F.split(s(F.col(text)), r"\r?\n")).alias("ord", "line"))
-    line = F.trim(F.regexp_replace("line", "#.*", ""))
-    parsed = lines.select(key, "ord", F.lower(F.trim(F.regexp_extract(line, r"^([^:]+):\s*(.*)$", 1))).alias("field"), F.trim(F.regexp_extract(line, r"^([^:]+):\s*(.*)$", 2)).alias("value"))
+    line = F.trim(without("line", "#.*", ""))
+    parsed = lines.select(key, "ord", F.lower(F.trim(group(line, r"^([^:]+):\s*(.*)$", 1))).alias("field"), F.trim(group(line, r"^([^:]+):\s*(.*)$", 2)).alias("value"))
     from pyspark.sql import Window
 
     w = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
@@ -116,7 +116,7 @@ def robots_rules(robots: DataFrame, agent: str, key: str = "host", text: str = "
 
 def robots_allow(pages: DataFrame, rules_: DataFrame, id_col: str, key: str = "host", path: str = "path") -> DataFrame:
     """id, allowed: the longest rule whose prefix fits decides, the first of equals; without one, all is allowed."""
-    p = F.regexp_replace(F.col("r.path"), r"\*.*$", "")
+    p = without(F.col("r.path"), r"\*.*$", "")
     hit = pages.alias("p").join(rules_.alias("r"), (F.col(f"p.{key}") == F.col(f"r.{key}")) & F.col(f"p.{path}").startswith(p), "left")
     won = hit.groupBy(F.col(f"p.{id_col}").alias(id_col)).agg(F.max_by(F.col("r.kind"), F.struct(F.length("r.path").alias("n"), (-F.col("r.ord")).alias("o"))).alias("kind"))
     return won.select(id_col, (F.coalesce(F.col("kind"), F.lit("allow")) != "disallow").alias("allowed"))

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import s
+from ..functions.text import group, has, s, without
 
 
 def hits(words: Column, *weighted: tuple[Column, int]) -> Column:
     """Sum over words of the weight of each text that holds the word."""
-    out = F.lit(0)
-    for text, weight in weighted:
-        out = out + F.size(F.filter(words, lambda t, x=F.lower(s(text)): F.contains(x, t))) * weight
-    return out
+
+    def found(text: Column) -> Column:
+        low = F.lower(s(text))
+        return F.size(F.filter(words, lambda t: F.contains(low, t)))
+
+    return sum((found(text) * weight for text, weight in weighted), F.lit(0))
 
 
 def source_score(words: Column, title: Column, description: Column, domain: Column, kind: Column, level: Column, trusted: Column, date: Column) -> Column:
@@ -39,15 +41,15 @@ def live_score(words: Column, title: Column, description: Column, domain: Column
     """struct(score, overlap) for live sources; ``year`` is the year it is."""
     hay = F.lower(F.concat_ws(" ", s(title), s(description), s(domain)))
     overlap = F.size(F.filter(words, lambda t: F.contains(hay, t)))
-    y = F.nullif(F.regexp_extract(hay, r"\b(20\d{2})\b", 1), F.lit("")).cast("int")
+    y = F.nullif(group(hay, r"\b(20\d{2})\b", 1), F.lit("")).cast("int")
     fetched, k = F.coalesce(fetched, F.lit(False)), s(kind)
     score = (
         F.when(overlap > 0, overlap * 2).when(F.size(words) > 0, -2).otherwise(0)
         + F.when(F.coalesce(trusted, F.lit(False)) | k.isin("official_source", "trusted_news"), 3).otherwise(0)
         + F.when(fetched, 2).otherwise(0)
         - F.when((k == "official_source") & ~fetched, 1).otherwise(0)
-        + F.when(hay.rlike(r"\b(latest|today|update|updates|current|now|recent)\b"), 2).otherwise(0)
-        + F.when(hay.rlike(r"\b(reuters|the hindu|indian express|bbc|ap news)\b"), 2).otherwise(0)
+        + F.when(has(hay, r"\b(latest|today|update|updates|current|now|recent)\b"), 2).otherwise(0)
+        + F.when(has(hay, r"\b(reuters|the hindu|indian express|bbc|ap news)\b"), 2).otherwise(0)
         + F.coalesce(F.when(y >= year - 1, 2).when(y <= year - 3, -3), F.lit(0))
     )
     return F.struct(score.alias("score"), overlap.alias("overlap"))
@@ -69,8 +71,8 @@ def candidate_score(query: Column, label: Column, description: Column, position:
         F.greatest(F.lit(0), F.lit(20) - position)
         + F.when(n == q, 30).otherwise(0)
         + F.when(F.contains(n, q) | F.contains(q, n), 12).otherwise(0)
-        + F.when(d.rlike(r"\b(country|sovereign state|state|province|city|municipality|administrative territorial entity|federal state)\b"), 10).otherwise(0)
-        - F.when(d.rlike(r"\b(disambiguation|family name|given name|film|song|album|book)\b"), 15).otherwise(0)
+        + F.when(has(d, r"\b(country|sovereign state|state|province|city|municipality|administrative territorial entity|federal state)\b"), 10).otherwise(0)
+        - F.when(has(d, r"\b(disambiguation|family name|given name|film|song|album|book)\b"), 15).otherwise(0)
     )
 
 
@@ -98,7 +100,7 @@ def keep_last(df: DataFrame, key: Column, order: str) -> DataFrame:
 
 def is_near_duplicate(a: Column, b: Column) -> Column:
     """Equal in the first 1200 characters, or one holds the other's first 300."""
-    x, y = (F.substring(F.trim(F.regexp_replace(s(c), r"\s+", " ")), 1, 1200) for c in (a, b))
+    x, y = (F.substring(F.trim(without(s(c), r"\s+", " ")), 1, 1200) for c in (a, b))
     return (x != "") & (y != "") & ((x == y) | F.contains(x, F.substring(y, 1, 300)) | F.contains(y, F.substring(x, 1, 300)))
 
 
