@@ -12,9 +12,11 @@ similarity is ``threshold`` or more, confirmed on the full sets.
    larger node branches on, ``DEPTH`` times at most, and meanwhile pairs each set with the node's smallest
    one. ``TREES`` independent trees raise recall: a pair at the threshold that has small nodes meets in
    one tree with chance 0.75 or more.
-3. Candidates are confirmed in two rounds on full sets: first each set's smallest partner, which joins
-   most of a family into one component; then whatever pairs lie across components. So the pairs of a
-   large family are never enumerated.
+3. Links are confirmed on full sets in rounds, so that the pairs of a large family are never enumerated:
+   first every set is paired with the smallest set of each of its nodes, and the likeliest of these pairs
+   per set is confirmed, which joins most of a family into one component; then the small nodes are compared
+   across components only, and again the likeliest pair per set goes first; whatever pairs still lie across
+   components are all confirmed.
 4. The rest, exactly: nodes still large at the last depth that hold several components are compared
    exhaustively across components, in blocks: sets outside the node's main component, packed a few
    hundred to a block, meet every set of the node. No partner is capped anywhere.
@@ -37,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import stage, text_of, unstage
 from .components import components
 
 WORDS = 5
@@ -152,36 +154,40 @@ def _branch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"node": kids.view(np.int64), "id": pdf["id"].to_numpy()[rows]})
 
 
-def _may_link(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Sizes allow the threshold, and enough minwise tokens agree."""
+def _likeness(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Share of equal minwise tokens; 0 where the sizes alone rule the threshold out."""
     ok = 100 * np.minimum(na, nb) >= THRESHOLD * np.maximum(na, nb)
+    out = np.zeros(len(ok))
     at = np.flatnonzero(ok)
-    ok[at] = (sa[at] == sb[at]).mean(axis=1) >= MAYBE
-    return ok
+    out[at] = (sa[at] == sb[at]).mean(axis=1)
+    return out
 
 
 def _compare_small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of node; each node has at most SMALL rows."""
+    """Rows in order of node; each node has at most SMALL rows. Pairs across components that may be links."""
     rest: pd.DataFrame | None = None
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, ids, n, sig = pdf["node"].to_numpy(), pdf["id"].to_numpy(), pdf["n"].to_numpy(), _signatures(pdf["sig"])
-        left, right = [], []
+        node, ids, n, comp, sig = (pdf[c].to_numpy() for c in ("node", "id", "n", "component", "sig"))
+        sig = _signatures(sig)
+        left, right, like = [], [], []
         for gap in range(1, SMALL):
             i = np.flatnonzero(node[gap:] == node[:-gap]) if gap < len(node) else np.zeros(0, dtype=np.int64)
             if not len(i):
                 break
-            keep = _may_link(sig[i], sig[i + gap], n[i], n[i + gap]) & (ids[i] != ids[i + gap])
-            left.append(ids[i[keep]])
-            right.append(ids[i[keep] + gap])
-        a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (left, right))
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
+            i = i[comp[i] != comp[i + gap]]
+            same = _likeness(sig[i], sig[i + gap], n[i], n[i + gap])
+            on = same >= MAYBE
+            left.append(ids[i[on]])
+            right.append(ids[i[on] + gap])
+            like.append(same[on])
+        a, b, e = (np.concatenate(x) if x else np.zeros(0) for x in (left, right, like))
+        return pd.DataFrame({"a": np.maximum(a, b).astype(np.int64), "b": np.minimum(a, b).astype(np.int64), "e": e}).drop_duplicates(["a", "b"])
 
     for pdf in batches:
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
         if len(pdf):
-            done = pdf["node"].to_numpy() != pdf["node"].iloc[-1]
-            cut = int(done.sum())
+            cut = int((pdf["node"].to_numpy() != pdf["node"].iloc[-1]).sum())
             rest = pdf.iloc[cut:]
             if cut:
                 yield pairs(pdf.iloc[:cut])
@@ -189,6 +195,14 @@ def _compare_small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pairs(rest)
 
 
+def _compare_star(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sets against the smallest set of their node: rows a, na, sa, b, nb, sb."""
+    for pdf in batches:
+        if len(pdf):
+            e = _likeness(_signatures(pdf["sa"]), _signatures(pdf["sb"]), pdf["na"].to_numpy(), pdf["nb"].to_numpy())
+            yield pdf[["a", "b"]].assign(e=e)[e >= MAYBE]
+
+
 def _compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each set of a node against blocks of the node's sets of other components."""
     for pdf in batches:
@@ -197,7 +211,7 @@ def _compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = np.frombuffer(sig, dtype=np.uint32)
             other = np.frombuffer(b"".join(r["sig"] for r in block), dtype=np.uint32).reshape(-1, SIGNATURE)
             ids, ns, comps = (np.array([r[k] for r in block]) for k in ("id", "n", "component"))
-            ok = (comps != comp) & _may_link(np.broadcast_to(own, other.shape), other, np.full(len(ids), n), ns)
+            ok = (comps != comp) & (_likeness(np.broadcast_to(own, other.shape), other, np.full(len(ids), n), ns) >= MAYBE)
             out += [(max(x, y), min(x, y)) for y in ids[ok].tolist()]
         yield pd.DataFrame(out, columns=["a", "b"])
 
@@ -227,47 +241,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stage(one, "sets")
 
     # chosen paths, level by level
-    found: DataFrame | None = None
     nodes = stage(sets.mapInPandas(_roots, "node long, id long"), "nodes")
+    levels = []
     for depth in range(1, DEPTH + 1):
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).filter("size > 1")
-        alive = stage(nodes.join(sizes, "node").join(sets, "id"), f"level{depth}")
-        small = alive.filter(F.col("size") <= SMALL).select("node", "id", "n", "sig").repartition("node").sortWithinPartitions("node")
+        sizes = stage(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).filter("size > 1"), "sizes")
+        alive = stage(nodes.join(sizes, "node"), f"level{depth}")
+        unstage(nodes, sizes)
+        levels.append(alive)
         large = alive.filter(F.col("size") > SMALL)
-        star = large.filter("id != least").select(F.greatest("id", "least").alias("a"), F.least("id", "least").alias("b"))
-        here = small.mapInPandas(_compare_small, "a long, b long").union(star).distinct()
-        found = here if found is None else found.union(here)
         if depth < DEPTH:
-            nodes = stage(large.mapInPandas(_branch, "node long, id long"), "nodes")
-    last = large.select("node", "id", "n", "sig")
-    pairs = stage(found.distinct(), "pairs")
+            nodes = stage(large.select("node", "id").join(sets, "id").mapInPandas(_branch, "node long, id long"), "nodes")
+    every = levels[0]
+    for more in levels[1:]:
+        every = every.union(more)
 
-    # full sets of the documents on any pair
     def sets_of(p: DataFrame) -> DataFrame:
+        """Full sets of the documents on any pair."""
         wanted = p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct()
         return src.join(wanted, "doc_id", "left_semi").mapInPandas(_sets, "id long, set binary").dropDuplicates(["id", "set"])
 
     def confirm(p: DataFrame, s: DataFrame) -> DataFrame:
-        left = p.join(s.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+        left = p.select("a", "b").join(s.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
         return left.join(s.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb").mapInPandas(_confirm, "a long, b long")
 
-    held = stage(sets_of(pairs), "held")
-    first = pairs.groupBy("a").agg(F.min("b").alias("b")).select("a", "b")
-    links = stage(confirm(first, held), "links")
-    comp = stage(components(links), "comp")
+    def likeliest(p: DataFrame) -> DataFrame:
+        """Per set its likeliest partner, the smallest of equals."""
+        return p.groupBy("a").agg(F.max(F.struct(F.col("e"), (-F.col("b")).alias("b"))).alias("k")).select("a", (-F.col("k.b")).alias("b"))
 
     def labelled(df: DataFrame, c: str, name: str) -> DataFrame:
         return df.join(comp.select(F.col("id").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
 
-    across = labelled(labelled(pairs, "a", "ca"), "b", "cb").filter("ca != cb").select("a", "b")
-    links = stage(links.union(confirm(across, held)), "links")
+    def across(p: DataFrame) -> DataFrame:
+        return labelled(labelled(p, "a", "ca"), "b", "cb").filter("ca != cb").select("a", "b", "e")
+
+    # sets against the smallest set of their nodes
+    star = every.filter("id != least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+    star = star.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
+    star = star.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
+    stars = stage(star.select("a", "na", "sa", "b", "nb", "sb").mapInPandas(_compare_star, "a long, b long, e double"), "stars")
+    first = stage(likeliest(stars), "first")
+    links = stage(confirm(first, sets_of(first)), "links")
+    comp = stage(components(links), "comp")
+
+    # small nodes across components, and what the stars left
+    small = labelled(every.filter(F.col("size") <= SMALL).select("node", "id"), "id", "component").join(sets, "id")
+    small = small.select("node", "id", "n", "component", "sig").repartition("node").sortWithinPartitions("node")
+    pairs = small.mapInPandas(_compare_small, "a long, b long, e double").union(stars).groupBy("a", "b").agg(F.max("e").alias("e"))
+    pairs = stage(across(pairs), "pairs")
+    held = stage(sets_of(pairs), "held")
+    links = stage(links.union(confirm(likeliest(pairs), held)), "links")
+    comp = stage(components(links), "comp")
+    links = stage(links.union(confirm(across(pairs), held)), "links")
     comp = stage(components(links), "comp")
 
     # nodes still large: exhaustively across components, in blocks
-    mixed = labelled(last, "id", "component")
+    mixed = labelled(levels[-1].filter(F.col("size") > SMALL).select("node", "id"), "id", "component")
     sizes = mixed.groupBy("node", "component").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("node").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("node", "main")
-    several = stage(mixed.join(main, "node"), "several")
+    several = stage(mixed.join(main, "node").join(sets, "id"), "several")
     if several.limit(1).count():
         rows = several.select("node", "id", "n", "component", "sig", "main")
         blocks = (
