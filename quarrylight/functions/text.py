@@ -285,7 +285,7 @@ def entities(x: Column) -> Column:
 
         def one(acc: Column, ref: Column) -> Column:
             code = F.conv(F.regexp_extract(ref, "([0-9a-fA-F]+);", 1), base, 10).cast("int")
-            code = F.when(code.isNull() | (code == 0), F.lit(32)).otherwise(code)
+            code = F.when(code.isNull() | ~code.between(1, 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit(32)).otherwise(code)
             # a code point as UTF-32, so that every plane is reached
             return F.replace(acc, ref, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
