@@ -135,19 +135,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: uri, response, request, metadata (structs; null where no such record is).
 
-    Records that repeat an id (captures that repeat an id) pair up by their order under it.
+    Request and metadata meet their response over the concurrent-to identifier and the target. Captures
+    that repeat an id with the same payload and target have equal side records, so one of each serves them
+    all; the payload crosses the network once, and only in the join, whose skew adaptive execution splits.
     """
-    from pyspark.sql.window import Window
-
     part = F.struct("record_id", "type", "refers_to", "payload_digest", "date", "http", "block")
     is_main = F.col("type").isin("response", "revisit", "resource")
-    main = records.filter(is_main).select(F.col("record_id").alias("key"), "uri", part.alias("r"))
-    side = lambda kind: records.filter(F.col("type") == kind).select(F.col("concurrent_to").alias("key"), part.alias(kind))
-    nth = lambda df, c: df.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(f"{c}.block"))))
-    out = nth(main, "r")
-    for kind in ("request", "metadata"):
-        out = out.join(nth(side(kind), kind), ["key", "nth"], "left")
-    return out.select("uri", F.col("r").alias("response"), "request", "metadata")
+    main = records.filter(is_main).select(F.col("record_id").alias("key"), "uri", part.alias("response"))
+    of = lambda kind: F.first(F.when(F.col("type") == kind, part), ignorenulls=True).alias(kind)
+    sides = records.filter(~is_main).groupBy(F.col("concurrent_to").alias("key"), "uri").agg(of("request"), of("metadata"))
+    return main.join(sides, ["key", "uri"], "left").select("uri", "response", "request", "metadata")
 
 
 def captures_of(assembled: DataFrame) -> DataFrame:
