@@ -22,6 +22,8 @@ as the model has byte pieces; an empty table gives an empty result; other column
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from itertools import groupby
@@ -34,7 +36,9 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 SPACE = "▁"
-MEMO = 200_000
+MEMO = 1_200_000
+_WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_MARKS = ".,;:!?|\"'()$%&*#"
 # Fixed values of the model format: piece types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -65,8 +69,11 @@ class Codec:
             self.automaton.add_word(self.pieces[i], (len(self.pieces[i]), i))
         self.automaton.make_automaton()
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", self.pieces[i]) for i in usable)
-        self.memo: dict[str, list[int]] = {}
-        self.pair: dict[tuple[int, int], bool] = {}
+        self.memo: dict[str, bytes] = {}
+        self.pair: dict[int, bool] = {}
+        self.whole: dict[int, bool] = {}
+        self.odd = np.zeros(len(self.pieces), dtype=bool)
+        self.odd[[*self.byte_of, *self.control]] = True
 
     # --- byte-pair models
     def _merged(self, chars: list[str]) -> list[str]:
@@ -82,47 +89,59 @@ class Codec:
             chars[at : at + 2] = [chars[at] + chars[at + 1]]
 
     def _compatible(self, a: int, b: int) -> bool:
-        key = (a, b)
-        if key not in self.pair:
+        """Do the characters of two pieces side by side merge into just these pieces."""
+        key = a << 20 | b
+        ok = self.pair.get(key)
+        if ok is None:
             if len(self.pair) > 4 * MEMO:
                 self.pair.clear()
             x, y = self.pieces[a], self.pieces[b]
-            self.pair[key] = self._merged([*x, *y]) == [x, y]
-        return self.pair[key]
+            ok = self.pair[key] = self._merged([*x, *y]) == [x, y]
+        return ok
+
+    def _whole(self, piece: int) -> bool:
+        """Does a piece come out of its own characters."""
+        ok = self.whole.get(piece)
+        if ok is None:
+            ok = self.whole[piece] = self._merged([*self.pieces[piece]]) == [self.pieces[piece]]
+        return ok
 
     def _known(self, text: str) -> list[int]:
         """Ids of a text all of whose characters are pieces."""
         n = len(text)
-        last: list[int | None] = [None] * (n + 1)
-        back = [0] * (n + 1)
+        last, back = [-1] * (n + 1), [0] * (n + 1)
         if self.is_bpe:
+            pair = self.pair
             for end, (size, piece) in self.automaton.iter(text):
                 stop = end + 1
+                if last[stop] >= 0:
+                    continue
                 start = stop - size
-                if last[stop] is None and (start == 0 or last[start] is not None):
-                    # a piece must also come out of its own characters, as merges make it
-                    if self._whole(piece) and (start == 0 or self._compatible(last[start], piece)):
-                        last[stop], back[stop] = piece, start
+                if start:
+                    before = last[start]
+                    if before < 0:
+                        continue
+                    ok = pair.get(before << 20 | piece)
+                    if ok is None:
+                        ok = self._compatible(before, piece)
+                else:
+                    ok = self._whole(piece)
+                if ok:
+                    last[stop], back[stop] = piece, start
         else:
             best = [float("-inf")] * (n + 1)
             best[0] = 0.0
             for end, (size, piece) in self.automaton.iter(text):
                 stop = end + 1
-                s = best[stop - size] + self.score[piece]
-                if s > best[stop]:
-                    best[stop], last[stop], back[stop] = s, piece, stop - size
+                total = best[stop - size] + self.score[piece]
+                if total > best[stop]:
+                    best[stop], last[stop], back[stop] = total, piece, stop - size
         out, at = [], n
         while at:
             out.append(last[at])
             at = back[at]
         return out[::-1]
 
-    def _whole(self, piece: int) -> bool:
-        key = (piece, -1)
-        if key not in self.pair:
-            self.pair[key] = self._merged([*self.pieces[piece]]) == [self.pieces[piece]]
-        return self.pair[key]
-
     def _chunk(self, text: str) -> list[int]:
         """Stretches of known characters are encoded, the rest becomes bytes or the unknown id."""
         out: list[int] = []
@@ -136,29 +155,60 @@ class Codec:
                 out.append(self.unk)
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
+        """A word through the memo. For byte-pair models its letters and the marks at its end are looked up
+        apart and joined where the pieces that meet are compatible, which makes the join the encoding."""
+        got = self.memo.get(word)
+        if got is None:
+            core = word.rstrip(_MARKS)
+            if self.is_bpe and core and core != word and core != SPACE:
+                a, b = self._word(core), self._word(word[len(core) :])
+                x, y = int.from_bytes(a[-4:], "little"), int.from_bytes(b[:4], "little")
+                if x in self.score and y in self.score and self._compatible(x, y):
+                    got = a + b
+            if got is None:
+                got = np.asarray(self._chunk(word), dtype="<i4").tobytes()
+            if len(word) < 64:
+                self.memo[word] = got
+        return got
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit numbers."""
         if not text:
-            return []
+            return b""
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
         text = ((" " if self.prefix else "") + text).replace(" ", SPACE)
         if not self.by_word:
-            return self._chunk(text)
+            return np.asarray(self._chunk(text), dtype="<i4").tobytes()
+        if len(self.memo) > MEMO:
+            self.memo.clear()
         memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        out: list[int] = []
-        for w in re.findall(f"{SPACE}*[^{SPACE}]*", text):
-            if w:
-                got = memo.get(w)
-                if got is None:
-                    got = self._chunk(w)
-                    if len(w) < 64:
-                        memo[w] = got
-                out += got
+        words = _WORDS.findall(text)
+        for w in set(words):
+            if w not in memo:
+                memo[w] = self._word(w)
+        out = b"".join([memo[w] for w in words])
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), dtype="<i4").tolist()
+
+    @classmethod
+    def of_worker(cls, model: bytes) -> Codec:
+        """The codec of this process: Python workers live on from task to task, and so does the memo."""
+        held = sys.modules.setdefault("_quarrylight_codecs", types.ModuleType("_quarrylight_codecs")).__dict__
+        key = hash(model)
+        if key not in held:
+            held[key] = cls(model)
+        return held[key]
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        ids = np.asarray(ids, dtype=np.int64)
+        if not self.odd[ids].any():
+            text = "".join(map(self.pieces.__getitem__, ids.tolist())).replace(SPACE, " ")
+            return text[1:] if self.prefix and text.startswith(" ") else text
+        ids = ids.tolist()
         out: list[str] = []
         run = bytearray()
         for i in [*ids, -1]:
@@ -188,11 +238,11 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     model = _shared_model(docs, model_path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(model.value)
+        codec = Codec.of_worker(model.value)
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
                 part = pdf.iloc[lo : lo + 500]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": [codec.encode(t) for t in part["t"]]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": [np.frombuffer(codec.encode_bytes(t), dtype="<i4") for t in part["t"]]})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t")).mapInPandas(run, "doc_id long, ids array<int>")
 
@@ -203,7 +253,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     model = _shared_model(encoded, model_path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(model.value)
+        codec = Codec.of_worker(model.value)
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
                 part = pdf.iloc[lo : lo + 500]
@@ -213,7 +263,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
                         "doc_id": part["doc_id"].astype("Int64"),
                         "n_ids": [len(x) for x in ids],
                         "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids],
-                        "text": [codec.decode(x.tolist()) for x in ids],
+                        "text": [codec.decode(x) for x in ids],
                     }
                 )
 
