@@ -84,4 +84,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
-ORACLE: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL}
+_RULES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w WHERE len(ws) >= 3)),
+hit AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1)) GROUP BY r),
+l AS (SELECT r, source, t, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) AS k FROM (SELECT r, source, t, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM l GROUP BY r),
+hosts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
+seen AS (SELECT l.source, k, count(DISTINCT t) AS c, any_value(hosts.n) AS n FROM l JOIN hosts ON l.source IS NOT DISTINCT FROM hosts.source WHERE l.n <= 20 GROUP BY l.source, k HAVING count(DISTINCT t) > greatest(20.0, 0.002 * any_value(hosts.n))),
+lost AS (SELECT r, sum(l.n) AS n FROM l JOIN seen ON l.k = seen.k AND l.source IS NOT DISTINCT FROM seen.source WHERE l.n <= 20 GROUP BY r),
+b AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_boilerplate_words
+  FROM d JOIN w USING (r) LEFT JOIN hit USING (r) LEFT JOIN dup USING (r) LEFT JOIN lost USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_boilerplate_words <= 0.5 * n_words AS kept FROM b
+"""
+
+_CHAT_SQL = r"""
+WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+  SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, replace(replace(text, '\', '\\'), '<|', '<\|') AS body, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') AS who FROM m)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|><|im_end|>') + 2 + length(who) + length(body)) AS BIGINT) AS formatted_chars,
+  CASE WHEN string_agg(role, ',' ORDER BY turn, role, text) = 'user,assistant' THEN 'prompt_response' ELSE 'messages' END AS layout
+FROM e GROUP BY conv_id
+"""
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (SELECT h, max(page_id) AS m FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest, CASE WHEN m > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m > page_id THEN m END AS refers_to
+FROM p LEFT JOIN g ON p.h = g.h
+"""
+
+ORACLE: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL, "op3_quality_rules": _RULES_SQL, "op4_chat_format": _CHAT_SQL, "op10_warc": _WARC_SQL}
