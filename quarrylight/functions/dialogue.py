@@ -200,13 +200,28 @@ def workflow(x: Column) -> Column:
 
 
 def budget(x: Column) -> Column:
-    """struct(amount, currency, days) of a budget question, with 1200, USD and 3 where it does not say."""
-    t = F.lower(s(x))
-    num = lambda p: F.nullif(F.replace(group(t, p), F.lit(","), F.lit("")), F.lit("")).cast("double")
-    amount = F.coalesce(num(r"(?:\$|₹|€|£|usd|inr|eur|gbp|rs\.?)\s*(\d[\d,]*)"), num(r"(\d[\d,]*)\s*(?:dollars?|usd|rupees?|inr|euros?|eur|pounds?|gbp)\b"), num(r"\bbudget\D{0,20}(\d[\d,]*)"), F.lit(1200.0))
-    currency = F.when(t.rlike("₹|\\binr\\b|rupee|\\brs\\b"), "INR").when(t.rlike("€|\\beur\\b|euro"), "EUR").when(t.rlike("£|\\bgbp\\b|pound"), "GBP").otherwise("USD")
-    days = F.coalesce(F.nullif(group(t, r"\b(\d{1,2})\s*-?\s*days?\b"), F.lit("")).cast("int"), F.lit(3))
-    return F.struct(amount.alias("amount"), currency.alias("currency"), days.alias("days"))
+    """struct(amount, currency, days, destination) of a budget question, with 1200, USD, 3 and "your destination" where it does not say."""
+    t = s(x)
+    phrase = r"(?i)\b(?:under|within|budget\s*(?:of)?|up to|max(?:imum)?(?: of)?)\s*(rs\.?|inr|usd|eur|gbp|\$)?\s*(\d+[\d,]*)\s*(usd|inr|eur|gbp)?\b"
+    parts = {
+        "said": group(t, phrase, 2), "before": group(t, phrase, 1), "after": group(t, phrase, 3),
+        "dollars": group(t, r"\$\s*(\d+[\d,]*)"), "bare": group(t, r"(?i)\b(\d+[\d,]*)\s*(?:usd|inr|eur|gbp)\b"), "unit": group(t, r"(?i)\b\d+[\d,]*\s*(usd|inr|eur|gbp)\b"),
+        "days": F.nullif(group(t, r"(?i)(\d+)\s*(?:days?|nights?)"), F.lit("")).cast("int"),
+        "place": F.trim(group(t, r"(?i)\b(?:to|in)\s+([a-zA-Z][a-zA-Z\s,.-]{1,60}?)(?=\s+(?:for|under|within|budget|up to|max(?:imum)?|\d+\s*(?:days?|nights?))\b|$)")),
+    }
+
+    def read(r: Column) -> Column:
+        amount = F.when(r["said"] != "", r["said"]).when(r["dollars"] != "", r["dollars"]).otherwise(r["bare"])
+        unit = F.when(r["said"] != "", F.when(r["before"] == "$", F.lit("USD")).when(r["before"] != "", r["before"]).otherwise(r["after"])).when(r["dollars"] != "", F.lit("USD")).otherwise(r["unit"])
+        unit = F.upper(unit)
+        return F.struct(
+            F.coalesce(F.nullif(F.replace(amount, F.lit(","), F.lit("")), F.lit("")).cast("double"), F.lit(1200.0)).alias("amount"),
+            F.when(unit.isin("USD", "INR", "EUR", "GBP"), unit).otherwise("USD").alias("currency"),
+            F.when(r["days"].isNull(), 3).otherwise(F.greatest(F.lit(1), r["days"])).alias("days"),
+            F.when(r["place"] != "", r["place"]).otherwise("your destination").alias("destination"),
+        )
+
+    return let(parts, read)
 
 
 # --- science read aloud -------------------------------------------------------------------------------------------------------

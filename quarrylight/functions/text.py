@@ -178,7 +178,7 @@ def intent_tokens(x: Column) -> Column:
 
 
 def code_tokens(x: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(s(x), F.lit(r"([A-Za-z_$][A-Za-z0-9_$]*)"), 1))
+    return F.array_distinct(F.regexp_extract_all(s(x), F.lit(r"([A-Za-z][A-Za-z0-9_.'-]*)"), 1))
 
 
 WORD = "[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*"
@@ -342,8 +342,8 @@ def strip_markdown(x: Column) -> Column:
 
 
 def dashes(x: Column) -> Column:
-    """Long dashes, no-break spaces and curly quotes become plain ones."""
-    return F.translate(s(x), "‒–—― ‘’“”", "---- ''\"\"")
+    """Long dashes and hyphens, no-break spaces and curly quotes become plain ones."""
+    return F.translate(s(x), "\u2010\u2011\u2012\u2013\u2014\u2015\u00a0\u202f\u2018\u2019\u201c\u201d", "------  ''\"\"")
 
 
 def redact(x: Column, limit: int = 220) -> Column:
@@ -375,7 +375,13 @@ def locale(x: Column) -> Column:
     return out.otherwise("en-US")
 
 
-def confidence_bucket(x: Column) -> Column:
+def confidence_bucket(x: Column, uncertainty: Column | None = None) -> Column:
+    """high, medium, low; medium wherever an uncertainty is told, empty without a number."""
+    told = F.lit(False) if uncertainty is None else s(uncertainty) != ""
+    return F.when(told, "medium").when(x.isNull() | F.isnan(x), "").otherwise(_bucket(x))
+
+
+def _bucket(x: Column) -> Column:
     return F.when(x >= 0.82, "high").when(x >= 0.55, "medium").otherwise("low")
 
 

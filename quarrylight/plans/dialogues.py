@@ -100,12 +100,15 @@ def spoken_science(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", D.speak_science(text).alias("spoken"))
 
 
-@query("budget_questions", "SELECT o_orderkey, floor(o_totalprice)::DOUBLE AS amount, CASE o_orderkey % 3 WHEN 0 THEN 'INR' WHEN 1 THEN 'EUR' ELSE 'USD' END AS currency, CAST(o_orderkey % 20 + 1 AS INT) AS days FROM orders")
+@query(
+    "budget_questions",
+    "SELECT o_orderkey, floor(o_totalprice)::DOUBLE AS amount, CASE o_orderkey % 3 WHEN 0 THEN 'INR' WHEN 1 THEN 'EUR' ELSE 'USD' END AS currency, CAST(o_orderkey % 20 + 1 AS INT) AS days, 'Goa' AS destination FROM orders",
+)
 def budget_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    sign = F.when(k % 3 == 0, "₹").when(k % 3 == 1, "€").otherwise("$")
-    asked = F.concat(F.lit("plan a "), k % 20 + 1, F.lit("-day trip under "), sign, F.floor("o_totalprice").cast("string"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", D.budget(asked).alias("b")).select("o_orderkey", "b.amount", "b.currency", "b.days")
+    k, amount = F.col("o_orderkey"), F.floor("o_totalprice").cast("string")
+    said = F.when(k % 3 == 0, F.concat(F.lit("within INR "), amount)).when(k % 3 == 1, F.concat(F.lit("about "), amount, F.lit(" eur"))).otherwise(F.concat(F.lit("for $"), amount))
+    asked = F.concat(F.lit("trip to Goa for "), k % 20 + 1, F.lit(" days "), said)
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.budget(asked).alias("b")).select("o_orderkey", "b.*")
 
 
 @query("conversation_threads")

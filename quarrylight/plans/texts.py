@@ -87,7 +87,7 @@ def _spaced(stop: list[str]) -> str:
     f"""SELECT doc_id, len({terms("text")}) AS n_query_terms, {_sorted(terms("text", "[a-z0-9]{3,}"))} AS long_terms,
 len({terms("text", "[a-z0-9][a-z0-9.+-]+", T.STOP_FRESH)}) AS n_fresh_terms, {_sorted(_spaced(T.STOP_RELEVANCE))} AS relevance_terms, {_sorted(_spaced(T.STOP_TOPIC))} AS topic_terms,
 len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'), lambda t: NOT list_contains({words(T.STOP_INTENT)}, t))) AS n_intent_tokens,
-len(list_distinct(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*'))) AS n_identifiers FROM documents""",
+len(list_distinct(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.''-]*'))) AS n_identifiers FROM documents""",
 )
 def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("text")

@@ -58,7 +58,7 @@ def test_places(spark):
 
 def test_small(spark):
     assert one(spark, d.workflow(F.lit("plan my weekend"))) == "plan_weekend" and one(spark, d.workflow(F.lit("x"))) is None
-    assert tuple(one(spark, d.budget(F.lit("5 day trip under ₹20,000")))) == (20000.0, "INR", 5)
-    assert tuple(one(spark, d.budget(F.lit("a trip")))) == (1200.0, "USD", 3)
+    assert tuple(one(spark, d.budget(F.lit("5 day trip to Goa under inr 20,000")))) == (20000.0, "INR", 5, "Goa")
+    assert tuple(one(spark, d.budget(F.lit("a trip")))) == (1200.0, "USD", 3, "your destination")
     assert one(spark, d.forget_key(F.lit("forget that my dog's name is Rex"))) == "dog's name"
     assert [one(spark, d.status_error(F.lit(c))) for c in (200, 401, 429, 503)] == [None, "provider_auth_failed", "rate_limited", "provider_unavailable"]
