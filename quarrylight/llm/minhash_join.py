@@ -4,7 +4,7 @@ Sets are distinct five-word shingles (ASCII lower case); two texts are linked wh
 similarity is ``threshold`` or more, confirmed on the full sets.
 
 1. One pass writes per document the set's size, a 128-bit key of the whole set, and ``SIGNATURE`` minwise
-   tokens. Documents with equal sets form one class at once; the join works on class representatives.
+   tokens with ``PRINTS`` short ones that sharpen estimates. Documents with equal sets form one class at once; the join works on class representatives.
 2. Chosen paths: a node of a tree selects one or two coordinates (by hash of the node, 4/3 on average,
    the branching at which a pair at the threshold stays together), and a set goes into the child that its
    minwise token at the coordinate names. A node with one set ends. A node of up to ``SMALL`` sets is
@@ -49,8 +49,9 @@ TREES = 12
 SMALL = 48
 DEPTH = 3
 BLOCK = 256
-#: A pair at the threshold shows fewer equal minwise tokens than this with a chance below 1e-7.
-MAYBE = 0.45
+PRINTS = 256
+#: Of SIGNATURE tokens and PRINTS prints, a pair at the threshold shows a smaller share equal with a chance below 1e-7.
+MAYBE = 0.62
 
 _U = np.uint64
 _P = _U(0x100000001B3)
@@ -62,6 +63,8 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _RNG = np.random.default_rng(75)
 _MUL = _RNG.integers(1, 2**63, SIGNATURE, dtype=np.uint64) | _U(1)
 _ADD = _RNG.integers(0, 2**63, SIGNATURE, dtype=np.uint64)
+_MUL32 = _RNG.integers(1, 2**32, PRINTS, dtype=np.uint32) | np.uint32(1)
+_ADD32 = _RNG.integers(0, 2**32, PRINTS, dtype=np.uint32)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,13 +104,19 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(h if k == WORDS else mix(h + _U(k)))
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def signature(s: np.ndarray) -> bytes:
+    """SIGNATURE minwise tokens of 32 bits, then PRINTS more of 8 bits, which only sharpen estimates."""
     low = np.full(SIGNATURE, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(s), 4096):
-        h = np.multiply.outer(s[at : at + 4096], _MUL)
+    fine = np.full(PRINTS, 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(s), 2048):
+        part = s[at : at + 2048]
+        h = np.multiply.outer(part, _MUL)
         h += _ADD
-        low = np.minimum(low, ((h.min(axis=0)) >> _U(32)).astype(np.uint32))
-    return low
+        low = np.minimum(low, (h.min(axis=0) >> _U(32)).astype(np.uint32))
+        h = np.multiply.outer((part >> _U(32)).astype(np.uint32), _MUL32)
+        h += _ADD32
+        fine = np.minimum(fine, h.min(axis=0))
+    return low.tobytes() + fine.astype(np.uint8).tobytes()
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,7 +125,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc_id, text in zip(pdf["doc_id"], pdf["t"], strict=True):
             s = shingles(text)
             k1, k2 = (int(mix(s + c).sum(dtype=_U).view(np.int64)) for c in (_C1, _C3))
-            out.append((doc_id, len(s), k1, k2, signature(s).tobytes() if len(s) else None))
+            out.append((doc_id, len(s), k1, k2, signature(s) if len(s) else None))
         yield pd.DataFrame(out, columns=["doc_id", "n", "k1", "k2", "sig"]).astype({"doc_id": "Int64"})
 
 
@@ -133,14 +142,18 @@ def _children(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _signatures(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(-1, SIGNATURE)
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, 4 * SIGNATURE + PRINTS)
+
+
+def _tokens(sig: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(sig[:, : 4 * SIGNATURE]).view(np.uint32)
 
 
 def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seeds = mix(np.arange(1, TREES + 1, dtype=_U) * _C3)
     for pdf in batches:
         if len(pdf):
-            sig = _signatures(pdf["sig"])
+            sig = _tokens(_signatures(pdf["sig"]))
             ids = pdf["id"].to_numpy()
             for seed in seeds:
                 rows, kids = _children(np.full(len(ids), seed), sig)
@@ -150,16 +163,19 @@ def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _branch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf):
-            rows, kids = _children(pdf["node"].to_numpy().view(_U), _signatures(pdf["sig"]))
+            rows, kids = _children(pdf["node"].to_numpy().view(_U), _tokens(_signatures(pdf["sig"])))
             yield pd.DataFrame({"node": kids.view(np.int64), "id": pdf["id"].to_numpy()[rows]})
 
 
 def _likeness(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Share of equal minwise tokens; 0 where the sizes alone rule the threshold out."""
+    """Share of equal tokens and prints; 0 where the sizes alone rule the threshold out."""
     ok = 100 * np.minimum(na, nb) >= THRESHOLD * np.maximum(na, nb)
     out = np.zeros(len(ok))
     at = np.flatnonzero(ok)
-    out[at] = (sa[at] == sb[at]).mean(axis=1)
+    if len(at):
+        a, b = sa[at], sb[at]
+        same = (_tokens(a) == _tokens(b)).sum(axis=1) + (a[:, 4 * SIGNATURE :] == b[:, 4 * SIGNATURE :]).sum(axis=1)
+        out[at] = same / (SIGNATURE + PRINTS)
     return out
 
 
@@ -208,8 +224,8 @@ def _compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for x, n, comp, sig, block in zip(pdf["id"], pdf["n"], pdf["component"], pdf["sig"], pdf["block"], strict=True):
-            own = np.frombuffer(sig, dtype=np.uint32)
-            other = np.frombuffer(b"".join(r["sig"] for r in block), dtype=np.uint32).reshape(-1, SIGNATURE)
+            own = np.frombuffer(sig, dtype=np.uint8)
+            other = _signatures(r["sig"] for r in block)
             ids, ns, comps = (np.array([r[k] for r in block]) for k in ("id", "n", "component"))
             ok = (comps != comp) & (_likeness(np.broadcast_to(own, other.shape), other, np.full(len(ids), n), ns) >= MAYBE)
             out += [(max(x, y), min(x, y)) for y in ids[ok].tolist()]
