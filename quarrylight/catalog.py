@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import dialogues, texts, turns
+from .plans import dialogues, search, texts, turns
 
-_MODULES = [texts, turns, dialogues]
+_MODULES = [texts, turns, dialogues, search]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
