@@ -37,7 +37,7 @@ from .common import stage, text_of
 CAPACITY = 4096
 END_ID = 1
 #: Words kept with their ids in a worker; the memo starts anew when full, so memory is bounded.
-MEMO_WORDS = 1_200_000
+MEMO_WORDS = 2_000_000
 
 _RARE_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 _TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
