@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import dates, urls
 from .dialogue import query_target
-from .rules import CHANGING
+from .rules import CHANGING, discovery_subject, is_discovery_source, is_related, is_related_topic, own_terms
 from .text import collapse, group, has, let, s, search_query, topic_terms, trim, without
 
 # --- fixed values: patterns ----------------------------------------------------------------------------------
@@ -78,6 +78,20 @@ def rewrite(x: Column) -> Column:
     return F.when(q == "", empty).otherwise(let({"raw": raw, "target": query_target(raw)}, build))
 
 
+def related(query: Column, title: Column, description: Column, label: Column, kind: Column, date: Column) -> Column:
+    """Is a source about a query: by the discovery it asks for, its type, its topic, its news, or its words."""
+    hay = F.lower(F.concat_ws(" ", s(title), s(description), s(label)))
+    found, about = discovery_subject(query), subject(query)
+    own = own_terms(query)
+    return (
+        F.when(found.isNotNull(), is_discovery_source(found, title, description))
+        .when(has(s(kind), "(?i)^free_") | (F.size(own) == 0), True)
+        .when(is_current_topic(query), is_related_topic(query, hay, about))
+        .when(has(s(kind), "(?i)^(trusted_news|public_news)$") & (s(date) != ""), F.exists(own, lambda t: F.contains(hay, t)))
+        .otherwise(is_related(query, hay, about))
+    )
+
+
 def review_queries(x: Column) -> Column:
     """Three phrasings for a current topic; none for anything else."""
     who, what = subject(x), intent_term(x)

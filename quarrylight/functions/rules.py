@@ -209,22 +209,24 @@ def discovery_subject(query: Column) -> Column:
     return F.when(hit.isNotNull() & F.length(subject).between(1, 90), subject)
 
 
-def _own_terms(x: Column) -> Column:
+def own_terms(x: Column) -> Column:
     common = F.array(*[F.lit(t) for t in COMMON_TERMS])
     return F.filter(query_terms(x), lambda t: ~F.array_contains(common, t))
 
 
 def is_discovery_source(subject: Column, title: Column, description: Column) -> Column:
     hay = F.lower(F.concat_ws(" ", s(title), s(description)))
-    words = _own_terms(subject)
+    words = own_terms(subject)
     return (F.size(words) > 0) & F.forall(words, lambda t: F.contains(hay, t)) & (has(hay, DISCOVERY) | F.contains(F.lower(s(title)), F.lower(subject)))
 
 
-def is_related(query: Column, hay: Column) -> Column:
-    """Two thirds of the query's own terms, two at least, occur; a lone term needs four letters; a phrase of two words or more is enough."""
-    text = F.trim(without(F.lower(s(hay)), r"[^a-z0-9]+", " "))
-    phrase = F.trim(without(F.lower(s(query)), r"[^a-z0-9]+", " "))
-    words = F.filter(_own_terms(query), lambda t: (F.length(t) > 2) | has(t, r"^\d{4}$"))
+def is_related(query: Column, hay: Column, subject: Column | None = None) -> Column:
+    """Two thirds of the subject's own terms (or the query's), two at least, occur; a lone term needs four letters; a subject of two words or more is enough as a phrase."""
+    subject = F.coalesce(F.nullif(s(subject), F.lit("")), query) if subject is not None else query
+    text = F.trim(F.regexp_replace(F.lower(s(hay)), r"[^a-z0-9]+", " "))
+    phrase = F.trim(F.regexp_replace(F.lower(s(subject)), r"[^a-z0-9]+", " "))
+    long = lambda x: F.filter(own_terms(x), lambda t: (F.length(t) > 2) | t.rlike(r"^\d{4}$"))
+    words = F.when(F.size(long(subject)) > 0, long(subject)).otherwise(long(query))
     n = F.size(words)
     hits = F.size(F.filter(words, lambda t: F.contains(text, t)))
     need = F.least(n, F.greatest(F.lit(2), F.ceil(n * F.lit(0.67)).cast("int")))
@@ -232,14 +234,26 @@ def is_related(query: Column, hay: Column) -> Column:
     return (text != "") & ((phrase.rlike(r"\s") & F.contains(text, phrase)) | by_terms)
 
 
-def is_citation(query: Column, title: Column, url: Column, description: Column, kind: Column, domain: Column, fetched: Column, level: Column, shortcut: Column | None = None) -> Column:
-    """May a source be cited for a query."""
+def is_related_topic(query: Column, hay: Column, subject: Column) -> Column:
+    """For a current topic: the subject as a phrase, or two thirds of its terms and as many of the query's."""
+    kept = lambda x: F.filter(own_terms(x), lambda t: ~t.rlike(r"^\d$"))
+    low = F.lower(s(hay))
+    phrase = F.trim(F.regexp_replace(F.lower(s(subject)), r"[^a-z0-9]+", " "))
+    n = F.size(kept(subject))
+    of_subject, of_query = (F.size(F.filter(kept(x), lambda t: F.contains(low, t))) for x in (subject, query))
+    need = F.least(n, F.greatest(F.lit(2), F.ceil(n * F.lit(0.67)).cast("int")))
+    by_terms = F.when(n <= 1, (of_subject == n) & (of_query >= 2)).otherwise((of_subject >= need) & (of_query >= need))
+    return ((s(subject) != "") & F.contains(F.regexp_replace(low, r"[^a-z0-9]+", " "), phrase)) | by_terms
+
+
+def is_citation(query: Column, title: Column, url: Column, description: Column, kind: Column, domain: Column, fetched: Column, level: Column, shortcut: Column | None = None, related: Column | None = None) -> Column:
+    """May a source be cited for a query. ``related`` (see ``queries.related``) says whether it is about it; without it, the generic rule does."""
     t, u, d, k = trim(title), trim(url), trim(description), trim(kind)
     dom = F.lower(F.when(s(domain) == "", urls.host(u)).otherwise(s(domain)))
     seen = F.lower(F.concat_ws(" ", t, d, u))
     subject = discovery_subject(query)
-    own = F.size(_own_terms(query))
-    related = (
+    own = F.size(own_terms(query))
+    related = related if related is not None else (
         F.when(subject.isNotNull(), is_discovery_source(subject, t, d)).when(has(k, "(?i)^free_"), True).when(own == 0, True).otherwise(is_related(query, F.concat_ws(" ", t, d)))
     )
     fetched = F.coalesce(fetched, F.lit(False))

@@ -9,7 +9,7 @@ from ..functions import answers, rules, urls
 from ..functions import text as T
 from ..operators import chunk, joins, rank
 from .common import QUERY, SOURCES, Query, hits, like, lit, sources, table, terms
-from .texts import _KEY, _T1, _WS
+from .texts import _KEY, _T1, _WS, about
 from .turns import _CITABLE, _STRONG
 
 QUERIES: dict[str, Query] = {}
@@ -35,7 +35,7 @@ def verified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dedupe by canonical URL, keep what may be cited, rank, take ten."""
     c = {n: F.col(n) for n in ("title", "url", "description", "kind", "domain", "fetched", "level", "trusted", "date")}
     rows = rank.keep_first(sources(spark, sf_dir), urls.canonical_key(F.col("url")), "ord")
-    ok = rules.is_citation(F.lit(QUERY), c["title"], c["url"], c["description"], c["kind"], c["domain"], c["fetched"], c["level"])
+    ok = rules.is_citation(F.lit(QUERY), c["title"], c["url"], c["description"], c["kind"], c["domain"], c["fetched"], c["level"], related=about(QUERY))
     score = rank.source_score(T.query_terms(F.lit(QUERY)), *[c[n] for n in ("title", "description", "domain", "kind", "level", "trusted", "date")])
     out = rows.filter(ok).select("ord", "url", score.cast("int").alias("score"), rules.is_strong(c["kind"], c["domain"], c["fetched"], c["level"], c["trusted"]).alias("strong"))
     return out.orderBy(F.desc("score"), "ord").limit(10)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, rules, urls
+from ..functions import queries as Q
 from ..functions import text as T
 from ..operators import chunk, rank
 from .common import AS_OF, HOST, QUERY, SOURCES, Query, collapse, hits, like, lit, sources, sub, table, terms, words
@@ -275,10 +276,16 @@ def trusted_host_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources(spark, sf_dir).select("ord", F.explode(ends).alias("host")).join(F.broadcast(hosts), "host").select("ord", "host")
 
 
-_OWN = f"list_filter({terms(lit(QUERY))}, lambda t: NOT list_contains({words(T.COMMON_TERMS)}, t))"
-_HAY2 = f"trim({sub('lower(title || chr(32) || description)', ('[^a-z0-9]+', ' '))})"
-_NEED = f"list_filter({_OWN}, lambda t: length(t) > 2)"
-_RELATED = f"({_HAY2} <> '' AND (contains({_HAY2}, {lit(QUERY)}) OR len(list_filter({_NEED}, lambda t: contains({_HAY2}, t))) >= least(len({_NEED}), greatest(2, ceil(len({_NEED}) * 0.67)))))"
+# The query is about a current topic; its subject is "thention erthe onre and thoning", its own terms that and "reviews".
+_SUBJECT = ["thention", "erthe", "onre", "thoning"]
+_LOW = "lower(title || ' ' || description || ' ')"
+_COUNT = lambda ws: f"len(list_filter({words(ws)}, lambda t: contains({_LOW}, t)))"
+_RELATED = f"(contains({sub(_LOW, ('[^a-z0-9]+', ' '))}, 'thention erthe onre and thoning') OR ({_COUNT(_SUBJECT)} >= 3 AND {_COUNT([*_SUBJECT, 'reviews'])} >= 3))"
+
+
+def about(query_text: str):
+    """Relatedness of the rows of ``sources`` to a query."""
+    return Q.related(F.lit(query_text), F.col("title"), F.col("description"), F.lit(""), F.col("kind"), F.col("date"))
 
 
 @query(
@@ -290,7 +297,7 @@ coalesce(level = 'structured_claim' OR (kind = 'official_source' AND fetched) OR
 )
 def citation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = {n: F.col(n) for n in ("title", "url", "description", "kind", "domain", "fetched", "level", "trusted")}
-    ok = rules.is_citation(F.lit(QUERY), c["title"], c["url"], c["description"], c["kind"], c["domain"], c["fetched"], c["level"])
+    ok = rules.is_citation(F.lit(QUERY), c["title"], c["url"], c["description"], c["kind"], c["domain"], c["fetched"], c["level"], related=about(QUERY))
     strong = rules.is_strong(c["kind"], c["domain"], c["fetched"], c["level"], c["trusted"])
     return sources(spark, sf_dir).select("ord", ok.alias("citable"), strong.alias("strong"))
 

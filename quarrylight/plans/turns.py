@@ -9,7 +9,7 @@ from ..functions import dates, rules
 from ..functions import text as T
 from ..operators import conversation, evidence, rank, state
 from .common import AS_OF, HOST, QUERY, SOURCES, Query, collapse, events, like, lit, sources, sub, table, terms, words
-from .texts import _NEED, _RELATED
+from .texts import _RELATED, about
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -247,7 +247,7 @@ _STRONG = f"(level = 'structured_claim' OR (kind = 'official_source' AND fetched
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = {n: F.col(n) for n in ("title", "url", "description", "kind", "domain", "fetched", "level", "trusted")}
-    ok = rules.is_citation(F.lit(QUERY), c["title"], c["url"], c["description"], c["kind"], c["domain"], c["fetched"], c["level"])
+    ok = rules.is_citation(F.lit(QUERY), c["title"], c["url"], c["description"], c["kind"], c["domain"], c["fetched"], c["level"], related=about(QUERY))
     d = sources(spark, sf_dir).withColumn("evidence", ok).withColumn("strong", rules.is_strong(c["kind"], c["domain"], c["fetched"], c["level"], c["trusted"]))
     return d.withColumn("query_id", F.col("ord") % 40)
 
