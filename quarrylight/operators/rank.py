@@ -137,3 +137,14 @@ def retrieve_then_rerank(scored: DataFrame, logits: DataFrame, first: int = 20,
     a = head.select(id_col, F.when(F.col("rated"), 0).otherwise(1).alias("tier"), F.when(F.col("rated"), logit).otherwise(F.col("score")).alias("key"))
     b = rest.select(id_col, F.lit(2).alias("tier"), F.col("score").alias("key"))
     return a.unionByName(b)
+
+
+def rank_items(items: DataFrame, by: str, order: str, most: int = 48, width: int = 2000) -> DataFrame:
+    """by, id, text: the first items of a group with the first non-blank of text, description, value, title; others get a running id."""
+    from ..functions.text import collapse, first_string
+
+    place = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
+    rows = items.withColumn("_p", place).filter(F.col("_p") < most)
+    text = F.substring(first_string(*[collapse(F.col(c)) for c in ("text", "description", "value", "title") if c in items.columns]), 1, width)
+    known = [F.nullif(F.trim(s(F.col(c))), F.lit("")) for c in ("id", "key") if c in items.columns]
+    return rows.select(by, F.coalesce(*known, F.concat(F.lit("item_"), F.col("_p"))).alias("id"), text.alias("text")).filter("text <> ''")

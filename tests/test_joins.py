@@ -29,3 +29,26 @@ def test_forget(spark):
 
 def test_lookup(spark):
     assert one(spark, joins.lookup(F.lit("ETH or btc?"), joins.COINS)) == "bitcoin" and one(spark, joins.lookup(F.lit("gold"), joins.COINS)) is None
+
+
+def test_rank_items(spark):
+    from quarrylight.operators.rank import rank_items
+
+    df = spark.createDataFrame([(1, 0, None, " a  b ", None), (1, 1, "k", None, "v"), (1, 2, None, None, None)], "q long, o long, key string, text string, value string")
+    assert [tuple(r) for r in rank_items(df, "q", "o").collect()] == [(1, "item_0", "a b"), (1, "k", "v")]
+
+
+def test_scan(spark, tmp_path):
+    from quarrylight.sources import scan
+
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "node_modules" / "x.js").write_text("const secret = 1")
+    (tmp_path / "a.js").write_text("let a = 'it\\'s';\nconst secret = \"b\";\n// Ada King Lovelace")
+    (tmp_path / "b.md").write_text("secret = sample")
+    files = scan.read_tree(spark, str(tmp_path))
+    got = {(r.path.rsplit("/", 1)[1], r.found, r.line) for r in scan.scan(files, [("leak", "a secret", r"\bsecret\s*=\s*\S+")], ["sample"]).collect()}
+    assert got == {("a.js", 'secret = "b";', 2)}
+    assert scan.changed(files, files.filter(F.col("path").endswith("a.js"))).count() == 1
+    row = files.filter(F.col("path").endswith("a.js")).select(scan.names(F.col("text")).alias("n"), scan.string_literals(F.col("text")).alias("l")).first()
+    assert row.n == ["Ada King Lovelace"] and row.l == ["it\\'s", "b"]
+    assert tuple(scan.totals(files, scan.changed(files, files), files.limit(0)).first()) == (2, 2, 0)
