@@ -36,8 +36,9 @@ from .common import stage, text_of
 
 CAPACITY = 4096
 END_ID = 1
-#: Words kept with their ids in a worker; the memo starts anew when full, so memory is bounded.
-MEMO_WORDS = 2_000_000
+#: Words kept with their ids in a worker, in each of two generations: words met again move to the young one, and
+#: when that is full, the old one goes. Memory is bounded, and frequent words stay.
+MEMO_WORDS = 350_000
 
 _RARE_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 _TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -52,6 +53,17 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_str(definition)
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _recall(self, word: str) -> bool:
+        """Is a word known; one of the old generation moves to the young one."""
+        if word in self.memo:
+            return True
+        got = self.old.get(word)
+        if got is None:
+            return False
+        self.memo[word] = got
+        return True
 
     @classmethod
     def of_worker(cls, definition: str) -> WordEncoder:
@@ -84,11 +96,12 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.memo) > MEMO_WORDS:
+            self.old, self.memo = self.memo, {}
         memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
         split = [None if _RARE_SPACE.search(t) else t.split() for t in texts]
         new = {w for ws in split if ws for w in ws if w not in memo}
+        new = [w for w in new if not self._recall(w)]
         made: dict[str, tuple[str, str]] = {}
         learn: set[str] = set()
         for w in new:
@@ -97,9 +110,9 @@ class WordEncoder:
                 low, tail = core.lower(), w[len(core) :]
                 if low != w:
                     made[w] = (low, tail)
-                    if tail and tail not in memo:
+                    if tail and not self._recall(tail):
                         learn.add(tail)
-                if low not in memo:
+                if not self._recall(low):
                     learn.add(low)
             else:
                 learn.add(w)
