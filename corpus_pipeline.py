@@ -25,7 +25,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id stays, once."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("_sha")).distinct()
+    # staged, so the exchanges of the verdict are gone when the texts cross the network once more
+    kept = stage(exact_dedup.exact_dedup(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("_sha")).distinct(), "kept")
     marked = docs.select(*COLUMNS).withColumn("_sha", F.sha2(F.regexp_replace(text_of("text"), WS + "+", " "), 256))
     return marked.join(kept, ["doc_id", "_sha"], "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*COLUMNS)
 
