@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 SPACE = "▁"
-MEMO = 1_200_000
+MEMO = 500_000
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _MARKS = ".,;:!?|\"'()$%&*#"
 # Fixed values of the model format: piece types.
