@@ -49,9 +49,9 @@ TREES = 12
 SMALL = 48
 DEPTH = 3
 BLOCK = 256
-PRINTS = 256
-#: Of SIGNATURE tokens and PRINTS prints, a pair at the threshold shows a smaller share equal with a chance below 1e-7.
-MAYBE = 0.62
+PRINTS = 1024  # of 4 bits, two a byte
+#: A pair at the threshold is estimated lower from SIGNATURE tokens and PRINTS prints with a chance below 1e-7 (5.3 deviations of 0.0137).
+MAYBE = 0.677
 
 _U = np.uint64
 _P = _U(0x100000001B3)
@@ -105,18 +105,19 @@ def shingles(text: str) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """SIGNATURE minwise tokens of 32 bits, then PRINTS more of 8 bits, which only sharpen estimates."""
+    """SIGNATURE minwise tokens of 32 bits, then PRINTS more of 4 bits, which only sharpen estimates."""
     low = np.full(SIGNATURE, 0xFFFFFFFF, dtype=np.uint32)
     fine = np.full(PRINTS, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(s), 2048):
-        part = s[at : at + 2048]
+    for at in range(0, len(s), 512):
+        part = s[at : at + 512]
         h = np.multiply.outer(part, _MUL)
         h += _ADD
         low = np.minimum(low, (h.min(axis=0) >> _U(32)).astype(np.uint32))
         h = np.multiply.outer((part >> _U(32)).astype(np.uint32), _MUL32)
         h += _ADD32
         fine = np.minimum(fine, h.min(axis=0))
-    return low.tobytes() + fine.astype(np.uint8).tobytes()
+    four = (fine & np.uint32(15)).astype(np.uint8)
+    return low.tobytes() + (four[::2] | four[1::2] << np.uint8(4)).tobytes()
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,7 +143,7 @@ def _children(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _signatures(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, 4 * SIGNATURE + PRINTS)
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, 4 * SIGNATURE + PRINTS // 2)
 
 
 def _tokens(sig: np.ndarray) -> np.ndarray:
@@ -174,8 +175,11 @@ def _likeness(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
     at = np.flatnonzero(ok)
     if len(at):
         a, b = sa[at], sb[at]
-        same = (_tokens(a) == _tokens(b)).sum(axis=1) + (a[:, 4 * SIGNATURE :] == b[:, 4 * SIGNATURE :]).sum(axis=1)
-        out[at] = same / (SIGNATURE + PRINTS)
+        whole = (_tokens(a) == _tokens(b)).sum(axis=1)
+        d = a[:, 4 * SIGNATURE :] ^ b[:, 4 * SIGNATURE :]
+        same = (d & np.uint8(15) == 0).sum(axis=1) + (d < 16).sum(axis=1)
+        # a sixteenth of unequal prints agree by chance
+        out[at] = (whole + (same - PRINTS / 16) / (1 - 1 / 16)) / (SIGNATURE + PRINTS)
     return out
 
 
