@@ -28,7 +28,14 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage ends here, and a lost executor costs only a re-read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}-{tag}"
-    df.write.parquet(path)
+    # small Arrow batches while this table is made: what a Python worker holds follows their size
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, str(min(int(before), 2000) if int(before) > 0 else 2000))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(batch, before)
     # shuffle files of the finished jobs go when the JVM finds their plans unreachable: let it look now
     gc.collect()
     spark.sparkContext._jvm.System.gc()
