@@ -1,16 +1,15 @@
 r"""Main text of HTML pages by nearest-URL page differencing.
 
 1. A tolerant tokenizer turns a page into text *lines*: one per block, references decoded, white space
-   inside a block one space, with flags: does the line stand in an article or main container, and does it
+   inside a block one space, with flags: does the line stand in an article or main container, does it
    stand in a region that is never article (navigation, header, footer, aside, forms, notices, adverts,
-   comments, by tag, role, class or id). Scripts, styles and the like yield nothing.
+   comments, by tag, role, class or id), and is it the title (h1) of a container. Scripts, styles and the like yield nothing.
 2. Differencing: pages of a host are ordered by URL path (then whole URL, then id); each page is paired
-   with the next one of its host (the last with the one before). The pair's lines are aligned by longest common subsequence, and the
-   lines both share, at the same kind of place, are template text.
+   with the next one of its host (the last with the one before). The pair's lines outside never-article regions
+   are aligned by longest common subsequence, and the lines both share, at the same kind of place, are template text.
 3. A page keeps, in page order, the lines that are not in a never-article region and are not shared with
-   its neighbour. Lines inside an article or main container are not deleted for being shared: republished
-   articles and stock opening lines are content (measured here: deleting them loses article text). Where
-   two neighbours share more than half of their free lines they are copies and no free line goes.
+   its neighbour, whether they stand in a container or not. A container's title stays though shared. Where
+   two neighbours share more than half of these lines they are copies and no line goes.
 
 Skew: a third of all pages may lie on one host. Pairing takes no window over a host: pages are put in
 (host, path) order by a range repartition, so a large host spans many partitions, and each partition pairs
@@ -54,9 +53,9 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)
 _SPACES = re.compile(r"\s+")
 
 
-def lines_of(html: str) -> list[tuple[str, bool, bool]]:
-    """(text, in a container, in a never-article region) of each block of text, in page order."""
-    out: list[tuple[str, bool, bool]] = []
+def lines_of(html: str) -> list[tuple[str, bool, bool, bool]]:
+    """(text, in a container, in a never-article region, title of a container) of each block of text, in page order."""
+    out: list[tuple[str, bool, bool, bool]] = []
     buf: list[str] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, skipped, in container, never
 
@@ -68,7 +67,8 @@ def lines_of(html: str) -> list[tuple[str, bool, bool]]:
             text = _SPACES.sub(" ", "".join(buf)).strip()
             buf.clear()
             if text:
-                out.append((text, *state()[1:]))
+                _, inside, never = state()
+                out.append((text, inside, never, inside and any(x[0] == "h1" for x in stack)))
 
     def close(name: str) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -149,12 +149,12 @@ def lines_of(html: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def lcs_shared(a: list[str], b: list[str]) -> set[int]:
+def lcs_shared(a: list, b: list) -> set[int]:
     """Indices of ``a`` on one longest common subsequence with ``b``.
 
     Bit-parallel rows: bit i of row j is 0 where line i adds to the common length once j lines of ``b`` are seen.
     """
-    at: dict[str, int] = {}
+    at: dict[object, int] = {}
     for i, v in enumerate(a):
         at[v] = at.get(v, 0) | 1 << i
     b = [v for v in b if v in at]
@@ -176,18 +176,15 @@ def lcs_shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def difference(lines: list[tuple[str, bool, bool]], neighbour: list[str] | None) -> str:
-    """The main text of a page, given its lines and its neighbour's lines outside containers."""
-    contained = any(inside and not never for _, inside, never in lines)
-    free = [i for i, (_, inside, _) in enumerate(lines) if not inside]
+def difference(lines: list[tuple[str, bool, bool, bool]], neighbour: list[tuple[str, bool]] | None) -> str:
+    """The main text of a page, given its lines and its neighbour's lines outside never-article regions."""
+    open_ = [i for i, x in enumerate(lines) if not x[2]]
     shared: set[int] = set()
     if neighbour:
-        on = lcs_shared([lines[i][0] for i in free], neighbour)
-        open_ = [k for k, i in enumerate(free) if not lines[i][2]]
-        if 2 * sum(k in on for k in open_) <= len(open_) or not open_:
-            shared = {free[k] for k in on}
-    keep = [t for i, (t, inside, never) in enumerate(lines) if not never and (inside or not contained) and i not in shared]
-    return "\n\n".join(keep)
+        on = lcs_shared([lines[i][:2] for i in open_], neighbour)
+        if 2 * len(on) <= len(open_):
+            shared = {open_[k] for k in on}
+    return "\n\n".join(lines[i][0] for i in open_ if lines[i][3] or i not in shared)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -206,10 +203,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # each page is paired with the next of its host; the last of a run looks back
-        before: tuple | None = None  # page_id, url, host, lines, free lines of the page before that one
-        last_free: list[str] | None = None
+        before: tuple | None = None  # page_id, url, host, lines, open lines of the page before that one
+        last_open: list[tuple[str, bool]] | None = None
 
-        def row(page: tuple, neighbour: list[str] | None) -> tuple:
+        def row(page: tuple, neighbour: list[tuple[str, bool]] | None) -> tuple:
             text = difference(page[3], neighbour)
             return page[0], page[1], text, len(text)
 
@@ -217,14 +214,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             out = []
             for page_id, url_, host, html in zip(pdf["page_id"], pdf["url"], pdf["host"], pdf["html"], strict=True):
                 lines = lines_of(html)
-                page = (page_id, url_, host, lines, [t for t, inside, _ in lines if not inside])
+                page = (page_id, url_, host, lines, [x[:2] for x in lines if not x[2]])
                 if before is not None:
                     same = before[2] == host
-                    out.append(row(before, page[4] if same else last_free))
-                    last_free = before[4] if same else None
+                    out.append(row(before, page[4] if same else last_open))
+                    last_open = before[4] if same else None
                 before = page
             yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
         if before is not None:
-            yield pd.DataFrame([row(before, last_free)], columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
+            yield pd.DataFrame([row(before, last_open)], columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
 
     return dealt.select("page_id", "url", "host", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
