@@ -17,3 +17,17 @@ def test_containers_are_differenced(spark):
     two = "<body><p>Motto of the site</p><article><h1>Daily report</h1><p>second tale</p><p>quite unlike the other</p><p>going on</p><p>Tell a friend</p></article></body>"
     got = texts(spark, [(1, "https://h.org/a/1", one), (2, "https://h.org/a/2", two)])
     assert got == {1: "Daily report\n\nfirst story told\n\nand more of it\n\nCorrection to the first story", 2: "Daily report\n\nsecond tale\n\nquite unlike the other\n\ngoing on"}
+
+
+def test_template_heavy_pages_are_no_copies(spark):
+    """Eight template lines of thirteen go; copies do not delete each other, and lose their template to a page that is none."""
+
+    def page(story):
+        menu = "".join(f"<p>Entry {i}</p>" for i in range(5))
+        return f"<body><p>Motto of the site</p>{menu}{''.join(f'<p>{x}</p>' for x in story)}<p>Write to us</p><p>Made by hand</p></body>"
+
+    stories = {n: [" ".join(f"{n}{k}{i}" for i in range(9)) for k in range(5)] for n in "abc"}
+    rows = [(i, f"https://h.org/a/{i}", page(stories[n])) for i, n in enumerate("aabcc")]
+    assert texts(spark, rows) == {i: "\n\n".join(stories[n]) for i, n in enumerate("aabcc")}
+    same = [(1, "https://d.org/1", page(stories["a"])), (2, "https://d.org/2", page(stories["a"]))]
+    assert all(stories["a"][0] in t for t in texts(spark, same).values())
