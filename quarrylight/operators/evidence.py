@@ -90,12 +90,25 @@ FORMERLY = r"\b(former|predecessor|served from|stepped down|resigned|was the|unt
 CANDIDATE = r"\b(candidate|contesting|party leader|founded|campaigning|presidential candidate|tvk|announced party|runs for)\b"
 
 
-def entity_status(pairs: DataFrame, key: str, text: Column, name: Column) -> DataFrame:
-    """key, status, confidence from texts that name an entity: twice the texts per signal, the greater wins."""
-    t = F.lower(text)
-    rows = pairs.filter(F.contains(t, F.lower(name)))
-    agg = rows.groupBy(key).agg(*[(2 * F.count_if(has(t, p))).alias(c) for c, p in (("i", INCUMBENT), ("f", FORMERLY), ("c", CANDIDATE))])
-    i, f, c = F.col("i"), F.col("f"), F.col("c")
+def entity_status(entities: DataFrame, texts: DataFrame, key: str, name: str = "name", text: str = "text") -> DataFrame:
+    """key, status, confidence of every entity, from all texts that name it: twice the texts per signal, the greater wins.
+
+    A name is one word of four letters or more (a to z) and is named wherever it stands, inside a longer word too; an
+    entity that no text names, or without a name, is unknown. Names meet the distinct words of the texts by their first
+    four letters, and texts meet names by words, so no pair of an entity and a text is made unless the text names it.
+    """
+    signals = {"i": INCUMBENT, "f": FORMERLY, "c": CANDIDATE}
+    low = texts.select(F.monotonically_increasing_id().alias("_row"), F.lower(F.col(text)).alias("_t"))
+    # texts without a signal count for nothing
+    said = low.select("_row", "_t", *[has(F.col("_t"), p).alias(x) for x, p in signals.items()]).filter("i OR f OR c")
+    words = said.select("_row", *signals, F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit("([a-z]{4,})"), 1))).alias("_word"))
+    names = entities.select(F.lower(F.col(name)).alias("_name")).filter("_name <> ''").distinct().withColumn("_gram", F.substring("_name", 1, 4))
+    grams = words.select("_word").distinct().select("_word", F.explode(F.expr("array_distinct(transform(sequence(1, length(_word) - 3), x -> substring(_word, x, 4)))")).alias("_gram"))
+    holds = grams.join(names, "_gram").filter(F.contains("_word", "_name")).select("_word", "_name")
+    pairs = words.join(holds, "_word").groupBy("_row", "_name").agg(*[F.first(x).alias(x) for x in signals])
+    counts = pairs.groupBy("_name").agg(*[(2 * F.count_if(x)).alias(x) for x in signals])
+    agg = entities.select(F.col(key), F.lower(F.col(name)).alias("_name")).join(counts, "_name", "left")
+    i, f, c = (F.coalesce(F.col(x), F.lit(0)) for x in signals)
     status = F.when((i > f) & (i > c), "incumbent").when(c > i, "candidate").when(f > i, "former").otherwise("unknown")
     n = F.when(status == "incumbent", i).when(status == "candidate", c).when(status == "former", f)
     return agg.select(key, status.alias("status"), F.round(F.when(n.isNull(), F.lit(0.3)).otherwise(F.least(F.lit(1.0), 0.6 + n * 0.1)), 2).alias("confidence"))
