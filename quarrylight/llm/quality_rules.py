@@ -2,13 +2,15 @@ r"""Quality rules over words, symbols and lines, DataFrame functions only.
 
 Per text: base counts (see ``base_counts``). Across texts: lines are normalised (lower case, white space
 collapsed, trimmed) and hashed; per host (``source``) the *distinct contents* that hold a line are
-counted, so exact copies of one page count once; lines of at most ``max_line_words`` words that more than
-``max(min_docs, max_share * contents of the host)`` contents share are boilerplate and are removed; a
-text that loses more than ``max_removed`` of its words that way is depleted and rejected. Longer repeated
-passages are left to the dedup stages, so a page republished often is not taken for boilerplate.
+counted, so exact copies of one page count once; lines that more than
+``max(min_docs, max_share * contents of the host)`` contents share are frequent. Frequent lines of at most
+``max_line_words`` words are boilerplate. A longer one is boilerplate if more contents than that limit hold it that
+are otherwise different: frequent lines make at most half of such a content's words, and contents with the same
+least hash of their other lines count once. So a page republished often, with edits, is not taken for boilerplate.
+Boilerplate is removed; a text that loses more than ``max_removed`` of its words that way is depleted and rejected.
 
 Skew: rows first collapse to (host, content, line), which spreads a hot line over its contents and a hot
-content over one row a line; the count per (host, line, salt) is combined before (host, line). Joins back
+content over one row a line, which is staged; the count per (host, line, salt) is combined before (host, line). Joins back
 go over (host, line, salt); the last one, to the rows of a hot content, is split by adaptive execution.
 
 Defined cases: null text is empty (0 words, base_failed); null source is a host of its own; rows that
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_WS, WS, salts, text_of
+from .common import NOT_WS, WS, salts, stage, text_of
 
 MIN_WORDS = 50
 MAX_LINE_WORDS = 20
@@ -79,21 +81,26 @@ def _frequent_lines(rows: DataFrame, max_line_words: int, min_docs: int, max_sha
         .select("host", "c", line_key(F.col("line")).alias("h"), F.size(F.regexp_extract_all("line", F.lit(f"({NOT_WS}+)"), 1)).alias("n"))
     )
     # per copy of a content every line counts as often as it stands in one copy: copies are divided out below
-    short = lines.filter(F.col("n") <= max_line_words)
-    held = short.groupBy("host", "c", "h").agg(F.sum("n").alias("all_words"))
-    held = held.withColumn("s", F.pmod("c", F.lit(n_salts)))
+    held = lines.groupBy("host", "c", "h").agg(F.sum("n").alias("all_words"), (F.max("n") > max_line_words).alias("long"))
+    held = stage(held.withColumn("s", F.pmod("c", F.lit(n_salts))), "lines")
     salted = held.groupBy("host", "h", "s").agg(F.count(F.lit(1)).alias("k"))
     contents = rows.groupBy("host", "c").agg(F.count(F.lit(1)).alias("copies"))
-    hosts = contents.groupBy("host").agg(F.count(F.lit(1)).alias("host_contents"))
+    hosts = contents.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.count(F.lit(1))).alias("limit"))
     total = salted.groupBy("host", "h").agg(F.sum("k").alias("k"))
-    limit = F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.col("host_contents"))
-    frequent = total.join(hosts, total.host.eqNullSafe(hosts.host)).filter(F.col("k") > limit).select(total.host, "h")
-    keys = salted.select("host", "h", "s").alias("a").join(frequent.alias("f"), F.expr("a.h = f.h AND a.host <=> f.host")).select("a.host", "a.h", "a.s")
-    return (
-        held.alias("x")
-        .join(keys.alias("k"), F.expr("x.h = k.h AND x.s = k.s AND x.host <=> k.host"))
-        .select("x.host", "x.c", "x.h", "x.all_words")
+    frequent = total.join(hosts, total.host.eqNullSafe(hosts.host)).filter(F.col("k") > F.col("limit")).select(total.host, "h", "limit")
+    keys = salted.select("host", "h", "s").alias("a").join(frequent.alias("f"), F.expr("a.h = f.h AND a.host <=> f.host")).select("a.host", "a.h", "a.s", "f.limit")
+    marked = stage(
+        held.alias("x").join(keys.alias("k"), F.expr("x.h = k.h AND x.s = k.s AND x.host <=> k.host"), "left").select("x.*", "k.limit"), "marked"
     )
+    often = F.col("limit").isNotNull()
+    bad = marked.filter(often & ~F.col("long")).select("host", "c", "h", "all_words")
+    long = marked.filter(often & F.col("long"))
+    own = marked.groupBy("host", "c").agg(F.sum("all_words").alias("all"), F.sum(F.when(often, F.col("all_words")).otherwise(0)).alias("often"), F.min(F.when(~often, F.col("h"))).alias("sig"))
+    own = own.filter("2 * often <= all").select("host", "c", "sig")
+    held_by = long.alias("x").join(own.alias("o"), F.expr("x.c = o.c AND x.host <=> o.host")).select("x.host", "x.h", "x.limit", "o.sig").distinct()
+    spread = held_by.groupBy("host", "h").agg(F.count(F.lit(1)).alias("k"), F.max("limit").alias("limit")).filter("k > limit")
+    at = long.select("host", "h", "s").distinct().alias("a").join(spread.alias("f"), F.expr("a.h = f.h AND a.host <=> f.host")).select("a.host", "a.h", "a.s")
+    return bad.unionByName(long.alias("x").join(at.alias("k"), F.expr("x.h = k.h AND x.s = k.s AND x.host <=> k.host")).select("x.host", "x.c", "x.h", "x.all_words"))
 
 
 def quality_rules(
@@ -128,6 +135,6 @@ def quality_rules(
         (~F.col("base_failed") & (lost <= F.lit(max_removed) * F.col("n_words"))).alias("kept"), lost.alias("n_boilerplate_words"),
     ]
     if clean:
-        kept = F.filter(F.split("d.t", "\n", -1), lambda x: ~F.array_contains(F.col("p.hs"), line_key(x)) | (F.size(F.regexp_extract_all(x, F.lit(f"({NOT_WS}+)"), 1)) > max_line_words))
+        kept = F.filter(F.split("d.t", "\n", -1), lambda x: ~F.array_contains(F.col("p.hs"), line_key(x)))
         cols.append(F.when(F.col("p.hs").isNull(), F.col("d.t")).otherwise(F.array_join(kept, "\n")).alias("clean_text"))
     return out.select(*cols, *[F.col(f"d.in_{c}") for c in carry])
