@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarrylight import catalog
-from quarrylight.operators import evidence
+from quarrylight.operators import evidence, rank
 
 from .conftest import SF
 from .test_oracles import rows
@@ -31,3 +31,20 @@ def test_entity_status_cases(spark):
     got = {r.item_id: (r.status, r.confidence) for r in evidence.entity_status(names, texts, "item_id").collect()}
     assert got == {1: ("incumbent", 0.8), 2: ("candidate", 1.0), 3: ("unknown", 0.3), 4: ("unknown", 0.3), 5: ("incumbent", 0.8)}
     assert evidence.entity_status(names, texts.filter(F.lit(False)), "item_id").count() == 5
+
+
+def test_cosine_topk_batch_asks_every_twentieth(spark, duck):
+    sql = catalog.ORACLE["cosine_topk_batch"]
+    assert "a.vec_id < 8" in sql
+    same(spark, duck, "cosine_topk_batch", sql.replace("a.vec_id < 8", "a.vec_id % 20 = 0"))
+
+
+def test_cosine_topk_blocks(spark):
+    """Blocks give what one block gives: ties by id, unequal lengths and empty vectors 0."""
+    vs = [[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [], [1.0], [-1.0, 0.0], None] * 5
+    v = spark.createDataFrame([(i, x) for i, x in enumerate(vs)], "vec_id long, v array<double>").withColumn("v", F.coalesce("v", F.array().cast("array<double>")))
+    q = v.filter("vec_id < 6").selectExpr("vec_id AS query_id", "v AS q")
+    got = {(r.query_id, r.place): r.vec_id for r in rank.cosine_topk(q, v, 3, block=4).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) if a and b and len(a) == len(b) else 0.0
+    want = {(i, p + 1): j for i in range(6) for p, j in enumerate(sorted(range(len(vs)), key=lambda j: (-dot(vs[i], vs[j]), j))[:3])}
+    assert got == want
