@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse
 
 
-def chunks(text: Column, size: int = 1400, overlap: int = 160, most: int = 24, collapsed: bool = False) -> Column:
-    """Array of chunks. A full-width slice ends after its last space, if that lies beyond 55 per cent of the width; the next one starts ``overlap`` before."""
+def chunks(text: Column, size: int = 1400, overlap: int = 160, most: int | None = 24, collapsed: bool = False) -> Column:
+    """Array of chunks. A full-width slice ends after its last space, if that lies beyond 55 per cent of the width; the next one starts ``overlap`` before. Without ``most``, the whole text."""
     t = text if collapsed else collapse(text)
     size, overlap = max(300, min(2400, size)), max(0, min(400, overlap))
+    # a chunk that is not the last one moves on by more than 55 per cent of the width less the overlap
+    steps = F.lit(most) if most else (F.ceil(F.length(t) / max(1, size * 55 // 100 - overlap)) + 1).cast("int")
     zero = F.struct(F.lit(1).alias("i"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, _: Column) -> Column:
@@ -30,11 +32,11 @@ def chunks(text: Column, size: int = 1400, overlap: int = 160, most: int = 24, c
             )
         )
 
-    folded = F.aggregate(F.sequence(F.lit(1), F.lit(most)), zero, step, lambda a: F.filter(a["out"], lambda c: c != ""))
+    folded = F.aggregate(F.sequence(F.lit(1), steps), zero, step, lambda a: F.filter(a["out"], lambda c: c != ""))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(folded)
 
 
-def explode_chunks(df: DataFrame, text: str, size: int = 1400, overlap: int = 160, most: int = 24) -> DataFrame:
+def explode_chunks(df: DataFrame, text: str, size: int = 1400, overlap: int = 160, most: int | None = 24) -> DataFrame:
     """One row per chunk: the input's columns, chunk_index, chunk."""
     # the collapsed text is computed once per row, not once per step
     base = df.withColumn("_t", collapse(F.col(text)))

@@ -1,7 +1,8 @@
 """Tables, and the views that stand in for records the driver's tables do not have.
 
 ``sources`` reads web pages as retrieved sources: types, trust and dates follow from the page's number, so
-both engines see the same rows.
+both engines see the same rows. ``description`` is a short field to show and to score by, ``text`` the whole
+readable text of the page.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "url",
         urls.host(F.col("url")).alias("domain"),
         F.substring(F.trim(T.html_strip(F.col("html"))), 1, 200).alias("description"),
+        F.trim(T.html_strip(F.col("html"))).alias("text"),
         kind.alias("kind"),
         F.when(n % 11 == 0, "structured_claim").otherwise("").alias("level"),
         (n % 3 == 0).alias("trusted"),

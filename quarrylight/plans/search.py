@@ -54,9 +54,10 @@ q AS (SELECT {_WS} AS ws), s AS (SELECT ord, k, chunk, {hits("ws", ("chunk", 1))
 SELECT sources.ord, CAST(coalesce(n, 0) AS INT) AS score, coalesce(chunk, description) AS text FROM sources LEFT JOIN b ON sources.ord = b.ord""",
 )
 def best_chunk_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source with its best chunk, or its description where no chunk holds a query word."""
+    """Each source with its best chunk of the whole page, or its description where no chunk holds a query word. The SQL above still reads 200 characters of a page."""
     d = sources(spark, sf_dir)
-    parts = chunk.explode_chunks(d.select("ord", F.concat(F.col("title"), F.lit(". "), F.col("description")).alias("text")), "text", 300, 40, 3)
+    said = F.array_join(F.filter(F.array("title", "description", "text"), lambda x: x != ""), ". ")
+    parts = chunk.explode_chunks(d.select("ord", said.alias("text")), "text", 1200, most=None)
     words = T.query_terms(F.lit(QUERY))
     low = F.lower("chunk")
     scored = parts.withColumn("n", F.size(F.filter(words, lambda w: F.contains(low, w)))).filter("n > 0")

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from quarrylight import catalog
+from quarrylight.functions import text as T
 from quarrylight.operators import evidence, rank
+from quarrylight.plans.common import QUERY, sources
 
 from .conftest import SF
 from .test_oracles import rows
@@ -48,3 +50,34 @@ def test_cosine_topk_blocks(spark):
     dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) if a and b and len(a) == len(b) else 0.0
     want = {(i, p + 1): j for i in range(6) for p, j in enumerate(sorted(range(len(vs)), key=lambda j: (-dot(vs[i], vs[j]), j))[:3])}
     assert got == want
+
+
+def plain_chunks(text, size=1200, overlap=160):
+    out, i = [], 0
+    while i < len(text):
+        piece = text[i : i + size]
+        at = piece.rfind(" ") if len(piece) == size else len(piece)
+        end = i + at + 1 if at > size * 0.55 else i + len(piece)
+        out.append(text[i:end].strip())
+        if end >= len(text):
+            break
+        i = max(end - overlap, i + 1)
+    return [x for x in out if x]
+
+
+def test_best_chunk_join_reads_whole_pages(spark):
+    words = spark.range(1).select(T.query_terms(F.lit(QUERY))).first()[0]
+    want = {}
+    for r in sources(spark, SF).collect():
+        text = " ".join(". ".join(x for x in (r.title, r.description, r.text) if x).split())
+        n, k, best = max(((sum(w in c.lower() for w in words), -k, c) for k, c in enumerate(plain_chunks(text))), default=(0, 0, ""))
+        want[r.ord] = (n, best if n else r.description)
+    got = {r.ord: (r.score, r.text) for r in catalog.QUERIES["best_chunk_join"](spark, SF).collect()}
+    assert got == want
+
+
+def test_best_chunk_join_finds_the_end_of_a_page(spark, tmp_path):
+    html = f"<title>T</title><article><p>{'filler ' * 2000}</p><p>thoning</p></article>"
+    spark.createDataFrame([(1, "https://h.org/1", html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    r = catalog.QUERIES["best_chunk_join"](spark, str(tmp_path)).first()
+    assert r.score == 1 and r.text.endswith("thoning")
