@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,43 +16,86 @@ NOT_WS = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a local one only where the session names none."""
+    """The folder that driver and executors share, as the session names it. Only where all run in one process may it be unset."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="quarrylight-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: lineage ends here, and a lost executor costs only a re-read."""
+#: Lists that take note of the tables staged while they are open, innermost last.
+_watchers: list[list[DataFrame]] = []
+
+
+@contextmanager
+def watched() -> Iterator[list[DataFrame]]:
+    """The tables that are staged, and not yet deleted, inside the block."""
+    mine: list[DataFrame] = []
+    _watchers.append(mine)
+    try:
+        yield mine
+    finally:
+        _watchers.remove(mine)
+
+
+@contextmanager
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def stage(df: DataFrame, tag: str, batch: int = 2000) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it again: lineage ends here, and a lost executor costs only a re-read.
+
+    ``batch`` bounds the rows of an Arrow batch while the table is made: what a Python worker holds follows it.
+    The job's shuffle files go as it ends. The table itself goes with ``unstage``, or else with the application.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}-{tag}"
-    # small Arrow batches while this table is made: what a Python worker holds follows their size
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(batch)
-    spark.conf.set(batch, str(min(int(before), 2000) if int(before) > 0 else 2000))
-    try:
+    delete_at_exit(spark, path)
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    with _settings(
+        spark, **{"spark.sql.execution.arrow.maxRecordsPerBatch": str(min(rows, batch) if rows > 0 else batch), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    ):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(batch, before)
-    # shuffle files of the finished jobs go when the JVM finds their plans unreachable: let it look now
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    for mine in _watchers:
+        mine.append(out)
     return out
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system delete a folder when the application ends."""
+    fs, p = _hadoop(spark, path)
+    fs.mkdirs(p.getParent())
+    fs.deleteOnExit(p)
+
+
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any longer."""
     for df in tables:
         path = getattr(df, "_staged_path", None)
         if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            fs, p = _hadoop(df.sparkSession, path)
+            fs.delete(p, True)
+            for mine in _watchers:
+                mine[:] = [x for x in mine if x._staged_path != path]
 
 
 def text_of(name: str = "text") -> Column:
