@@ -18,8 +18,10 @@ similarity is ``threshold`` or more, confirmed on the full sets.
    across components only, and again the likeliest pair per set goes first; whatever pairs still lie across
    components are all confirmed.
 4. The rest, exactly: nodes still large at the last depth that hold several components are compared
-   exhaustively across components, in blocks: sets outside the node's main component, packed a few
-   hundred to a block, meet every set of the node. No partner is capped anywhere.
+   exhaustively across components, block against block: the full sets outside the node's main component, a few
+   hundred to a block, meet blocks of all sets of the node. A pair of blocks counts all intersections at once, and
+   sends on no pairs but a spanning forest of its confirmed links, so the rows out follow the sets, not their
+   pairs. No partner is capped anywhere.
 5. Components of the links give the classes.
 
 Skew: node sizes are combined map-side; joins by node are split by adaptive execution; no node's sets are
@@ -48,7 +50,8 @@ SIGNATURE = 64
 TREES = 12
 SMALL = 48
 DEPTH = 3
-BLOCK = 256
+BLOCK = 256  # sets of a block, and the shingles of its sets, at about most
+BLOCK_SHINGLES = 1 << 18
 PRINTS = 1024  # of 4 bits, two a byte
 #: A pair at the threshold is estimated lower from SIGNATURE tokens and PRINTS prints with a chance below 1e-7 (5.3 deviations of 0.0137).
 MAYBE = 0.677
@@ -223,17 +226,57 @@ def _compare_star(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pdf[["a", "b"]].assign(e=e)[e >= MAYBE]
 
 
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of ``a`` with each of ``b`` (sorted distinct hashes): incidence over the common elements."""
+    na, nb = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (a, b))
+    ea, eb = np.concatenate(a), np.concatenate(b)
+    common = np.intersect1d(ea, eb)
+    ra, rb = np.repeat(np.arange(len(a)), na), np.repeat(np.arange(len(b)), nb)
+    both = np.zeros((len(a), len(b)), dtype=np.float32)
+    if not len(common):
+        return both.astype(np.int64)
+    places = []
+    for e, r in ((ea, ra), (eb, rb)):
+        c = np.searchsorted(common, e)
+        on = common[np.minimum(c, len(common) - 1)] == e
+        order = np.argsort(c[on], kind="stable")
+        places.append((c[on][order], r[on][order]))
+    for lo in range(0, len(common), 4096):
+        width = min(4096, len(common) - lo)
+        sides = []
+        for (c, r), n in zip(places, (len(a), len(b)), strict=True):
+            i, j = np.searchsorted(c, (lo, lo + width))
+            m = np.zeros((n, width), dtype=np.float32)
+            m[r[i:j], c[i:j] - lo] = 1
+            sides.append(m)
+        both += sides[0] @ sides[1].T
+    return both.astype(np.int64)
+
+
 def _compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each set of a node against blocks of the node's sets of other components."""
+    """A spanning forest of the links between two blocks of a node: components are joined once each."""
     for pdf in batches:
         out = []
-        for x, n, comp, sig, block in zip(pdf["id"], pdf["n"], pdf["component"], pdf["sig"], pdf["block"], strict=True):
-            own = np.frombuffer(sig, dtype=np.uint8)
-            other = _signatures(r["sig"] for r in block)
-            ids, ns, comps = (np.array([r[k] for r in block]) for k in ("id", "n", "component"))
-            ok = (comps != comp) & (_likeness(np.broadcast_to(own, other.shape), other, np.full(len(ids), n), ns) >= MAYBE)
-            out += [(max(x, y), min(x, y)) for y in ids[ok].tolist()]
-        yield pd.DataFrame(out, columns=["a", "b"])
+        for left, right in zip(pdf["left"], pdf["right"], strict=True):
+            ids, comps, sets = zip(*((list(r[k] for r in side) for k in ("id", "component", "set")) for side in (left, right)), strict=True)
+            a, b = ([np.frombuffer(x, dtype=_U) for x in side] for side in sets)
+            na, nb = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (a, b))
+            both = intersections(a, b)
+            linked = (100 * both >= THRESHOLD * (na[:, None] + nb[None, :] - both)) & (np.array(comps[0])[:, None] != np.array(comps[1])[None, :])
+            up: dict[int, int] = {}
+
+            def root(x: int, up: dict[int, int] = up) -> int:
+                while (y := up.get(x, x)) != x:
+                    up[x] = x = up.get(y, y)
+                return x
+
+            for i, j in np.argwhere(linked).tolist():
+                x, y = root(comps[0][i]), root(comps[1][j])
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    u, v = ids[0][i], ids[1][j]
+                    out.append((max(u, v), min(u, v)))
+        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,14 +337,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def across(p: DataFrame) -> DataFrame:
         return labelled(labelled(p, "a", "ca"), "b", "cb").filter("ca != cb").select("a", "b", "e")
 
+    def again(found: DataFrame) -> DataFrame:
+        """Stage the links found so far, and the components they make."""
+        nonlocal comp, links
+        before = [x for x in (comp, links) if x is not None]
+        links = stage(found, "links")
+        comp = stage(components(links), "comp")
+        unstage(*before)
+        return links
+
+    comp = links = None
     # sets against the smallest set of their nodes
     star = every.filter("id != least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     star = star.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
     star = star.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
     stars = stage(star.select("a", "na", "sa", "b", "nb", "sb").mapInPandas(_compare_star, "a long, b long, e double"), "stars")
     first = stage(likeliest(stars), "first")
-    links = stage(confirm(first, sets_of(first)), "links")
-    comp = stage(components(links), "comp")
+    again(confirm(first, sets_of(first)))
+    unstage(first)
 
     # small nodes across components, and what the stars left
     small = labelled(every.filter(F.col("size") <= SMALL).select("node", "id"), "id", "component").join(sets, "id")
@@ -309,31 +362,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = small.mapInPandas(_compare_small, "a long, b long, e double").union(stars).groupBy("a", "b").agg(F.max("e").alias("e"))
     pairs = stage(across(pairs), "pairs")
     held = stage(sets_of(pairs), "held")
-    links = stage(links.union(confirm(likeliest(pairs), held)), "links")
-    comp = stage(components(links), "comp")
-    links = stage(links.union(confirm(across(pairs), held)), "links")
-    comp = stage(components(links), "comp")
+    unstage(stars)
+    again(links.union(confirm(likeliest(pairs), held)))
+    again(links.union(confirm(across(pairs), held)))
+    unstage(pairs, held)
 
     # nodes still large: exhaustively across components, in blocks
-    mixed = labelled(levels[-1].filter(F.col("size") > SMALL).select("node", "id"), "id", "component")
-    sizes = mixed.groupBy("node", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("node").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("node", "main")
-    several = stage(mixed.join(main, "node").join(sets, "id"), "several")
+    mixed = labelled(levels[-1].filter(F.col("size") > SMALL).select("node", "id"), "id", "component").join(sets.select("id", "n"), "id")
+    sizes = mixed.groupBy("node", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+    main = sizes.groupBy("node").agg(F.max(F.struct("k", "component", "w")).alias("m"), F.count(F.lit(1)).alias("kinds"), F.sum("k").alias("k"), F.sum("w").alias("w")).filter("kinds > 1")
+    blocks_of = lambda k, w: F.greatest(F.lit(1), F.ceil(k / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    main = main.select("node", F.col("m.component").alias("main"), blocks_of(F.col("k"), F.col("w")).alias("n_left"), blocks_of(F.col("k") - F.col("m.k"), F.col("w") - F.col("m.w")).alias("n_right"))
+    several = stage(mixed.join(main, "node"), "several")
     if several.limit(1).count():
-        rows = several.select("node", "id", "n", "component", "sig", "main")
-        blocks = (
-            rows.filter("component != main")
-            .withColumn("part", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
-            .join(sizes.groupBy("node").agg(F.sum("k").alias("all")), "node")
-            .withColumn("part", F.expr(f"part % greatest(1, all div {BLOCK})"))
-            .groupBy("node", "part")
-            .agg(F.collect_list(F.struct("id", "n", "component", "sig")).alias("block"))
-        )
-        extra = stage(rows.join(blocks, "node").select("id", "n", "component", "sig", "block").mapInPandas(_compare_blocks, "a long, b long").distinct(), "extra")
-        links = stage(links.union(confirm(extra, sets_of(extra))), "links")
-        comp = stage(components(links), "comp")
-
-    heads = labelled(classes, "id", "component").select("n", "k1", "k2", "component")
+        wanted = several.select(F.col("id").alias("doc_id")).distinct()
+        texts = src.join(wanted, "doc_id", "left_semi").mapInPandas(_sets, "id long, set binary").dropDuplicates(["id", "set"])
+        rows = stage(several.join(texts, "id"), "rows")
+        member = F.struct("id", "component", "set")
+        left = rows.withColumn("part", F.pmod(F.xxhash64("id"), "n_left").cast("int")).groupBy("node", "part").agg(F.collect_list(member).alias("left"))
+        right = rows.filter("component != main").groupBy("node", "n_left", F.pmod(F.xxhash64("id"), "n_right").alias("r")).agg(F.collect_list(member).alias("right"))
+        right = right.select("node", F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("part"), "right")
+        # few rows to a batch: each holds two blocks
+        extra = stage(left.join(right, ["node", "part"]).select("left", "right").mapInPandas(_compare_blocks, "a long, b long"), "extra", batch=4)
+        links = again(links.union(extra.distinct()))
+        unstage(rows, extra)
+    unstage(several)
+
+    heads = stage(labelled(classes, "id", "component").select("n", "k1", "k2", "component"), "heads")
+    unstage(sets, classes, comp, links, *levels)
     out = sketch.join(heads, ["n", "k1", "k2"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
