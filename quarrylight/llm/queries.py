@@ -53,7 +53,9 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+    """The contract's columns, then what is left: its text, its bytes and code points, and whether nothing was removed."""
+    out = suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"), with_text=True).withColumnRenamed("kept_text", "text")
+    return out.withColumns({"n_kept": F.col("n_bytes") - F.col("n_removed"), "n_chars": F.length("text").cast("long"), "whole": F.col("n_removed") == 0})
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
