@@ -40,6 +40,7 @@ LENGTH = 400
 GRAM = 128
 SYMBOL = 80
 MAX_RUN = 4096
+PART = 1 << 22
 HOT_RUNS = 4096
 BATCH_BYTES = 160_000
 
@@ -72,13 +73,19 @@ def grams(raw: bytes) -> np.ndarray:
 
 
 def windows(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of ``LENGTH`` bytes the hash of its picked gram, and the gram's position."""
+    """For each window of ``LENGTH`` bytes the hash of its picked gram, and the gram's position.
+
+    A pick depends on its window alone, so long texts go in overlapping parts, and positions fit beside the hashes.
+    """
+    if len(raw) > PART + LENGTH:
+        keys, at = zip(*(windows(raw[a : a + PART + LENGTH - 1]) for a in range(0, len(raw) - LENGTH + 1, PART)), strict=True)
+        return np.concatenate(keys), np.concatenate([x + i * PART for i, x in enumerate(at)])
     h = grams(raw)
     w = LENGTH - GRAM + 1
     n = len(h) - w + 1
     if n <= 0:
         return np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64)
-    key = (h >> _U(26) << _U(26)) | np.arange(len(h), dtype=_U)
+    key = (h >> _U(26) << _U(26)) | np.arange(len(h), dtype=_U)  # PART is below 2 ** 26
     rows = -(-len(h) // w)
     block = np.full(rows * w, ~_U(0), dtype=_U)
     block[: len(h)] = key
