@@ -2,20 +2,54 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return
 the columns of ``documents``. ``run`` writes each stage's rows to the shared folder and reads them again.
+
+Defined cases, of every stage: a null text is empty (the rules reject it; the later stages keep such a row, and
+packing gives it one piece); a null source is a host of its own; rows that repeat a doc_id are rows of their own to the
+rules and the passages, while exact and near dedup keep one row of an id and text; an empty table gives an empty one;
+columns beside those of ``documents`` are dropped, whatever their names.
+
+A stage's own tables go when the next stage begins, which by then reads what was written of the one before.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+from os.path import basename
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import exact_dedup, minhash_join, packing, quality_rules, suffix_dedup
-from quarrylight.llm.common import WS, stage, text_of
+from quarrylight.llm.common import WS, stage, text_of, unstage, watched
 from quarrylight.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+Step = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Tables that earlier stages staged.
+_left: list[DataFrame] = []
+
+
+def clearing(step: Step) -> Step:
+    """The stage ``step``, which first deletes what earlier stages staged and its ``docs`` do not read."""
+
+    @wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _left:
+            read = "\n".join(docs.inputFiles())
+            done = [t for t in _left if basename(t._staged_path) not in read]
+            _left[:] = [t for t in _left if not any(t is d for d in done)]
+            unstage(*(t for t in done if t.sparkSession is spark))
+        with watched() as mine:
+            out = step(spark, docs, sf_dir)
+        _left.extend(mine)
+        return out
+
+    return run_step
 
 
+@clearing
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; boilerplate lines go from the rest."""
     # staged before the filter: pushed below the join, the filter would take the counts' expressions apart and repeat them
@@ -23,6 +57,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", F.col("clean_text").alias("text"), F.col("in_lang").alias("lang"), F.col("in_source").alias("source"), F.length("clean_text").cast("long").alias("n_chars"))
 
 
+@clearing
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id stays, once."""
     # staged, so the exchanges of the verdict are gone when the texts cross the network once more
@@ -31,18 +66,21 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return marked.join(kept, ["doc_id", "_sha"], "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*COLUMNS)
 
 
+@clearing
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays."""
     kept = minhash_join.near_duplicates(docs).filter("kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
 
 
+@clearing
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of repeated 400-byte strings go; a document that loses all of its text stays as an empty one."""
     cut = suffix_dedup.suffix_dedup(docs, with_text=True, carry=("lang", "source"))
     return cut.select("doc_id", F.col("kept_text").alias("text"), F.col("in_lang").alias("lang"), F.col("in_source").alias("source"), F.length("kept_text").cast("long").alias("n_chars"))
 
 
+@clearing
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens."""
     return packing.best_fit_packing(docs, tokenizer_path())
@@ -57,5 +95,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        before, docs = docs, stage(step(spark, docs, sf_dir), name)
+        unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
