@@ -2,21 +2,21 @@ r"""Main text of HTML pages by nearest-URL page differencing.
 
 1. A tolerant tokenizer turns a page into text *lines*: one per block, references decoded, white space
    inside a block one space, with flags: does the line stand in an article or main container, does it
-   stand in a region that is never article (navigation, header, footer, aside, forms, notices, adverts,
-   comments, by tag, role, class or id), and is it the title (h1) of a container. Scripts, styles and the like yield nothing.
-2. Differencing: pages of a host are ordered by URL path (then whole URL, then id); each page is paired
-   with the next one of its host (the last with the one before). The pair's lines outside never-article regions
-   are aligned by longest common subsequence, and the lines both share, at the same kind of place, are template text.
-3. A page keeps, in page order, the lines that are not in a never-article region and are not shared with
-   its neighbour, whether they stand in a container or not. A container's title stays though shared. Pages
-   whose lines have nearly all words in common are copies (``is_copy``) and tell nothing about templates:
-   a page whose next page is its copy is compared with the nearest page before it that is none,
-   and a run of copies without one waits for the next page that is none.
-
-Skew: a third of all pages may lie on one host. Pairing takes no window over a host: pages are put in
-(host, path) order by a range repartition, so a large host spans many partitions, and each partition pairs
-its rows in one pass that holds two pages, and the copies of a run that opens a host. A page at the end of its host or partition is paired with the
-page before it.
+   stand in a region that is never article by its element or role (navigation, header, footer, aside, forms, menus),
+   is it the title (h1) of a container, and does a class or id of a plain box around it *hint* at advert, notice,
+   comments and the like. Scripts, styles and the like yield nothing. Hinted lines go, too, unless they are a text of
+   ``HINTED`` words or more and the larger part of the page: a hint does not outvote the page.
+2. Differencing: pages of a host are ordered by URL path (then whole URL, then id, then content); a page is paired
+   with the nearest page of its host in that order, the next one first, at most ``REACH`` pages away, that is no copy of it
+   (``is_copy``: nearly all words in common, which tells nothing about templates). The lines of the two are
+   aligned by longest common subsequence, and the lines both share, at the same kind of place, are template text.
+3. A page keeps, in page order, the lines that are not shared with its neighbour, whether they stand in a container or
+   not. A container's title stays though shared. A page without a neighbour keeps all its lines.
+
+Skew: a third of all pages may lie on one host. Pages are put in (host, path) order over blocks whose borders come from
+a sample of the keys, so a large host spans many blocks. The ``REACH`` keys at either end of a block are known to
+the driver (a few for a block, however many pages), and those pages also go to the blocks beside it. So a page's text
+depends neither on the borders nor on the number of partitions. A block is read in one pass that holds a few pages.
 
 Defined cases: null html is empty text; null or unparsable url has an empty host and path; rows that
 repeat a page_id are pages of their own; a page alone on its host is compared with none; an empty table
@@ -25,16 +25,19 @@ gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import text_of
+from .common import stage, text_of, unstage
 
 # Element names of HTML by how they break text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +54,13 @@ NEVER_NAMES = re.compile(
     re.I,
 )
 
+#: Boxes whose class or id may hint; text elements (p, h1, li, td) keep their words whatever they are called.
+BOXES = frozenset("div section span ul ol dl table figure details center".split())
+HINTED = 50
+REACH = 4
+#: Keys sampled for a block, and blocks for a partition: they balance the blocks, and decide nothing else.
+SAMPLED, BLOCKS = 16, 4
+
 #: From this share of common words on, two pages are copies. Neighbours of check_s and sf0.1 share at most 0.4 or at least 0.9.
 COPY = 0.8
 
@@ -59,27 +69,35 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)
 _SPACES = re.compile(r"\s+")
 
 
-def lines_of(html: str) -> list[tuple[str, bool, bool, bool]]:
-    """(text, in a container, in a never-article region, title of a container) of each block of text, in page order."""
-    out: list[tuple[str, bool, bool, bool]] = []
+class Line(NamedTuple):
+    text: str
+    inside: bool  # of a container
+    never: bool
+    title: bool
+    hint: bool
+
+
+def lines_of(html: str) -> list[Line]:
+    """Each block of text, in page order."""
+    out: list[Line] = []
     buf: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, skipped, in container, never
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, skipped, in container, never, hint
 
-    def state() -> tuple[bool, bool, bool]:
-        return stack[-1][1:] if stack else (False, False, False)
+    def state() -> tuple[bool, bool, bool, bool]:
+        return stack[-1][1:] if stack else (False, False, False, False)
 
     def flush() -> None:
         if buf:
             text = _SPACES.sub(" ", "".join(buf)).strip()
             buf.clear()
             if text:
-                _, inside, never = state()
-                out.append((text, inside, never, inside and any(x[0] == "h1" for x in stack)))
+                _, inside, never, hint = state()
+                out.append(Line(text, inside, never, inside and any(x[0] == "h1" for x in stack), hint))
 
     def close(name: str) -> None:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == name:
-                if name not in INLINE or stack[i][1] or stack[i][3] != (stack[i - 1][3] if i else False):
+                if name not in INLINE or stack[i][1] or stack[i][3:] != (stack[i - 1][3:] if i else (False, False)):
                     flush()
                 del stack[i:]
                 return
@@ -136,16 +154,16 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, bool]]:
             flush()
         if name in VOID:
             continue
-        skip, inside, never = state()
+        skip, inside, never, hint = state()
         attrs = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(m[3])} if "=" in m[3] else {}
-        marks = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-        own = name in NEVER or attrs.get("role", "").lower() in NEVER_ROLES or (name not in ("html", "body", "article", "main") and marks != " " and bool(NEVER_NAMES.search(marks)))
+        own = name in NEVER or attrs.get("role", "").lower() in NEVER_ROLES
         if name == "header" and inside and not never:
             own = False  # an article's own heading block
+        marked = name in BOXES and bool(NEVER_NAMES.search(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
         hidden = bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", m[3])) or "display:none" in attrs.get("style", "").replace(" ", "").lower() or attrs.get("aria-hidden") == "true"
-        if own and name in INLINE:
+        if (own or marked) and name in INLINE:
             flush()
-        stack.append((name, skip or name in SKIP or hidden, inside or name in CONTAINER or attrs.get("role") in ("main", "article"), never or own))
+        stack.append((name, skip or name in SKIP or hidden, inside or name in CONTAINER or attrs.get("role") in ("main", "article"), never or own, hint or marked))
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
             body, at = html[at : end.start() if end else n], end.end() if end else n
@@ -182,8 +200,15 @@ def lcs_shared(a: list, b: list) -> set[int]:
     return out
 
 
-def words_of(lines: list[tuple[str, bool]]) -> Counter:
-    return Counter(w for text, _ in lines for w in text.split())
+def open_lines(lines: list[Line]) -> list[Line]:
+    """Lines outside never-article regions, without hinted ones where these are no text of their own."""
+    free = [x for x in lines if not x.never]
+    n, hinted = (sum(len(x.text.split()) for x in xs) for xs in (free, [x for x in free if x.hint]))
+    return free if hinted >= HINTED and 2 * hinted > n else [x for x in free if not x.hint]
+
+
+def words_of(lines: list[Line]) -> Counter:
+    return Counter(w for x in lines for w in x.text.split())
 
 
 def is_copy(a: Counter, b: Counter) -> bool:
@@ -191,60 +216,120 @@ def is_copy(a: Counter, b: Counter) -> bool:
     return (a & b).total() >= COPY * max(a.total(), b.total())
 
 
-def difference(lines: list[tuple[str, bool, bool, bool]], neighbour: list[tuple[str, bool]] | None) -> str:
-    """The main text of a page, given its lines and the lines of a neighbour, no copy of it, outside never-article regions."""
-    open_ = [i for i, x in enumerate(lines) if not x[2]]
-    shared = {open_[k] for k in lcs_shared([lines[i][:2] for i in open_], neighbour)} if neighbour else set()
-    return "\n\n".join(lines[i][0] for i in open_ if lines[i][3] or i not in shared)
+def difference(lines: list[Line], neighbour: list[Line] | None) -> str:
+    """The main text of a page, given its open lines and those of a neighbour, no copy of it."""
+    shared = lcs_shared([x[:2] for x in lines], [x[:2] for x in neighbour]) if neighbour else set()
+    return "\n\n".join(x.text for i, x in enumerate(lines) if x.title or i not in shared)
+
+
+class Page:
+    def __init__(self, page_id: int, url: str, html: str):
+        self.page_id, self.url = page_id, url
+        self.lines = open_lines(lines_of(html))
+        self.words = words_of(self.lines)
+
+
+def texts_of(pages: list[Page], at: int) -> str:
+    """The main text of one of a host's pages, which stand in order."""
+    page = pages[at]
+    for gap in range(1, REACH + 1):
+        for i in (at + gap, at - gap):
+            if 0 <= i < len(pages) and not is_copy(page.words, pages[i].words):
+                return difference(page.lines, pages[i].lines)
+    return difference(page.lines, None)
+
+
+KEY = ["host", "path", "link", "order", "content"]
+
+
+def _sample(keys: DataFrame, n: int) -> list[tuple]:
+    """``n`` keys, those of least hash, in order."""
+    return sorted(tuple(r[k] for k in KEY) for r in keys.orderBy(F.xxhash64(*KEY)).limit(n).collect())
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: one row per page."""
-    url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
-    bare = F.regexp_replace(url, r"[?#].*$", "")
+    link = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
+    bare = F.regexp_replace(link, r"[?#].*$", "")
     src = pages.select(
-        F.col(id_col).cast("long").alias("page_id"),
-        F.col(url_col).cast("string").alias("url"),
         F.lower(F.regexp_extract(bare, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/]*)", 1)).alias("host"),
         F.regexp_replace(F.regexp_replace(bare, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", ""), "/$", "").alias("path"),
+        link.alias("link"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("order"),
+        F.xxhash64(text_of(html_col)).alias("content"),
+        F.col(id_col).cast("long").alias("page_id"),
+        F.col(url_col).cast("string").alias("url"),
         text_of(html_col).alias("html"),
     )
-    n = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = src.repartitionByRange(n, "host", "path", "url", "page_id").sortWithinPartitions("host", "path", "url", "page_id")
+    spark = pages.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = stage(src.select(*KEY), "keys")
+    borders = _sample(keys, n * BLOCKS * SAMPLED)[SAMPLED::SAMPLED]
+
+    def block_of(cut: list[tuple]) -> Callable:
+        @F.pandas_udf("int")
+        def block(*columns: pd.Series) -> pd.Series:
+            return pd.Series([bisect.bisect_right(cut, k) for k in zip(*columns, strict=True)], dtype="int32")
+
+        return block
+
+    thin = keys.withColumn("block", block_of(borders)(*KEY))
+    up, down = (Window.partitionBy("block").orderBy(*(getattr(F.col(k), d)() for k in KEY)) for d in ("asc", "desc"))
+    ends = thin.withColumns({"a": F.row_number().over(up), "z": F.row_number().over(down)}).filter((F.col("a") <= REACH) | (F.col("z") <= REACH))
+    # at most 2 * REACH rows a block
+    edges = sorted((*(r[k] for k in KEY), r["block"]) for r in ends.select(*KEY, "block").collect())
+    unstage(keys)
+    also: dict[tuple, list[int]] = {}  # blocks beside its own that a page goes to
+    for i, (*key, block) in enumerate(edges):
+        for step in (-1, 1):
+            seen, j, beside = 0, i + step, set()
+            # a block may hold fewer pages than REACH, so look on until so many lie between
+            while 0 <= j < len(edges) and seen < REACH and edges[j][0] == key[0]:
+                if edges[j][-1] != block:
+                    beside.add(edges[j][-1])
+                seen += 1
+                j += step
+            also.setdefault(tuple(key), []).extend(sorted(beside))
+    shared = spark.sparkContext.broadcast((borders, {k: v for k, v in also.items() if v}))
+
+    @F.pandas_udf("array<int>")
+    def blocks(*columns: pd.Series) -> pd.Series:
+        cut, more = shared.value
+        return pd.Series([[bisect.bisect_right(cut, k), *more.get(k, ())] for k in zip(*columns, strict=True)])
+
+    dealt = src.withColumn("blocks", blocks(*KEY)).select("*", F.posexplode("blocks").alias("guest", "block")).drop("blocks")
+    dealt = dealt.repartition(n * BLOCKS, "block").sortWithinPartitions("block", *KEY)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # each page is paired with the next of its host, or with the last different one before it
-        before: tuple | None = None  # page_id, url, host, lines, open lines, their words of the page before that one
-        other: tuple | None = None  # open lines, words of the nearest page before ``before`` that is no copy of it
-
-        waiting: list[tuple] = []  # copies of ``before`` that stand before any different page of their host
-
-        def row(page: tuple, neighbour: list[tuple[str, bool]] | None) -> tuple:
-            text = difference(page[3], neighbour)
-            return page[0], page[1], text, len(text)
+        held: list[tuple[Page, bool]] = []  # pages of one block and host, and whether each belongs here
+        done, of = 0, None
+
+        def texts(last: bool) -> Iterator[tuple]:
+            nonlocal done
+            while done < len(held) - (0 if last else REACH):
+                page, own = held[done]
+                if own:
+                    lo = max(0, done - REACH)
+                    text = texts_of([x for x, _ in held[lo : done + REACH + 1]], done - lo)
+                    yield page.page_id, page.url, text, len(text)
+                done += 1
+            if done > REACH:
+                del held[: done - REACH]
+                done = REACH
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
 
         for pdf in batches:
             out = []
-            for page_id, url_, host, html in zip(pdf["page_id"], pdf["url"], pdf["host"], pdf["html"], strict=True):
-                lines = lines_of(html)
-                open_ = [x[:2] for x in lines if not x[2]]
-                page = (page_id, url_, host, lines, open_, words_of(open_))
-                if before is not None:
-                    same = before[2] == host
-                    copy = same and is_copy(before[5], page[5])
-                    if copy and other is None:
-                        waiting.append(before)
-                    else:
-                        out.append(row(before, page[4] if same and not copy else other and other[0]))
-                    if not copy:
-                        out.extend(row(x, page[4] if same and not is_copy(x[5], page[5]) else None) for x in waiting)
-                        waiting.clear()
-                        other = before[4:] if same else None
-                    elif other is not None and is_copy(other[1], page[5]):
-                        other = None
-                before = page
-            yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
-        if before is not None:
-            yield pd.DataFrame([row(before, other and other[0]), *(row(x, None) for x in waiting)], columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
-
-    return dealt.select("page_id", "url", "host", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+            for page_id, url, html, guest, *group in zip(*(pdf[c] for c in ("page_id", "url", "html", "guest", "block", "host")), strict=True):
+                if group != of:
+                    out += texts(last=True)
+                    held.clear()
+                    done, of = 0, group
+                held.append((Page(None if pd.isna(page_id) else int(page_id), url, html), guest == 0))
+                out += texts(last=False)
+            yield frame(out)
+        yield frame(list(texts(last=True)))
+
+    return dealt.select("page_id", "url", "html", "guest", "block", "host").mapInPandas(run, "page_id long, url string, text string, n_chars long")
