@@ -1,17 +1,19 @@
 r"""Quality rules over words, symbols and lines, DataFrame functions only.
 
 Per text: base counts (see ``base_counts``). Across texts: lines are normalised (lower case, white space
-collapsed, trimmed) and hashed; per host (``source``) the *distinct contents* that hold a line are
-counted, so exact copies of one page count once; lines that more than
-``max(min_docs, max_share * contents of the host)`` contents share are frequent. Frequent lines of at most
-``max_line_words`` words are boilerplate. A longer one is boilerplate if more contents than that limit hold it that
-are otherwise different: frequent lines make at most half of such a content's words, and contents with the same
-least hash of their other lines count once. So a page republished often, with edits, is not taken for boilerplate.
+collapsed, trimmed) and hashed, and per host (``source``) the documents that hold a line are counted, twice:
+
+1. documents that are equal in text count as one. Lines in more than ``max(min_docs, max_share * documents of the host)``
+   of them are frequent, of whatever length;
+2. documents that are *otherwise different* count once each: frequent lines make at most half of such a document's words, and
+   documents with the same least hash of their other lines count as one. A frequent line that more of these than the same
+   limit hold is boilerplate. So a page republished often, with edits, is not taken for boilerplate of its host.
+
 Boilerplate is removed; a text that loses more than ``max_removed`` of its words that way is depleted and rejected.
 
-Skew: rows first collapse to (host, content, line), which spreads a hot line over its contents and a hot
-content over one row a line, which is staged; the count per (host, line, salt) is combined before (host, line). Joins back
-go over (host, line, salt); the last one, to the rows of a hot content, is split by adaptive execution.
+Skew: rows first collapse to (host, text hash, line), which spreads a hot line over its texts and a hot
+text over one row a line, which is staged; the count per (host, line, salt) is combined before (host, line). Joins back
+go over (host, line, salt); the last one, to the rows of a hot text, is split by adaptive execution.
 
 Defined cases: null text is empty (0 words, base_failed); null source is a host of its own; rows that
 repeat an id are judged each on its text; an empty table gives an empty result; a doc without a line that
@@ -23,10 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_WS, WS, salts, stage, text_of
+from .common import NOT_WS, WS, salts, stage, text_of, unstage
 
 MIN_WORDS = 50
-MAX_LINE_WORDS = 20
 MIN_DOCS = 20
 MAX_SHARE = 0.002
 MAX_REMOVED = 0.5
@@ -71,36 +72,39 @@ def base_counts(docs: DataFrame, text: str = "t") -> DataFrame:
 
 
 def line_key(line: Column) -> Column:
-    return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, f"{WS}+", " "))))
+    """60 bits of a normalised line's MD5, as a number."""
+    return F.conv(F.substring(F.md5(F.lower(F.trim(F.regexp_replace(line, f"{WS}+", " ")))), 1, 15), 16, 10).cast("long")
 
 
-def _frequent_lines(rows: DataFrame, max_line_words: int, min_docs: int, max_share: float, n_salts: int) -> DataFrame:
-    """(host, c, h, words) of the boilerplate lines in each distinct content; ``rows`` has host, c, t."""
+def _boilerplate(rows: DataFrame, min_docs: int, max_share: float, n_salts: int) -> DataFrame:
+    """(host, c, all_words, hs): per text the boilerplate lines and their words in all its copies; ``rows`` has host, c, t."""
     lines = (
         rows.select("host", "c", F.explode(F.filter(F.split("t", "\n", -1), lambda x: x.rlike(NOT_WS))).alias("line"))
         .select("host", "c", line_key(F.col("line")).alias("h"), F.size(F.regexp_extract_all("line", F.lit(f"({NOT_WS}+)"), 1)).alias("n"))
     )
-    # per copy of a content every line counts as often as it stands in one copy: copies are divided out below
-    held = lines.groupBy("host", "c", "h").agg(F.sum("n").alias("all_words"), (F.max("n") > max_line_words).alias("long"))
+    # per copy of a text every line counts as often as it stands in one copy: copies are divided out below
+    held = lines.groupBy("host", "c", "h").agg(F.sum("n").alias("all_words"))
     held = stage(held.withColumn("s", F.pmod("c", F.lit(n_salts))), "lines")
     salted = held.groupBy("host", "h", "s").agg(F.count(F.lit(1)).alias("k"))
-    contents = rows.groupBy("host", "c").agg(F.count(F.lit(1)).alias("copies"))
-    hosts = contents.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.count(F.lit(1))).alias("limit"))
+    hosts = rows.select("host", "c").distinct().groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.count(F.lit(1))).alias("limit"))
     total = salted.groupBy("host", "h").agg(F.sum("k").alias("k"))
     frequent = total.join(hosts, total.host.eqNullSafe(hosts.host)).filter(F.col("k") > F.col("limit")).select(total.host, "h", "limit")
     keys = salted.select("host", "h", "s").alias("a").join(frequent.alias("f"), F.expr("a.h = f.h AND a.host <=> f.host")).select("a.host", "a.h", "a.s", "f.limit")
     marked = stage(
         held.alias("x").join(keys.alias("k"), F.expr("x.h = k.h AND x.s = k.s AND x.host <=> k.host"), "left").select("x.*", "k.limit"), "marked"
     )
-    often = F.col("limit").isNotNull()
-    bad = marked.filter(often & ~F.col("long")).select("host", "c", "h", "all_words")
-    long = marked.filter(often & F.col("long"))
-    own = marked.groupBy("host", "c").agg(F.sum("all_words").alias("all"), F.sum(F.when(often, F.col("all_words")).otherwise(0)).alias("often"), F.min(F.when(~often, F.col("h"))).alias("sig"))
+    unstage(held)
+    is_often = F.col("limit").isNotNull()
+    own = marked.groupBy("host", "c").agg(F.sum("all_words").alias("all"), F.sum(F.when(is_often, F.col("all_words")).otherwise(0)).alias("often"), F.min(F.when(~is_often, F.col("h"))).alias("sig"))
     own = own.filter("2 * often <= all").select("host", "c", "sig")
-    held_by = long.alias("x").join(own.alias("o"), F.expr("x.c = o.c AND x.host <=> o.host")).select("x.host", "x.h", "x.limit", "o.sig").distinct()
+    often = marked.filter(is_often)
+    held_by = often.alias("x").join(own.alias("o"), F.expr("x.c = o.c AND x.host <=> o.host")).select("x.host", "x.h", "x.limit", "o.sig").distinct()
     spread = held_by.groupBy("host", "h").agg(F.count(F.lit(1)).alias("k"), F.max("limit").alias("limit")).filter("k > limit")
-    at = long.select("host", "h", "s").distinct().alias("a").join(spread.alias("f"), F.expr("a.h = f.h AND a.host <=> f.host")).select("a.host", "a.h", "a.s")
-    return bad.unionByName(long.alias("x").join(at.alias("k"), F.expr("x.h = k.h AND x.s = k.s AND x.host <=> k.host")).select("x.host", "x.c", "x.h", "x.all_words"))
+    at = often.select("host", "h", "s").distinct().alias("a").join(spread.alias("f"), F.expr("a.h = f.h AND a.host <=> f.host")).select("a.host", "a.h", "a.s")
+    bad = often.alias("x").join(at.alias("k"), F.expr("x.h = k.h AND x.s = k.s AND x.host <=> k.host")).select("x.host", "x.c", "x.h", "x.all_words")
+    per = stage(bad.groupBy("host", "c").agg(F.sum("all_words").alias("all_words"), F.collect_set("h").alias("hs")), "boilerplate")
+    unstage(marked)
+    return per
 
 
 def quality_rules(
@@ -108,7 +112,6 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
-    max_line_words: int = MAX_LINE_WORDS,
     min_docs: int = MIN_DOCS,
     max_share: float = MAX_SHARE,
     max_removed: float = MAX_REMOVED,
@@ -123,8 +126,7 @@ def quality_rules(
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), text_of(text_col).alias("t"), F.xxhash64(text_of(text_col)).alias("c"), *[F.col(c).alias(f"in_{c}") for c in carry]
     )
-    bad = _frequent_lines(rows.select("host", "c", "t"), max_line_words, min_docs, max_share, salts(spark))
-    per = bad.groupBy("host", "c").agg(F.sum("all_words").alias("all_words"), *([F.collect_set("h").alias("hs")] if clean else []))
+    per = _boilerplate(rows.select("host", "c", "t"), min_docs, max_share, salts(spark))
     copies = rows.groupBy("host", "c").agg(F.count(F.lit(1)).alias("copies"))
     per = per.alias("p").join(copies.alias("q"), F.expr("p.c = q.c AND p.host <=> q.host")).select("p.*", (F.col("p.all_words") / F.col("q.copies")).cast("long").alias("lost"))
     judged = base_counts(rows).drop(*([] if clean else ["t"]))

@@ -28,16 +28,27 @@ def base_counts(text):
     return (*n, n[0] < 50 or 100 * n[4] > 50 * n[0])
 
 
-def boilerplate(rows, max_line_words=20, min_docs=20, max_share=0.002):
+def boilerplate(rows, min_docs=20, max_share=0.002):
     """[(id, host, text)] -> per row the words in boilerplate lines, and the text without them"""
     key = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()
-    short = lambda x: 0 < len(WORDS.findall(x)) <= max_line_words
-    contents = defaultdict(set)
+    n = lambda x: len(WORDS.findall(x))
+    digest = lambda k: hashlib.md5(k.encode()).hexdigest()[:15]
+    texts = defaultdict(set)
     for _, h, t in rows:
-        contents[h].add(t or "")
-    seen = Counter((h, k) for h, ts in contents.items() for t in ts for k in {key(x) for x in t.split("\n") if short(x)})
-    bad = lambda h, x: short(x) and seen[h, key(x)] > max(min_docs, max_share * len(contents[h]))
-    return [(sum(len(WORDS.findall(x)) for x in (t or "").split("\n") if bad(h, x)), "\n".join(x for x in (t or "").split("\n") if not bad(h, x))) for _, h, t in rows]
+        texts[h].add(t or "")
+    limit = {h: max(min_docs, max_share * len(ts)) for h, ts in texts.items()}
+    seen = Counter((h, k) for h, ts in texts.items() for t in ts for k in {key(x) for x in t.split("\n") if n(x)})
+    often = {(h, k) for (h, k), c in seen.items() if c > limit[h]}
+    by = defaultdict(set)  # the documents that hold a frequent line, by what else they hold
+    for h, ts in texts.items():
+        for t in ts:
+            lines = [(key(x), n(x)) for x in t.split("\n") if n(x)]
+            if 2 * sum(c for k, c in lines if (h, k) in often) <= sum(c for _, c in lines):
+                for k, _ in lines:
+                    if (h, k) in often:
+                        by[h, k].add(min(digest(j) for j, _ in lines if (h, j) not in often))
+    bad = lambda h, x: n(x) and len(by.get((h, key(x)), ())) > limit[h]
+    return [(sum(n(x) for x in (t or "").split("\n") if bad(h, x)), "\n".join(x for x in (t or "").split("\n") if not bad(h, x))) for _, h, t in rows]
 
 
 def shingles(text):

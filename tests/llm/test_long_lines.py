@@ -4,6 +4,8 @@ import random
 
 from quarrylight.llm import quality_rules
 
+from . import brute
+
 
 def words(n, seed):
     r = random.Random(seed)
@@ -18,6 +20,8 @@ def test_long_lines(spark):
     rows += [(50 + i, "g", "\n".join([*page[: i % 8], words(40, 500 + i), *page[i % 8 + 1 :]])) for i in range(40)]  # one page, edited
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     got = {r.doc_id: r for r in quality_rules.quality_rules(df, clean=True).collect()}
+    for (i, _, t), (lost, clean) in zip(rows, brute.boilerplate(rows), strict=True):
+        assert (got[i].n_boilerplate_words, got[i].clean_text) == (lost, clean)
     for i, _, t in rows[:30]:
         assert (got[i].n_boilerplate_words, got[i].kept, got[i].clean_text) == (95, True, "\n".join(t.split("\n")[:2]))
     assert got[40].n_boilerplate_words == 95 and not got[40].kept
