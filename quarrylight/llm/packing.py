@@ -10,8 +10,9 @@ proven bound) on the driver and comes back as a table of runs:
   no gap does.
 
 Equal lengths are interchangeable, so a piece finds its place by its rank within its length. Ranks are
-taken per (length, salt) and shifted by the counts of the salts before: a length that a third of all rows
-share is never ranked in one task.
+taken per (length, salt) and shifted by the counts of the salts before. A length gets salts by its count, about
+``SALTS`` over all lengths: a length that a third of all rows share is never ranked in one task, and the driver
+holds ``SALTS`` + ``capacity`` counts at most.
 
 Defined cases: null text is empty and gives one piece of one token (the end id); an empty table gives an
 empty result; rows that repeat an id are packed each on their own; other columns are ignored.
@@ -20,6 +21,7 @@ empty result; rows that repeat an id are packed each on their own; other columns
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import sys
 import types
@@ -35,10 +37,22 @@ from pyspark.sql.window import Window
 from .common import stage, text_of
 
 CAPACITY = 4096
+SALTS = 1 << 16
+LEAST_PER_SALT = 256
 END_ID = 1
 #: Words kept with their ids in a worker, in each of two generations: words met again move to the young one, and
 #: when that is full, the old one goes. Memory is bounded, and frequent words stay.
-MEMO_WORDS = 350_000
+MEMO_WORDS = 200_000
+
+# The normalizer and pre-tokenizer for which encoding word by word is exact.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 _RARE_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 _TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -46,12 +60,14 @@ _TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 class WordEncoder:
     """Encodes texts word by word with a memo; exact for tokenizers that lower-case, split at white space
-    and take runs of letters and runs of marks apart, as ``word_bpe_49k.json`` does."""
+    and take runs of letters and runs of marks apart, as ``word_bpe_49k.json`` does. Others encode whole texts."""
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(definition)
+        parts = json.loads(definition)
+        self.by_word = [parts.get(k) for k in ("normalizer", "pre_tokenizer", "post_processor")] == [NORMALIZER, PRE_TOKENIZER, None]
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -81,8 +97,8 @@ class WordEncoder:
         """Puts words into the memo. Words of plain letters are encoded as one text: each is one run."""
         memo = self.memo
         plain = [w for w in words if w.isalpha() and max(w) < "\u0100"]
-        for i in range(0, len(plain), 20_000):
-            part = plain[i : i + 20_000]
+        for i in range(0, len(plain), 4_000):
+            part = plain[i : i + 4_000]
             got = self.tok.encode(" ".join(part), add_special_tokens=False)
             raw = np.asarray(got.ids, dtype="<u4").tobytes()
             ends = (4 * np.searchsorted(np.asarray(got.word_ids), np.arange(len(part)), side="right")).tolist()
@@ -91,17 +107,24 @@ class WordEncoder:
                 memo[w] = raw[at:end]
                 at = end
         rest = [w for w in words if w not in memo]
-        for i in range(0, len(rest), 20_000):
-            memo.update(zip(rest[i : i + 20_000], self._ids(rest[i : i + 20_000]), strict=True))
+        for i in range(0, len(rest), 4_000):
+            memo.update(zip(rest[i : i + 4_000], self._ids(rest[i : i + 4_000]), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.by_word:
+            yield from self._ids(texts)
+            return
         if len(self.memo) > MEMO_WORDS:
             self.old, self.memo = self.memo, {}
         memo = self.memo
         split = [None if _RARE_SPACE.search(t) else t.split() for t in texts]
-        new = {w for ws in split if ws for w in ws if w not in memo}
-        new = [w for w in new if not self._recall(w)]
+        new = set().union(*filter(None, split)).difference(memo)
+        if old := self.old:  # words of the old generation move to the young one
+            known = new.intersection(old)
+            memo.update(zip(known, map(old.__getitem__, known), strict=True))
+            new -= known
+        # words with capitals or marks at the end are made of their parts, and forgotten after the texts
         made: dict[str, tuple[str, str]] = {}
         learn: set[str] = set()
         for w in new:
@@ -120,7 +143,9 @@ class WordEncoder:
         for w, (low, tail) in made.items():
             memo[w] = memo[low] + memo[tail] if tail else memo[low]
         for t, ws in zip(texts, split, strict=True):
-            yield self._ids([t])[0] if ws is None else b"".join([memo[w] for w in ws])
+            yield self._ids([t])[0] if ws is None else b"".join(map(memo.__getitem__, ws))
+        for w in made:
+            del memo[w]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,26 +257,32 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to rows that have doc_id, piece and length (at most ``capacity``)."""
-    n_salts = 64
-    rows = parts.withColumn("_s", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_salts)).cast("int"))
+    # at most capacity counts, whatever the input's size
+    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = max(LEAST_PER_SALT, sum(counts.values()) / SALTS)
+    n_salts = [max(1, -int(-counts.get(length, 0) // share)) for length in range(capacity + 1)]
+    first = np.concatenate([[0], np.cumsum(n_salts)]).astype(np.int64)  # place of each length's first salt
+    widths = F.lit(n_salts) if any(n > 1 for n in n_salts) else None
+    salt = F.lit(0) if widths is None else F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(widths, F.col("length").cast("int") + 1)).cast("int")
+    rows = parts.withColumn("_s", salt)
     per = rows.groupBy("length", "_s").agg(F.count(F.lit(1)).alias("n"))
-    # at most capacity * n_salts small rows, whatever the input's size
+    # at most SALTS + capacity small rows
     hist = per.toPandas().sort_values(["length", "_s"])
     hist["base"] = hist.groupby("length")["n"].cumsum() - hist["n"]
-    bases = np.zeros((capacity + 1, n_salts), dtype=np.int64)
-    bases[hist["length"], hist["_s"]] = hist["base"]
-    runs = np.asarray(plan({int(k): int(v) for k, v in hist.groupby("length")["n"].sum().items()}, capacity), dtype=np.int64).reshape(-1, 6)
+    bases = np.zeros(first[-1] + 1, dtype=np.int64)
+    bases[first[hist["length"].to_numpy()] + hist["_s"].to_numpy()] = hist["base"]
+    runs = np.asarray(plan(counts, capacity), dtype=np.int64).reshape(-1, 6)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     sc = parts.sparkSession.sparkContext
-    shared = sc.broadcast((bases, runs))
+    shared = sc.broadcast((first, bases, runs))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, run = shared.value
+        start, base, run = shared.value
         span = np.int64(1) << 44
         keys = run[:, 0] * span + run[:, 1]
         for pdf in batches:
             length = pdf["length"].to_numpy()
-            rank = base[length, pdf["_s"].to_numpy()] + pdf["_r"].to_numpy() - 1
+            rank = base[start[length] + pdf["_s"].to_numpy()] + pdf["_r"].to_numpy() - 1
             r = run[np.searchsorted(keys, length * span + rank, side="right") - 1]
             k = rank - r[:, 1]
             yield pdf.drop(columns=["_s", "_r"]).assign(sequence_id=r[:, 3] + k // r[:, 5], offset=r[:, 4] + (k % r[:, 5]) * length)
