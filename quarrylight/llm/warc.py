@@ -6,8 +6,9 @@ metadata name their response in WARC-Concurrent-To. Of captures with equal paylo
 to it. Records are whole texts that Spark's own text writer puts out (the blank lines that end a record
 are its line separator), so archives land in any store Spark can write, and no local file is made.
 
-``read_warc`` takes archive files whole (``payload_per_file`` bounds them), walks the records by their
-Content-Length, and never scans for separators inside payloads. ``assemble`` joins the transaction:
+Files are bounded: captures of at most ``LARGE`` bytes go ``PER_FILE`` to a file, larger ones 32 (equal payloads
+have equal sizes, so no revisit crosses the two). ``read_warc`` unpacks an archive as a stream, one record at a time, walks
+the records by their Content-Length, and never scans for separators inside payloads. ``assemble`` joins the transaction:
 request, response and metadata meet over the concurrent-to identifier.
 
 Defined cases: null payload is empty; null url is empty; rows that repeat an id are separate captures of
@@ -18,7 +19,8 @@ before the whole digest, so a payload that a third of all pages share is never g
 
 from __future__ import annotations
 
-import re
+import gzip
+import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import salts
 
 MIN_REVISIT = 1000
+LARGE = 32_768
+PER_FILE = 2000
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 FIELDS = ["record_id", "type", "concurrent_to", "refers_to", "uri", "payload_digest", "date"]
@@ -68,6 +72,12 @@ def record_id(kind: str, page) -> F.Column:
 
 def write_warc(captures: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> None:
     """Write ``captures`` (id, url, payload as text) as gzip archives under ``path``."""
+    size = F.octet_length("payload")
+    _write(captures.filter(size <= LARGE), f"{path}/small", PER_FILE, min_revisit)
+    _write(captures.filter(size > LARGE), f"{path}/large", 32, min_revisit)
+
+
+def _write(captures: DataFrame, path: str, per_file: int, min_revisit: int) -> None:
     c = with_revisits(captures, min_revisit)
     url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", "")
     main = record_id("response", F.col("id"))
@@ -85,23 +95,26 @@ def write_warc(captures: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -
         _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", record_id("request", F.col("id"))), ("WARC-Concurrent-To", main), *common, ("Content-Type", F.lit("application/http; msgtype=request"))], request),
         _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id("metadata", F.col("id"))), ("WARC-Concurrent-To", main), *common, ("Content-Type", F.lit("application/warc-fields"))], meta),
     ]
-    # bounded files, so that each can be read whole
     out = c.select(F.explode(F.array(*records)).alias("value"))
-    out.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 6000).text(path)
+    out.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", len(records) * per_file).text(path)
 
 
-_HEADER = re.compile(rb"([^\r\n:]+):[ \t]*([^\r\n]*)\r\n")
+def walk(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of an archive, one at a time."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue  # the blank lines after a record
+        headers = {}
+        while (line := stream.readline()).strip():
+            name, _, value = line.partition(b":")
+            headers[name.decode().lower()] = value.strip().decode("utf-8", "replace")
+        yield headers, stream.read(int(headers["content-length"]))
 
 
-def walk(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive's bytes."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        headers = {m[1].decode().lower(): m[2].decode("utf-8", "replace") for m in _HEADER.finditer(data, data.index(b"\r\n", at) + 2, end + 2)}
-        n = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
+def opened(content: bytes) -> io.BufferedIOBase:
+    """The records' bytes of an archive file, unpacked as they are read."""
+    raw = io.BytesIO(content)
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -111,24 +124,23 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import gzip
-
         names = [h.lower() for h in HEADERS]
         for pdf in batches:
             for content in pdf["content"]:
-                out = []
-                for headers, block in walk(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
+                out, size = [], 0
+                for headers, block in walk(opened(content)):
                     http = None
+                    size += len(block)
                     if headers.get("warc-type") in ("response", "revisit"):
                         http, _, block = block.partition(b"\r\n\r\n")
                         http = http.decode("utf-8", "replace")
                     out.append((*(headers.get(h) for h in names), http, block))
-                    if len(out) == 2000:
+                    if len(out) == 2000 or size > 8_000_000:
                         yield pd.DataFrame(out, columns=[*FIELDS, "http", "block"])
-                        out = []
+                        out, size = [], 0
                 yield pd.DataFrame(out, columns=[*FIELDS, "http", "block"])
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInPandas(run, RAW)
 
 
