@@ -1,9 +1,11 @@
 r"""Chat formatting of heterogeneous records.
 
 A record is a JSON object. Its *schema fingerprint* is the hash of its sorted nested field paths (list
-items share one path); the fingerprint selects a declarative mapping that says where the turns lie.
-Unknown fingerprints fall back to the first mapping whose required paths are all there; a record that
-none fits gets an empty list of turns and ``layout = 'unknown'``.
+items share one path), of those that any mapping names; the fingerprint looks its declarative mapping up in a
+registry, which holds each mapping under its required paths with every choice of its optional ones. A fingerprint
+that is not registered (say, a record that fits two layouts at once) falls back to the first mapping whose required
+paths are all there; a record that none fits gets an empty list of turns and ``layout = 'unknown'``. An item of a
+list of turns that is no object is a turn without a role.
 
 Template: ``<|im_start|>role\ntext<|im_end|>\n`` per turn. Inside roles and texts ``\`` becomes ``\\`` and
 ``<|`` becomes ``<\|`` (and a line feed in a role ``\n``), so no text can open or close a turn, and
@@ -20,6 +22,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,15 +30,15 @@ from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 
-#: Declarative layouts: required paths, and how turns are read. ``each``: a list of turns with a role and a
+#: Declarative layouts: required and optional paths, and how turns are read. ``each``: a list of turns with a role and a
 #: text field (``roles`` renames); ``fields``: one turn per named field, skipped where absent or empty.
 MAPPINGS = [
-    {"layout": "messages", "paths": ["messages", "messages[].role", "messages[].content"], "each": ("messages", "role", "content"), "roles": {}},
-    {"layout": "conversations", "paths": ["conversations", "conversations[].from", "conversations[].value"], "each": ("conversations", "from", "value"), "roles": {"human": "user", "gpt": "assistant"}},
-    {"layout": "instruction", "paths": ["instruction", "output"], "fields": [("system", "system"), ("instruction", "user"), ("input", "user"), ("output", "assistant")]},
-    {"layout": "prompt_response", "paths": ["prompt", "response"], "fields": [("system", "system"), ("prompt", "user"), ("response", "assistant")]},
-    {"layout": "prompt_completion", "paths": ["prompt", "completion"], "fields": [("system", "system"), ("prompt", "user"), ("completion", "assistant")]},
-    {"layout": "question_answer", "paths": ["question", "answer"], "fields": [("context", "system"), ("question", "user"), ("answer", "assistant")]},
+    {"layout": "messages", "paths": ["messages", "messages[].role", "messages[].content"], "optional": ["system"], "each": ("messages", "role", "content"), "roles": {}},
+    {"layout": "conversations", "paths": ["conversations", "conversations[].from", "conversations[].value"], "optional": ["system"], "each": ("conversations", "from", "value"), "roles": {"human": "user", "gpt": "assistant"}},
+    {"layout": "instruction", "paths": ["instruction", "output"], "optional": ["system", "input"], "fields": [("system", "system"), ("instruction", "user"), ("input", "user"), ("output", "assistant")]},
+    {"layout": "prompt_response", "paths": ["prompt", "response"], "optional": ["system"], "fields": [("system", "system"), ("prompt", "user"), ("response", "assistant")]},
+    {"layout": "prompt_completion", "paths": ["prompt", "completion"], "optional": ["system"], "fields": [("system", "system"), ("prompt", "user"), ("completion", "assistant")]},
+    {"layout": "question_answer", "paths": ["question", "answer"], "optional": ["context"], "fields": [("context", "system"), ("question", "user"), ("answer", "assistant")]},
 ]
 
 
@@ -52,19 +55,21 @@ def fingerprint(paths: set[str]) -> str:
 
 
 class Layouts:
-    """Fingerprint -> mapping, filled as new fingerprints come (at most as many as there are layouts of records)."""
+    """The registry of a set of mappings, by fingerprint."""
 
-    def __init__(self, mappings: list[dict] = MAPPINGS, limit: int = 10_000):
-        self.mappings, self.known, self.limit = mappings, {}, limit
+    def __init__(self, mappings: list[dict] = MAPPINGS):
+        self.mappings = mappings
+        self.named = {p for m in mappings for p in (*m["paths"], *m["optional"])}
+        self.registry: dict[str, dict] = {}
+        for m in reversed(mappings):  # of equal fingerprints the first mapping's stays
+            for n in range(len(m["optional"]) + 1):
+                for some in combinations(m["optional"], n):
+                    self.registry[fingerprint({*m["paths"], *some})] = m
 
     def select(self, record: object) -> dict | None:
-        paths = field_paths(record)
-        key = fingerprint(paths)
-        if key not in self.known:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            self.known[key] = next((m for m in self.mappings if paths >= set(m["paths"])), None)
-        return self.known[key]
+        paths = field_paths(record) & self.named
+        found = self.registry.get(fingerprint(paths))
+        return found or next((m for m in self.mappings if paths >= set(m["paths"])), None)
 
     def turns(self, record: object) -> tuple[str, list[tuple[str, str]]]:
         m = self.select(record)
@@ -73,7 +78,9 @@ class Layouts:
         text = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
         if "each" in m:
             top, role, content = m["each"]
-            return m["layout"], [(m["roles"].get(r := text(x.get(role)), r), text(x.get(content))) for x in record[top] if isinstance(x, dict)]
+            items = record[top] if isinstance(record[top], list) else [record[top]]
+            turns = [(m["roles"].get(r := text(x.get(role)), r), text(x.get(content))) if isinstance(x, dict) else ("", text(x)) for x in items]
+            return m["layout"], [*([("system", text(record["system"]))] if record.get("system") else []), *turns]
         needed = set(m["paths"])
         return m["layout"], [(role, text(record.get(f))) for f, role in m["fields"] if f in needed or record.get(f)]
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, exact_dedup, html_extract, minhash_join, packing, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, warc
-from .common import shared_dir, text_of
+from .common import delete_at_exit, shared_dir, text_of
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -48,6 +48,13 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"), F.length("text").cast("long").alias("decoded_chars"))
 
 
+def sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pieces as a unigram model (scores by rank), so best sums of scores decide: doc_id, n_ids, ids_crc32, and digest and length of the decoded text."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    back = sentencepiece_codec.decode(sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), model, unigram=True), model)
+    return back.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"), F.length("text").cast("long").alias("decoded_chars"))
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
@@ -69,6 +76,7 @@ def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
     warc.write_warc(pages.select(F.col("page_id").cast("long").alias("id"), F.col("url").cast("string").alias("url"), text_of("html").alias("payload")), path)
     return warc.captures_of(warc.assemble(warc.read_warc(spark, path)))
 
@@ -84,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_join": op9_minhash_join,
     "op10_warc": op10_warc,
+    "sentencepiece_unigram": sentencepiece_unigram,
 }
 
 _RULES_SQL = r"""
@@ -93,9 +102,13 @@ g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELE
 hit AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1)) GROUP BY r),
 l AS (SELECT r, source, t, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) AS k FROM (SELECT r, source, t, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM l GROUP BY r),
-hosts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
-seen AS (SELECT l.source, k, count(DISTINCT t) AS c, any_value(hosts.n) AS n FROM l JOIN hosts ON l.source IS NOT DISTINCT FROM hosts.source WHERE l.n <= 20 GROUP BY l.source, k HAVING count(DISTINCT t) > greatest(20.0, 0.002 * any_value(hosts.n))),
-lost AS (SELECT r, sum(l.n) AS n FROM l JOIN seen ON l.k = seen.k AND l.source IS NOT DISTINCT FROM seen.source WHERE l.n <= 20 GROUP BY r),
+hosts AS (SELECT source, greatest(20.0, 0.002 * count(DISTINCT t)) AS most FROM d GROUP BY source),
+held AS (SELECT source, t, k, sum(n) AS n FROM l GROUP BY source, t, k),
+often AS (SELECT held.source, k, any_value(most) AS most FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source GROUP BY held.source, k HAVING count(*) > any_value(most)),
+m AS (SELECT held.source, t, held.k, held.n, most FROM held LEFT JOIN often ON held.k = often.k AND held.source IS NOT DISTINCT FROM often.source),
+own AS (SELECT source, t, min(substr(md5(k), 1, 15)) FILTER (most IS NULL) AS sig FROM m GROUP BY source, t HAVING 2 * coalesce(sum(n) FILTER (most IS NOT NULL), 0) <= sum(n)),
+seen AS (SELECT m.source, k FROM m JOIN own ON m.t = own.t AND m.source IS NOT DISTINCT FROM own.source WHERE most IS NOT NULL GROUP BY m.source, k HAVING count(DISTINCT sig) > any_value(most)),
+lost AS (SELECT r, sum(l.n) AS n FROM l JOIN seen ON l.k = seen.k AND l.source IS NOT DISTINCT FROM seen.source GROUP BY r),
 b AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_boilerplate_words
   FROM d JOIN w USING (r) LEFT JOIN hit USING (r) LEFT JOIN dup USING (r) LEFT JOIN lost USING (r))

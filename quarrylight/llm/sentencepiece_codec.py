@@ -13,6 +13,9 @@ Characters that no piece holds become byte pieces where the model has them. Text
 model's own rules: an optional leading space, spaces as ``SPACE``. Decoding joins pieces, turns byte
 pieces into UTF-8 (invalid bytes into U+FFFD) and drops the added space.
 
+``as_unigram`` reads a byte-pair vocabulary as a unigram model: a piece's score is the log of its share under Zipf's law
+of its rank. Models with a normalisation map of their own are refused, as the map is not applied here.
+
 Words are remembered in a bounded memo where no piece crosses from a word into the next space.
 
 Defined cases: null text is empty and gives no ids; every text without the space mark itself round-trips as long
@@ -21,6 +24,7 @@ as the model has byte pieces; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 import types
@@ -43,6 +47,18 @@ _MARKS = ".,;:!?|\"'()$%&*#"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
+def as_unigram(model: bytes) -> bytes:
+    """The pieces of a model as a unigram model: the score of the n-th piece is -log(n)."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(model)
+    proto.trainer_spec.model_type = 1
+    for rank, p in enumerate((p for p in proto.pieces if p.type == NORMAL), start=2):
+        p.score = -math.log(rank)
+    return proto.SerializeToString()
+
+
 class Codec:
     def __init__(self, model: bytes):
         import ahocorasick
@@ -55,7 +71,8 @@ class Codec:
         self.is_bpe = proto.trainer_spec.model_type == 2
         self.prefix = proto.normalizer_spec.add_dummy_prefix
         self.squeeze = proto.normalizer_spec.remove_extra_whitespaces
-        self.charsmap = bool(proto.normalizer_spec.precompiled_charsmap)
+        if proto.normalizer_spec.precompiled_charsmap:
+            raise ValueError("a model with a normalisation map of its own is not supported")
         self.unk = next((i for i, k in enumerate(kinds) if k == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
@@ -226,16 +243,17 @@ class Codec:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-def _shared_model(df: DataFrame, path: str):
+def _shared_model(df: DataFrame, path: str, unigram: bool = False):
     """The vocabulary file, read once where the driver runs; its size does not depend on any data."""
     with open(path, "rb") as f:
-        return df.sparkSession.sparkContext.broadcast(f.read())
+        model = f.read()
+    return df.sparkSession.sparkContext.broadcast(as_unigram(model) if unigram else model)
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids: the ids of each text."""
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", unigram: bool = False) -> DataFrame:
+    """doc_id, ids: the ids of each text; with ``unigram`` by the best sum of scores of ``as_unigram``."""
 
-    model = _shared_model(docs, model_path)
+    model = _shared_model(docs, model_path, unigram)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec.of_worker(model.value)
