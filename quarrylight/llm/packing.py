@@ -71,16 +71,6 @@ class WordEncoder:
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _recall(self, word: str) -> bool:
-        """Is a word known; one of the old generation moves to the young one."""
-        if word in self.memo:
-            return True
-        got = self.old.get(word)
-        if got is None:
-            return False
-        self.memo[word] = got
-        return True
-
     @classmethod
     def of_worker(cls, definition: str) -> WordEncoder:
         """The encoder of this process: Python workers live on from task to task, and so does the memo."""
@@ -96,7 +86,7 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         """Puts words into the memo. Words of plain letters are encoded as one text: each is one run."""
         memo = self.memo
-        plain = [w for w in words if w.isalpha() and max(w) < "\u0100"]
+        plain = [w for w in words if w.isalpha() and (w.isascii() or max(w) < "\u0100")]
         for i in range(0, len(plain), 4_000):
             part = plain[i : i + 4_000]
             got = self.tok.encode(" ".join(part), add_special_tokens=False)
@@ -120,7 +110,8 @@ class WordEncoder:
         memo = self.memo
         split = [None if _RARE_SPACE.search(t) else t.split() for t in texts]
         new = set().union(*filter(None, split)).difference(memo)
-        if old := self.old:  # words of the old generation move to the young one
+        old = self.old
+        if old:  # words of the old generation move to the young one
             known = new.intersection(old)
             memo.update(zip(known, map(old.__getitem__, known), strict=True))
             new -= known
@@ -129,14 +120,16 @@ class WordEncoder:
         learn: set[str] = set()
         for w in new:
             core = w.rstrip(_TAIL)
-            if core and core[-1].isalpha() and max(core) < "\u0100" and "<|" not in w:
+            if core and core[-1].isalpha() and (core.isascii() or max(core) < "\u0100") and "<|" not in w:
                 low, tail = core.lower(), w[len(core) :]
                 if low != w:
                     made[w] = (low, tail)
-                    if tail and not self._recall(tail):
-                        learn.add(tail)
-                if not self._recall(low):
-                    learn.add(low)
+                for part in (low, tail) if tail else (low,):
+                    if part not in memo:
+                        if part in old:
+                            memo[part] = old[part]
+                        else:
+                            learn.add(part)
             else:
                 learn.add(w)
         self._learn(list(learn))
