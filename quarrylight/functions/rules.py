@@ -164,20 +164,32 @@ RISK_DATED = r"\b(?:on|as of|in|during)\s+(?:\d{1,2}\s+[A-Z][a-z]+|[A-Z][a-z]+\s
 RISK_NAME = r"\b[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){0,4}\b"
 
 
-def risk_flags(message: Column, answer: Column) -> Column:
-    """Distinct reasons to review an answer, at most five, in order."""
+RISK_NAMES = r"\b[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){1,4}\b"
+RISK_DEED = r"\b(is|are|was|were|became|serves|served|founded|created|invented|discovered|won|released|launched|announced|appointed|elected)\b"
+RISK_SOURCED = r"(?i)(https?://|\[[^\]]+\]\(https?://|Sources:\s*)"
+RISK_ROUTE = r"\b(fallback|service_unavailable|service_error|unknown_general_knowledge_answer|crawl4ai_unavailable|low_confidence)\b"
+
+
+def risk_flags(message: Column, answer: Column, purpose: Column | None = None, note: Column | None = None, mutable: Column | None = None) -> Column:
+    """Distinct reasons to review an answer, at most five, in order.
+
+    ``purpose`` is what the answer is for, ``note`` why it came by its route, ``mutable`` whether the message asks for a fact that may change.
+    """
     m, a = s(message), s(answer)
     both, low = F.lower(F.concat(m, F.lit("\n"), a)), F.lower(a)
     both_of = dict(RISK_BOTH)
     flags = [
+        F.when(s(purpose).isin("verify_answer", "selection_verify"), "explicit_verification") if purpose is not None else None,
         F.when(has(both, both_of["challenged_or_uncertain"]), "challenged_or_uncertain"),
         F.when(has(low, RISK_UNSURE), "model_uncertainty"),
         F.when(has(low, RISK_CLAIM) & ~has(a, RISK_LINK), "source_like_claim_without_source"),
         F.when(has(m, RISK_NOW) & has(low, RISK_STATE), "current_or_date_sensitive_claim"),
         F.when(has(m, RISK_DATED) & has(a, RISK_NAME), "dated_named_entity_claim"),
+        F.when(mutable & has(a, RISK_NAMES) & has(low, RISK_DEED) & ~has(a, RISK_SOURCED), "unsupported_named_entity_claim") if mutable is not None else None,
+        F.when(has(F.lower(s(note)), RISK_ROUTE), "routing_uncertainty") if note is not None else None,
         *[F.when(has(both, both_of[k]), k) for k in ("high_stakes", "code", "calculation")],
     ]
-    return F.slice(F.array_compact(F.array(*flags)), 1, 5)
+    return F.slice(F.array_compact(F.array(*[f for f in flags if f is not None])), 1, 5)
 
 
 # --- evidence predicates ------------------------------------------------------------------------------------------

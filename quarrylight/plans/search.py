@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import answers, rules, urls
 from ..functions import text as T
 from ..operators import chunk, joins, rank
-from .common import QUERY, SOURCES, Query, hits, like, lit, sources, table, terms
+from .common import STRIP, QUERY, SOURCES, Query, hits, like, lit, sources, table, terms
 from .texts import _KEY, _T1, _WS, about
 from .turns import _CITABLE, _STRONG
 
@@ -41,20 +41,21 @@ def verified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy(F.desc("score"), "ord").limit(10)
 
 
-_AT = "CASE WHEN length(p) < 300 THEN length(p) WHEN instr(reverse(p), ' ') = 0 THEN -1 ELSE 300 - instr(reverse(p), ' ') END"
+_AT = "CASE WHEN length(p) < 1200 THEN length(p) WHEN instr(reverse(p), ' ') = 0 THEN -1 ELSE 1200 - instr(reverse(p), ' ') END"
+_LONG = f"trim({STRIP})"
 
 
 @query(
     "best_chunk_join",
-    f"""WITH RECURSIVE {SOURCES}, c0 AS (SELECT ord, trim(regexp_replace(title || '. ' || description, '\\s+', ' ', 'g')) AS t FROM sources),
-walk AS (SELECT ord, t, 1 AS i, 0 AS k FROM c0 UNION ALL SELECT ord, t, greatest(i + w - 40, i + 1), k + 1 FROM (SELECT ord, t, i, k, CASE WHEN a > 165.0 THEN a + 1 ELSE length(p) END AS w FROM (SELECT *, {_AT} AS a FROM (SELECT ord, t, i, k, substring(t, i, 300) AS p FROM walk)))
- WHERE i + w - 1 < length(t) AND k + 1 < 3),
-cut AS (SELECT ord, k, trim(substring(t, i, CASE WHEN a > 165.0 THEN a + 1 ELSE length(p) END)) AS chunk FROM (SELECT *, {_AT} AS a FROM (SELECT ord, t, i, k, substring(t, i, 300) AS p FROM walk))),
+    f"""WITH RECURSIVE {SOURCES}, c0 AS (SELECT ord, trim(regexp_replace(concat_ws('. ', nullif(title, ''), nullif(description, ''), nullif(body, '')), '\\s+', ' ', 'g')) AS t FROM sources JOIN (SELECT page_id AS ord, {_LONG} AS body FROM pages) USING (ord)),
+walk AS (SELECT ord, 1 AS i, 0 AS k FROM c0 UNION ALL SELECT ord, greatest(i + w - 160, i + 1), k + 1 FROM (SELECT ord, i, k, n, CASE WHEN a > 660.0 THEN a + 1 ELSE length(p) END AS w FROM (SELECT *, {_AT} AS a FROM (SELECT walk.ord, i, k, length(t) AS n, substring(t, i, 1200) AS p FROM walk JOIN c0 USING (ord))))
+ WHERE i + w - 1 < n),
+cut AS (SELECT ord, k, trim(substring(t, i, CASE WHEN a > 660.0 THEN a + 1 ELSE length(p) END)) AS chunk FROM (SELECT *, {_AT} AS a FROM (SELECT walk.ord, t, i, k, substring(t, i, 1200) AS p FROM walk JOIN c0 USING (ord)))),
 q AS (SELECT {_WS} AS ws), s AS (SELECT ord, k, chunk, {hits("ws", ("chunk", 1))} AS n FROM cut, q WHERE chunk <> ''), b AS (SELECT * FROM s WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY ord ORDER BY n DESC, k) = 1)
 SELECT sources.ord, CAST(coalesce(n, 0) AS INT) AS score, coalesce(chunk, description) AS text FROM sources LEFT JOIN b ON sources.ord = b.ord""",
 )
 def best_chunk_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source with its best chunk of the whole page, or its description where no chunk holds a query word. The SQL above still reads 200 characters of a page."""
+    """Each source with its best chunk of the whole page, or its description where no chunk holds a query word."""
     d = sources(spark, sf_dir)
     said = F.array_join(F.filter(F.array("title", "description", "text"), lambda x: x != ""), ". ")
     parts = chunk.explode_chunks(d.select("ord", said.alias("text")), "text", 1200, most=None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, rules
+from ..functions import dates, policy, rules
 from ..functions import text as T
 from ..operators import conversation, evidence, rank, state
 from .common import AS_OF, HOST, QUERY, SOURCES, Query, collapse, events, like, lit, sources, sub, table, terms, words
@@ -178,16 +178,20 @@ def intent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BOTH = dict(rules.RISK_BOTH)
+_ANY = lambda x, ps: "(" + " OR ".join(like(x, p) for p in ps) + ")"
+_BARE = "trim(regexp_replace(asked, '[?!.,;:]+$', ''))"
+_MUTABLE = f"(trim(m) <> '' AND NOT (({_ANY(_BARE, [policy.NAME_CAPITAL, *policy.STABLE_ABOUT])} OR {_ANY('t', [policy.SUM, *rules.CODING, policy.PLAIN_QUESTION])}) AND NOT {_ANY(_BARE, policy.STABLE_NOT)}) AND {_ANY('asked', policy.MUTABLE)})"
 _FLAGS = [
-    (like("mixed", _BOTH["challenged_or_uncertain"]), "challenged_or_uncertain"), (like("low", rules.RISK_UNSURE), "model_uncertainty"), (f"{like('low', rules.RISK_CLAIM)} AND NOT {like('a', rules.RISK_LINK)}", "source_like_claim_without_source"),
+    ("conv_id % 9 = 0", "explicit_verification"), (like("mixed", _BOTH["challenged_or_uncertain"]), "challenged_or_uncertain"), (like("low", rules.RISK_UNSURE), "model_uncertainty"), (f"{like('low', rules.RISK_CLAIM)} AND NOT {like('a', rules.RISK_LINK)}", "source_like_claim_without_source"),
     (f"{like('m', rules.RISK_NOW)} AND {like('low', rules.RISK_STATE)}", "current_or_date_sensitive_claim"), (f"{like('m', rules.RISK_DATED)} AND {like('a', rules.RISK_NAME)}", "dated_named_entity_claim"),
+    (f"{_MUTABLE} AND {like('a', rules.RISK_NAMES)} AND {like('low', rules.RISK_DEED)} AND NOT {like('a', rules.RISK_SOURCED)}", "unsupported_named_entity_claim"), (like("coalesce(note, '')", rules.RISK_ROUTE), "routing_uncertainty"),
     *[(like("mixed", _BOTH[k]), k) for k in ("high_stakes", "code", "calculation")],
 ]
 
 
 @query(
     "risk_flags",
-    f"""WITH p AS (SELECT conv_id, turn, coalesce(text, '') AS m, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS a FROM conversations), l AS (SELECT *, lower(m || chr(10) || a) AS mixed, lower(a) AS low FROM p)
+    f"""WITH p AS (SELECT conv_id, turn, coalesce(text, '') AS m, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS a, CASE WHEN conv_id % 8 = 0 THEN 'low_confidence' END AS note FROM conversations), l AS (SELECT *, m AS t, lower(m) AS asked, lower(m || chr(10) || a) AS mixed, lower(a) AS low FROM p)
 SELECT conv_id, turn, array_to_string(list_filter([{", ".join(f"CASE WHEN {c} THEN {lit(k)} END" for c, k in _FLAGS)}], lambda x: x IS NOT NULL)[1:5], ',') AS flags, {like("m", rules.CACHE_BYPASS)} AS bypass,
 length(m) > 500000 OR ({like("m", rules.ABUSE_PHRASE)} AND length(m) > 12000) OR {like("m", rules.ABUSE_MARKUP)} AS abusive FROM l""",
 )
@@ -197,7 +201,7 @@ def risk_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     p = turns(spark, sf_dir).select("conv_id", "turn", "text", nxt.alias("answer"))
     x = F.col("text")
-    return p.select("conv_id", "turn", F.array_join(rules.risk_flags(x, F.col("answer")), ",").alias("flags"), rules.bypasses_cache(x).alias("bypass"), rules.is_abusive(x).alias("abusive"))
+    return p.select("conv_id", "turn", F.array_join(rules.risk_flags(x, F.col("answer"), F.when(F.col("conv_id") % 9 == 0, "verify_answer"), F.when(F.col("conv_id") % 8 == 0, "low_confidence"), policy.is_mutable_fact(x)), ",").alias("flags"), rules.bypasses_cache(x).alias("bypass"), rules.is_abusive(x).alias("abusive"))
 
 
 @query(
@@ -320,13 +324,13 @@ def robots_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "entity_status",
-    f"""WITH n AS (SELECT item_id, lower(regexp_extract(text, '[A-Za-z]{{4,}}')) AS name FROM benchmark), p AS (SELECT item_id, lower(d.text) AS t FROM documents d JOIN n ON d.doc_id % 40 = n.item_id % 40 AND contains(lower(d.text), n.name)),
+    f"""WITH n AS (SELECT item_id, lower(regexp_extract(text, '[A-Za-z]{{4,}}')) AS name FROM benchmark), p AS (SELECT item_id, lower(d.text) AS t FROM documents d JOIN n ON contains(lower(d.text), n.name) AND n.name <> ''),
 g AS (SELECT item_id, 2 * count(*) FILTER ({like("t", evidence.INCUMBENT)}) AS i, 2 * count(*) FILTER ({like("t", evidence.FORMERLY)}) AS f, 2 * count(*) FILTER ({like("t", evidence.CANDIDATE)}) AS c FROM p GROUP BY 1),
-s AS (SELECT *, CASE WHEN i > f AND i > c THEN 'incumbent' WHEN c > i THEN 'candidate' WHEN f > i THEN 'former' ELSE 'unknown' END AS status FROM g)
+s AS (SELECT *, CASE WHEN i > f AND i > c THEN 'incumbent' WHEN c > i THEN 'candidate' WHEN f > i THEN 'former' ELSE 'unknown' END AS status FROM (SELECT item_id, coalesce(i, 0) AS i, coalesce(f, 0) AS f, coalesce(c, 0) AS c FROM benchmark LEFT JOIN g USING (item_id)))
 SELECT item_id, status, round(CASE status WHEN 'incumbent' THEN least(1.0, 0.6 + i * 0.1) WHEN 'candidate' THEN least(1.0, 0.6 + c * 0.1) WHEN 'former' THEN least(1.0, 0.6 + f * 0.1) ELSE 0.3 END, 2)::DOUBLE AS confidence FROM s""",
 )
 def entity_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first long word of each benchmark text as an entity, all documents as its snippets. The SQL above still reads a fortieth of them."""
+    """The first long word of each benchmark text as an entity, all documents as its snippets."""
     n = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", "([A-Za-z]{4,})", 1).alias("name"))
     return evidence.entity_status(n, table(spark, sf_dir, "documents"), "item_id")
 

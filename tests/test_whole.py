@@ -1,4 +1,4 @@
-"""Queries over whole tables, held against SQL without the cuts that their registered oracles have."""
+"""Queries over whole tables, held against plain versions."""
 
 from pyspark.sql import functions as F
 
@@ -8,23 +8,6 @@ from quarrylight.operators import evidence, rank
 from quarrylight.plans.common import QUERY, sources
 
 from .conftest import SF
-from .test_oracles import rows
-
-
-def same(spark, duck, name, sql):
-    df = catalog.QUERIES[name](spark, SF)
-    rel = duck.sql(sql)
-    assert sorted(rel.columns) == sorted(df.columns)
-    want = rows([dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()], rel.columns)
-    assert rows([r.asDict() for r in df.collect()], df.columns) == want
-
-
-def test_entity_status_reads_all_documents(spark, duck):
-    part = "d.doc_id % 40 = n.item_id % 40 AND "
-    sql = catalog.ORACLE["entity_status"]
-    assert part in sql
-    sql = sql.replace(part, "").replace("FROM g)", "FROM (SELECT item_id, coalesce(i, 0) AS i, coalesce(f, 0) AS f, coalesce(c, 0) AS c FROM benchmark LEFT JOIN g USING (item_id)))")
-    same(spark, duck, "entity_status", sql)
 
 
 def test_entity_status_cases(spark):
@@ -35,12 +18,6 @@ def test_entity_status_cases(spark):
     assert evidence.entity_status(names, texts.filter(F.lit(False)), "item_id").count() == 5
 
 
-def test_cosine_topk_batch_asks_every_twentieth(spark, duck):
-    sql = catalog.ORACLE["cosine_topk_batch"]
-    assert "a.vec_id < 8" in sql
-    same(spark, duck, "cosine_topk_batch", sql.replace("a.vec_id < 8", "a.vec_id % 20 = 0"))
-
-
 def test_cosine_topk_blocks(spark):
     """Blocks give what one block gives: ties by id, unequal lengths and empty vectors 0."""
     vs = [[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [], [1.0], [-1.0, 0.0], None] * 5
