@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,26 @@ def chunks(text: Column, size: int = 1400, overlap: int = 160, most: int | None
     return F.when(t == "", F.array().cast("array<string>")).otherwise(folded)
 
 
+def cut(text: str, size: int, overlap: int, most: int | None) -> list[str]:
+    """``chunks`` of one collapsed text, for a pass that goes over it once."""
+    out, at = [], 0
+    while at < len(text) and (most is None or len(out) < most):
+        stop = min(len(text), at + size)
+        if stop - at == size and (space := text.rfind(" ", at, stop)) - at > size * 0.55:
+            stop = space + 1
+        out.append(text[at:stop].strip(" "))
+        if stop >= len(text):
+            break
+        at = max(stop - overlap, at + 1)
+    return [c for c in out if c]
+
+
 def explode_chunks(df: DataFrame, text: str, size: int = 1400, overlap: int = 160, most: int | None = 24) -> DataFrame:
-    """One row per chunk: the input's columns, chunk_index, chunk."""
-    # the collapsed text is computed once per row, not once per step
-    base = df.withColumn("_t", collapse(F.col(text)))
-    return base.select("*", F.posexplode(chunks(F.col("_t"), size, overlap, most, collapsed=True)).alias("chunk_index", "chunk")).drop("_t")
+    """One row per chunk: the input's columns, chunk_index, chunk. Long texts are cut in one pass each, an Arrow batch at a time."""
+    size, overlap = max(300, min(2400, size)), max(0, min(400, overlap))
+
+    @F.pandas_udf("array<string>")
+    def pieces(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: cut(x, size, overlap, most))
+
+    return df.select("*", F.posexplode(pieces(collapse(F.col(text)))).alias("chunk_index", "chunk"))

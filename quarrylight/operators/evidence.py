@@ -66,11 +66,15 @@ def grounding(answers: DataFrame, sources: DataFrame, key: str = "answer_id", fa
     rows = sources.withColumn("_d", d).filter((F.col("_d") != "") | (trim(F.col("url")) != ""))
     auth = urls.is_trusted_domain(F.col("_d")) | F.coalesce(F.col("trusted"), F.lit(False)) | (s(F.col("kind")) == "official_source")
     agg = rows.groupBy(key).agg(F.countDistinct(F.nullif(F.col("_d"), F.lit(""))).alias("n"), F.count_if(auth).alias("a"))
-    j = answers.join(agg, key, "left").withColumns({"n": F.coalesce("n", F.lit(0)), "a": F.coalesce("a", F.lit(0))})
+    # of a text only three marks are needed, each found once; the text itself meets no other row
     t = trim(F.col("text"))
+    marks = F.struct((t == "").alias("empty"), *[F.regexp_count(F.lower(t), F.lit(p.removeprefix("(?i)"))).alias(n) for n, p in (("unsure", UNSURE), ("snippet", SNIPPET_TALK))])
     fact = F.lit(False) if fact is None else F.coalesce(fact, F.lit(False))
+    read = answers.select(key, F.explode(F.array(F.struct(marks.alias("m"), fact.alias("fact")))).alias("r"))
+    j = read.join(agg, key, "left").select(key, "r.fact", F.col("r.m").alias("m"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("a", F.lit(0)).alias("a"))
+    fact, empty = F.col("fact"), F.col("m.empty")
     flags = F.array_compact(
-        F.array(F.when(has(t, UNSURE), "model_uncertainty_declared"), F.when(has(t, SNIPPET_TALK), "snippet_meta_disclaimer"), F.when((F.col("n") == 0) & ~fact, "no_citations_attached"))
+        F.array(F.when(F.col("m.unsure") > 0, "model_uncertainty_declared"), F.when(F.col("m.snippet") > 0, "snippet_meta_disclaimer"), F.when((F.col("n") == 0) & ~fact, "no_citations_attached"))
     )
     base = (
         F.when(F.col("n") > 0, F.lit(0.5) + F.least(F.lit(0.3), F.col("n") * 0.1) + F.least(F.lit(0.2), F.col("a") * 0.1)).when(fact, F.lit(0.95)).otherwise(F.lit(0.4))
@@ -78,10 +82,10 @@ def grounding(answers: DataFrame, sources: DataFrame, key: str = "answer_id", fa
     k = F.size(flags)
     score = F.when(k > 0, F.greatest(F.lit(0.1), base - k * 0.15)).otherwise(base)
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.floor(score * 100 + 0.5) / 100))
-    score = F.when(t == "", F.lit(0.0)).otherwise(score)
-    flags = F.when(t == "", F.array(F.lit("empty_response"))).otherwise(flags)
+    score = F.when(empty, F.lit(0.0)).otherwise(score)
+    flags = F.when(empty, F.array(F.lit("empty_response"))).otherwise(flags)
     tier = F.when(score >= 0.85, "high").when(score >= 0.65, "moderate").when(score >= 0.4, "low").otherwise("unverified")
-    n = F.when(t == "", F.lit(0)).otherwise(F.col("n"))
+    n = F.when(empty, F.lit(0)).otherwise(F.col("n"))
     return j.select(key, n.alias("source_count"), F.col("a").alias("authoritative"), flags.alias("risk_flags"), score.alias("confidence"), tier.alias("tier"), ((score >= 0.65) & ((n > 0) | fact)).alias("verified"))
 
 
