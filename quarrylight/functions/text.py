@@ -135,14 +135,11 @@ STOP_INTENT = (
 ).split()
 
 
-def _words(xs: list[str]) -> Column:
-    return F.array(*[F.lit(x) for x in dict.fromkeys(xs)])
-
 
 def terms(x: Column, shape: str = "[a-z0-9]+", stop: list[str] | None = None) -> Column:
     """Distinct lower-case matches of ``shape`` in order of first sight, without stop words."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(s(x)), F.lit(f"({shape})"), 1))
-    return F.filter(found, lambda t: ~F.array_contains(_words(stop), t)) if stop else found
+    return F.filter(found, lambda t: ~t.isin(stop)) if stop else found
 
 
 def query_terms(x: Column) -> Column:
@@ -160,7 +157,7 @@ def fresh_terms(x: Column) -> Column:
 def spaced_terms(x: Column, stop: list[str], limit: int, distinct: bool = True) -> Column:
     """Runs of letters and digits of two characters or more, stop words out, the first ``limit``, then made distinct."""
     parts = F.split(F.regexp_replace(F.lower(s(x)), r"[^a-z0-9\s]", " "), r"\s+")
-    kept = F.slice(F.filter(parts, lambda t: (F.length(t) > 1) & ~F.array_contains(_words(stop), t)), 1, limit)
+    kept = F.slice(F.filter(parts, lambda t: (F.length(t) > 1) & ~t.isin(stop)), 1, limit)
     return F.array_distinct(kept) if distinct else kept
 
 
@@ -174,7 +171,7 @@ def topic_terms(x: Column) -> Column:
 
 def intent_tokens(x: Column) -> Column:
     found = F.regexp_extract_all(F.lower(s(x)), F.lit("([a-z0-9]{2,})"), 1)
-    return F.filter(found, lambda t: ~F.array_contains(_words(STOP_INTENT), t))
+    return F.filter(found, lambda t: ~t.isin(STOP_INTENT))
 
 
 def code_tokens(x: Column) -> Column:

@@ -1,35 +1,76 @@
-"""Keyed state in batch: each key's events are folded in time order by the same steps the streams use.
+"""Keyed state in batch: each key's events pass in time order through the same steps the streams use.
 
-A fold is sequential by nature: a key's events meet in one row. Keys are clients, users or API keys, whose
-events within a batch fit a task; longer histories belong to the streaming twins, which keep only the state.
+Events are dealt by key and sorted within their partition by key, time and id; one pass over a partition keeps the state of
+the key at hand and nothing else, so memory does not follow a key's events and time follows their number. A key's events
+are one sequence by nature, and so one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _folded(events: DataFrame, key: str, at: Column, extra: list[Column], zero: Column, step, out: str) -> DataFrame:
-    item = F.struct(F.unix_millis(at.cast("timestamp")).alias("t"), *extra)
-    rows = events.select(F.col(key), item.alias("e")).groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    return rows.select(key, F.explode(F.aggregate("es", zero, step, lambda a: a["rows"])).alias("r")).select(key, out)
+def rate_step(state: tuple[int, int], t: int, limit: int, window_ms: int) -> tuple[tuple[int, int], bool, int | None]:
+    """A window opens with its first hit and ends when its time is up: new state, allowed, seconds to wait."""
+    n, reset = state
+    n, reset = (1, t + window_ms) if reset <= t else (n + 1, reset)
+    return (n, reset), n <= limit, None if n <= limit else max(1, -(-(reset - t) // 1000))
+
+
+def breaker_step(state: tuple[str, int, int], t: int, outcome: str, failures: int, cooldown_ms: int) -> tuple[tuple[str, int, int], str]:
+    """New state, and the state as read at this time."""
+    name, n, last = state
+    seen = "HALF_OPEN" if name == "OPEN" and t - last > cooldown_ms else name
+    if outcome == "ok":
+        return ("CLOSED", 0, last), seen
+    if outcome in ("failure", "severe"):
+        n += 1
+        return ("OPEN" if n >= failures or outcome == "severe" else seen, n, t), seen
+    return (seen, n, last), seen
+
+
+def ttl_step(until: int, t: int, ttl_ms: int) -> tuple[int, bool]:
+    """A miss stores the key until its time is up; a hit does not lengthen it."""
+    hit = until > t
+    return (until if hit else t + ttl_ms), hit
+
+
+def _sequenced(events: DataFrame, key: str, at: Column, order: Column, start: Callable, step: Callable, columns: str, extra: Column | None = None) -> DataFrame:
+    """key and ``columns`` of each event; ``step(state, t, id, extra)`` gives the new state and the row."""
+    kind = dict(events.select(key).dtypes)[key]
+    rows = events.select(F.col(key).alias("k"), F.unix_millis(at.cast("timestamp")).alias("t"), order.cast("long").alias("id"), (extra if extra is not None else F.lit(None)).cast("string").alias("x"))
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, of = None, object()
+        for pdf in batches:
+            out = []
+            keys = pdf["k"].tolist()
+            for k, t, i, x in zip(keys, pdf["t"].tolist(), pdf["id"].tolist(), pdf["x"].tolist(), strict=True):
+                if k != of and not (k is None and of is None):
+                    state, of = start(), k
+                state, row = step(state, t, i, x)
+                out.append(row)
+            made = pd.DataFrame(out, columns=names)
+            made.insert(0, key, pdf["k"])
+            yield made.astype({"retry_after_s": "Int64"}) if "retry_after_s" in names else made
+
+    return rows.repartition(n, "k").sortWithinPartitions("k", "t", "id").mapInPandas(run, f"`{key}` {kind}, {columns}")
 
 
 def rate_limit(events: DataFrame, key: str, at: Column, order: Column, limit: int, window_ms: int) -> DataFrame:
-    """key, id, allowed, retry_after_s: a window opens with its first hit and ends when its time is up."""
-    schema = "array<struct<id: bigint, allowed: boolean, retry_after_s: bigint>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-1).cast("bigint").alias("reset"), F.array().cast(schema).alias("rows"))
+    """key, id, allowed, retry_after_s."""
 
-    def step(acc: Column, e: Column) -> Column:
-        fresh = acc["reset"] <= e["t"]
-        n = F.when(fresh, F.lit(1).cast("bigint")).otherwise(acc["n"] + 1)
-        reset = F.when(fresh, e["t"] + window_ms).otherwise(acc["reset"])
-        wait = F.greatest(F.lit(1).cast("bigint"), F.ceil((reset - e["t"]) / 1000))
-        row = F.struct(e["id"].alias("id"), (n <= limit).alias("allowed"), F.when(n > limit, wait).cast("bigint").alias("retry_after_s"))
-        return F.struct(n.alias("n"), reset.alias("reset"), F.array_append(acc["rows"], row).alias("rows"))
+    def step(state: tuple[int, int], t: int, i: int, _: None) -> tuple:
+        state, ok, wait = rate_step(state, t, limit, window_ms)
+        return state, (i, ok, wait)
 
-    return _folded(events, key, at, [order.cast("bigint").alias("id")], zero, step, "r.*")
+    return _sequenced(events, key, at, order, lambda: (0, -1), step, "id bigint, allowed boolean, retry_after_s bigint")
 
 
 def circuit_breaker(events: DataFrame, key: str, at: Column, order: Column, outcome: Column, failures: int = 2, cooldown_ms: int = 30_000) -> DataFrame:
@@ -38,60 +79,45 @@ def circuit_breaker(events: DataFrame, key: str, at: Column, order: Column, outc
     ``outcome``: 'ok', 'failure', 'severe', anything else only reads. An open breaker read after the
     cooldown is half open; a success closes it and clears the count; one severe or ``failures`` failures open it.
     """
-    schema = "array<struct<id: bigint, before: string, after: string>>"
-    zero = F.struct(F.lit("CLOSED").alias("state"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("last"), F.array().cast(schema).alias("rows"))
 
-    def step(acc: Column, e: Column) -> Column:
-        before = F.when((acc["state"] == "OPEN") & (e["t"] - acc["last"] > cooldown_ms), F.lit("HALF_OPEN")).otherwise(acc["state"])
-        bad = e["o"].isin("failure", "severe")
-        n = F.when(e["o"] == "ok", F.lit(0).cast("bigint")).when(bad, acc["n"] + 1).otherwise(acc["n"])
-        after = F.when(e["o"] == "ok", F.lit("CLOSED")).when(bad & ((n >= failures) | (e["o"] == "severe")), F.lit("OPEN")).otherwise(before)
-        row = F.struct(e["id"].alias("id"), before.alias("before"), after.alias("after"))
-        return F.struct(after.alias("state"), n.alias("n"), F.when(bad, e["t"]).otherwise(acc["last"]).alias("last"), F.array_append(acc["rows"], row).alias("rows"))
+    def step(state: tuple[str, int, int], t: int, i: int, o: str) -> tuple:
+        state, seen = breaker_step(state, t, o, failures, cooldown_ms)
+        return state, (i, seen, state[0])
 
-    return _folded(events, key, at, [order.cast("bigint").alias("id"), outcome.alias("o")], zero, step, "r.*")
+    return _sequenced(events, key, at, order, lambda: ("CLOSED", 0, 0), step, "id bigint, before string, after string", outcome)
 
 
 def ttl_cache(requests: DataFrame, key: str, at: Column, order: Column, ttl_ms: int) -> DataFrame:
-    """key, id, hit: a miss stores the key until its time is up; a hit does not lengthen it."""
-    schema = "array<struct<id: bigint, hit: boolean>>"
-    zero = F.struct(F.lit(-1).cast("bigint").alias("until"), F.array().cast(schema).alias("rows"))
+    """key, id, hit."""
 
-    def step(acc: Column, e: Column) -> Column:
-        hit = acc["until"] > e["t"]
-        return F.struct(F.when(hit, acc["until"]).otherwise(e["t"] + ttl_ms).alias("until"), F.array_append(acc["rows"], F.struct(e["id"].alias("id"), hit.alias("hit"))).alias("rows"))
+    def step(until: int, t: int, i: int, _: None) -> tuple:
+        until, hit = ttl_step(until, t, ttl_ms)
+        return until, (i, hit)
 
-    return _folded(requests, key, at, [order.cast("bigint").alias("id")], zero, step, "r.*")
+    return _sequenced(requests, key, at, order, lambda: -1, step, "id bigint, hit boolean")
 
 
 def lru_cache(requests: DataFrame, cache: str, key: str, at: Column, order: Column, size: int = 500, ttl_ms: int = 900_000) -> DataFrame:
-    """cache, id, hit: least-recently-used with an age limit; one cache is one sequence and so one task.
+    """cache, id, hit: least-recently-used with an age limit; one cache is one sequence of requests.
 
     A hit renews the place, not the age. A set at capacity evicts the oldest place even for a known key,
-    and setting a known key keeps its place.
+    and setting a known key keeps its place. At most ``size`` keys are held.
     """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, int] = {}
-        hits = []
-        for t, k in pdf.sort_values(["t", "id"])[["t", "k"]].itertuples(index=False):
-            born = held.get(k)
-            if born is not None and t - born > ttl_ms:
-                del held[k]
-                born = None
-            hits.append(born is not None)
-            if born is not None:
-                held[k] = held.pop(k)
-            else:
-                if len(held) >= size:
-                    held.pop(next(iter(held)))
-                held[k] = t
-        out = pdf.sort_values(["t", "id"])[["c", "id"]]
-        return pd.DataFrame({cache: out["c"], "id": out["id"], "hit": hits})
-
-    rows = requests.select(F.col(cache).cast("string").alias("c"), F.unix_millis(at.cast("timestamp")).alias("t"), order.cast("long").alias("id"), F.col(key).cast("string").alias("k"))
-    return rows.groupBy("c").applyInPandas(fold, f"{cache} string, id long, hit boolean")
+
+    def step(held: dict[str, int], t: int, i: int, k: str) -> tuple:
+        born = held.get(k)
+        if born is not None and t - born > ttl_ms:
+            del held[k]
+            born = None
+        if born is not None:
+            held[k] = held.pop(k)
+        else:
+            if len(held) >= size:
+                held.pop(next(iter(held)))
+            held[k] = t
+        return held, (i, born is not None)
+
+    return _sequenced(requests.withColumn(cache, F.col(cache).cast("string")), cache, at, order, dict, step, "id bigint, hit boolean", F.col(key))
 
 
 def spans(events: DataFrame, key: str, start: Column, end: Column, at: Column) -> DataFrame:

@@ -14,23 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def rate_step(state: tuple[int, int], t: int, limit: int, window_ms: int) -> tuple[tuple[int, int], bool, int | None]:
-    n, reset = state
-    n, reset = (1, t + window_ms) if reset <= t else (n + 1, reset)
-    return (n, reset), n <= limit, None if n <= limit else max(1, -(-(reset - t) // 1000))
-
-
-def breaker_step(state: tuple[str, int, int], t: int, outcome: str, failures: int, cooldown_ms: int) -> tuple[tuple[str, int, int], str]:
-    """New state, and the state as read at this time."""
-    name, n, last = state
-    seen = "HALF_OPEN" if name == "OPEN" and t - last > cooldown_ms else name
-    if outcome == "ok":
-        return ("CLOSED", 0, last), seen
-    if outcome in ("failure", "severe"):
-        n += 1
-        return ("OPEN" if n >= failures or outcome == "severe" else seen, n, t), seen
-    return (seen, n, last), seen
+from ..operators.state import breaker_step, rate_step, ttl_step
 
 
 def _in_order(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -78,8 +62,7 @@ def ttl_cache(requests: DataFrame, key: str, ttl_ms: int) -> DataFrame:
         until = state.get[0] if state.exists else -1
         out = []
         for t, i in _in_order(pdfs)[["t", "id"]].itertuples(index=False):
-            hit = until > t
-            until = until if hit else int(t) + ttl_ms
+            until, hit = ttl_step(until, int(t), ttl_ms)
             out.append((k[0], i, bool(hit)))
         state.update((until,))
         yield pd.DataFrame(out, columns=["key", "id", "hit"])
