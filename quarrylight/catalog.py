@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import dialogues, policies, search, texts, turns
+from .plans import dialogues, policies, search, texts, turns, values
 
-_MODULES = [texts, turns, dialogues, search, policies]
+_MODULES = [texts, turns, dialogues, search, policies, values]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}

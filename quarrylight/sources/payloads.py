@@ -16,15 +16,26 @@ SHAPES: dict[str, tuple[str, str, str, str, str, str, str, str]] = {
     "wikidata": ("search array<struct<id: string, label: string, description: string>>", "search", "r.label", "concat('https://www.wikidata.org/wiki/', r.id)", "r.description", "''", "structured_reference", "Wikidata"),
     "reddit": ("data struct<children: array<struct<data: struct<title: string, permalink: string, selftext: string>>>>", "data.children", "r.data.title", "concat('https://www.reddit.com', r.data.permalink)", "r.data.selftext", "''", "community_discussion", "Reddit"),
     "serper": ("organic array<struct<title: string, link: string, snippet: string, date: string>>", "organic", "r.title", "r.link", "r.snippet", "r.date", "public_news", "Search"),
+    "serper_news": ("news array<struct<title: string, link: string, snippet: string, date: string>>", "news", "r.title", "r.link", "r.snippet", "r.date", "trusted_news", "Search news"),
     "exa": ("results array<struct<title: string, url: string, text: string, publishedDate: string>>", "results", "r.title", "r.url", "r.text", "r.publishedDate", "exa_search", "Exa"),
     "searxng": ("results array<struct<title: string, url: string, content: string, engine: string>>", "results", "r.title", "r.url", "r.content", "''", "free_web", "SearXNG"),
+    # landed answers of public services; a path of '' is the answer itself as one row
+    "weather": ("place struct<name: string, admin1: string, country: string>, current struct<temperature_2m: double, apparent_temperature: double, relative_humidity_2m: double, wind_speed_10m: double>, current_units struct<temperature_2m: string, apparent_temperature: string, relative_humidity_2m: string, wind_speed_10m: string>", "", "concat('Current weather for ', concat_ws(', ', nullif(r.place.name, ''), nullif(r.place.admin1, ''), nullif(r.place.country, '')))", "'https://open-meteo.com/'", "concat_ws(' | ', concat('Temperature: ', r.current.temperature_2m, coalesce(r.current_units.temperature_2m, 'C')), concat('Feels like: ', r.current.apparent_temperature, coalesce(r.current_units.apparent_temperature, 'C')), concat('Humidity: ', r.current.relative_humidity_2m, coalesce(r.current_units.relative_humidity_2m, '%')), concat('Wind: ', r.current.wind_speed_10m, ' ', coalesce(r.current_units.wind_speed_10m, 'km/h')))", "''", "free_weather", "Open-Meteo"),
+    "crypto": ("id string, usd double, inr double, usd_24h_change double", "", "concat(initcap(r.id), ' public price')", "'https://www.coingecko.com/'", "concat_ws(' | ', concat('USD ', r.usd), concat('INR ', r.inr), concat('24h USD change ', format_number(r.usd_24h_change, '0.00'), '%'))", "''", "free_crypto_price", "CoinGecko"),
+    "disasters": ("events array<struct<title: string, categories: array<struct<title: string>>, sources: array<struct<url: string>>, geometry: array<struct<date: string>>>>", "events", "coalesce(nullif(r.title, ''), 'Natural event')", "coalesce(get(r.sources, 0).url, 'https://eonet.gsfc.nasa.gov/')", "array_join(transform(r.categories, c -> c.title), ', ')", "get(r.geometry, 0).date", "free_disaster_event", "NASA EONET"),
+    "sports": ("teams array<struct<strTeam: string, strAlternate: string, strLeague: string, strDescriptionEN: string, strWebsite: string>>", "teams", "coalesce(nullif(r.strTeam, ''), nullif(r.strAlternate, ''), 'Sports team')", "coalesce(concat('https://', regexp_replace(nullif(r.strWebsite, ''), '^https?://', '')), 'https://www.thesportsdb.com/')", "coalesce(nullif(r.strDescriptionEN, ''), nullif(r.strLeague, ''))", "''", "free_sports_reference", "TheSportsDB"),
+    "places": ("places array<struct<name: string, display_name: string, osm_id: bigint>>", "places", "coalesce(nullif(r.name, ''), r.display_name)", "concat('https://www.openstreetmap.org/node/', r.osm_id)", "r.display_name", "''", "free_place_data", "OpenStreetMap"),
+    "summary": ("title string, extract string, content_urls struct<desktop: struct<page: string>>", "", "r.title", "coalesce(nullif(r.content_urls.desktop.page, ''), concat('https://en.wikipedia.org/wiki/', replace(r.title, ' ', '_')))", "r.extract", "''", "encyclopedia", "Wikipedia"),
+    "instant": ("Heading string, AbstractText string, AbstractURL string", "", "r.Heading", "r.AbstractURL", "r.AbstractText", "''", "free_reference", "DuckDuckGo"),
+    "extract": ("result struct<title: string, markdown: string, text: string, url: string, description: string, metadata: struct<title: string, description: string>>", "", "coalesce(nullif(r.result.title, ''), nullif(r.result.metadata.title, ''), r.result.url)", "r.result.url", "coalesce(nullif(r.result.description, ''), nullif(r.result.metadata.description, ''), regexp_replace(coalesce(nullif(r.result.text, ''), r.result.markdown), '[#*_`>~]+', ' '))", "''", "page_extract", "Page extraction"),
 }
 
 
 def normalise(payloads: DataFrame, provider: str, text: str = "payload") -> DataFrame:
     """query, position, title, url, domain, description, date, kind, label, trusted for one provider's payloads (columns query and payload)."""
     schema, path, title, url, description, date, kind, label = SHAPES[provider]
-    rows = payloads.select("query", F.from_json(F.col(text), schema).alias("j")).select("query", F.posexplode(F.col(f"j.{path}")).alias("at", "r"))
+    read = payloads.select("query", F.from_json(F.col(text), schema).alias("j"))
+    rows = read.select("query", F.posexplode(F.col(f"j.{path}") if path else F.array("j")).alias("at", "r"))
     u = urls.candidate(F.expr(url))
     out = rows.select(
         "query", (F.col("at") + 1).alias("position"), collapse(F.expr(title)).alias("title"), u.alias("url"), urls.host(u).alias("domain"),
