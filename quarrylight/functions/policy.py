@@ -465,3 +465,80 @@ def encyclopedia_row(title: Column, url: Column, extract: Column) -> Column:
     made = F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.url_encode(F.regexp_replace(trim(title), r"\s+", "_")))
     link = F.when(trim(url) != "", trim(url)).when(trim(title) != "", made).otherwise("")
     return F.struct(trim(title).alias("title"), link.alias("url"), trim(strip_tags(extract)).alias("description"), urls.host(link).alias("domain"))
+
+
+def live_policy(message: Column, answer: Column, n_sources: Column, strategy: Column, attempted: Column) -> Column:
+    """What becomes of an answer once sources are there: keep it, live_update (rewrite from sources), or unavailable (say that none was found)."""
+    from .answers import asks_for_sources
+
+    asks_user, none = asks_for_sources(answer), n_sources <= 0
+    rules = [
+        (is_stable_fact(message), F.lit("keep")),
+        ((strategy == "direct") & ~attempted & none, F.lit("keep")),
+        (asks_user & ~none, F.lit("live_update")),
+        (asks_user & (attempted | (strategy == "live_first")), F.lit("unavailable")),
+        (asks_user | ~is_time_sensitive(message), F.lit("keep")),
+        (~none, F.lit("live_update")),
+        (attempted & (trim(answer) == ""), F.lit("unavailable")),
+    ]
+    return first_of(rules, F.lit("keep"))
+
+
+SORRY = "I could not generate a response this time. Please try again."  # fixed value
+
+
+def model_reply(x: Column) -> Column:
+    """struct(intent, response, thought) of a model's text: plain words, an object with an answer, or a query to lay out."""
+    from .text import think_parts
+
+    def read(r: Column) -> Column:
+        said = F.when(r["p"]["response"] != "", r["p"]["response"]).otherwise(r["p"]["thought"])
+        fenced = F.regexp_extract(said, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1)
+        body = F.when(fenced != "", fenced).otherwise(said)
+        get = lambda path: F.get_json_object(body, f"$.{path}")
+        listed = lambda path: F.from_json(F.coalesce(get(path), F.lit("[]")), "array<string>")
+        whole = body.rlike(r"(?s)^\s*\{.*\}\s*$") & F.try_parse_json(body).isNotNull()
+        is_query = (s(get("query")) != "") & (get("query_type").isNotNull() | get("tables_used").isNotNull() | get("validation_status").isNotNull())
+        valid = s(get("validation_status.is_valid")) != "false"
+        notes = F.array_join(F.transform(listed("execution_notes"), lambda n: F.concat(F.lit("- "), n)), "\n")
+        layout = F.array_join(
+            F.array_compact(
+                F.array(
+                    F.concat(F.lit("```sql\n"), F.trim(get("query")), F.lit("\n```")),
+                    F.concat(F.lit("**Query Type:** "), F.upper(F.coalesce(get("query_type"), F.lit("SELECT")))),
+                    F.concat(F.lit("**Tables Used:** "), F.when(F.size(listed("tables_used")) > 0, F.array_join(listed("tables_used"), ", ")).otherwise("N/A")),
+                    F.concat(F.lit("**Estimated Complexity:** "), F.coalesce(get("estimated_complexity"), F.lit("Normal"))),
+                    F.when(valid, "**Syntax Validation:** Passed").otherwise(F.concat(F.lit("**Syntax Errors:** "), F.array_join(F.filter(listed("validation_status.syntax_errors"), lambda e: e != ""), ", "))),
+                    F.when(notes != "", F.concat(F.lit("\n**Execution Notes:**\n"), notes)),
+                )
+            ),
+            "\n",
+        )
+        told = F.coalesce(F.nullif(trim(get("response")), F.lit("")), F.nullif(trim(get("text")), F.lit("")), F.lit(SORRY))
+        kind = F.coalesce(F.nullif(trim(get("intent")), F.lit("")), F.lit("casual_chat"))
+        out = lambda a, b: F.struct(a.alias("intent"), b.alias("response"), r["p"]["thought"].alias("thought"))
+        return (
+            F.when(said == "", out(F.lit("service_unavailable"), F.lit(SORRY)))
+            .when(~F.coalesce(whole, F.lit(False)), out(F.lit("casual_chat"), body))
+            .when(is_query, out(F.lit("sql_generation"), layout))
+            .otherwise(out(kind, told))
+        )
+
+    return let({"p": think_parts(x)}, read)
+
+
+def overlay_items(items: Column) -> Column:
+    """Marks on a page (structs with label, x, y, width, height) that have a label and a box, at most 24, labels of at most 180 characters."""
+    from .answers import overlay_box
+
+    def one(x: Column) -> Column:
+        return F.struct(F.substring(collapse(x["label"]), 1, 180).alias("label"), overlay_box({k: x[k] for k in ("x", "y", "width", "height")}).alias("box"))
+
+    return F.slice(F.filter(F.transform(items, one), lambda x: (x["label"] != "") & x["box"].isNotNull()), 1, 24)
+
+
+def merged_pdf_text(layer: Column, server: Column, seen: Column) -> Column:
+    """The texts of a PDF's own layer, the server's reading and the pictures' reading as one, near-duplicates left out."""
+    from ..operators.rank import dedupe_sections
+
+    return F.array_join(dedupe_sections(F.array(s(layer), s(server), s(seen))), "\n\n")

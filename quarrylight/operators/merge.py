@@ -122,3 +122,13 @@ def retract(turns: DataFrame, discards: DataFrame, key: str = "conv_id") -> Data
 def recorded(turns: DataFrame, status: str = "status") -> DataFrame:
     """Turns that a conversation keeps: none that were aborted, failed, or only steered it."""
     return turns.filter(~F.lower(s(F.col(status))).isin("aborted", "error", "control"))
+
+
+def or_refreshed(found: DataFrame, again: DataFrame, by: str) -> DataFrame:
+    """What a search found; for groups without any, what it finds after a refresh."""
+    return found.unionByName(again.join(found.select(by).distinct(), by, "left_anti"))
+
+
+def claim_order(current: bool, start: str = "start", end: str = "end") -> list[Column]:
+    """Claims of an office in order: for the current holder open ends first, then the latest start; in a window the earliest start."""
+    return [F.col(end).isNotNull(), F.desc(start)] if current else [F.asc(start)]

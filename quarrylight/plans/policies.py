@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import answers, rules, urls
 from ..functions import policy as P
-from ..functions import rules, urls
 from ..operators import merge, requests, state
 from .common import HOST, SOURCES, Query, events, like, lit, sources, table
 from .turns import _CITABLE, _STRONG, _judged
@@ -324,3 +324,18 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = urls.host(F.col("url"))
     label = F.coalesce(F.nullif(F.trim("source"), F.lit("")), F.nullif(host, F.lit("")), F.lit("Latest cache"))
     return p.select("page_id", F.trim("title").alias("title"), urls.normalize(F.col("url")).alias("url"), host.alias("domain"), label.alias("label"), F.when(F.col("published") != "", "cached_recent").otherwise("cached").alias("freshness"))
+
+
+_PLEASE = "Please share the sources you want me to check"
+_ANSWERED = f"CASE id % 3 WHEN 0 THEN {lit(_PLEASE)} WHEN 1 THEN '' ELSE 'So it is.' END"
+
+
+@query(
+    "live_policies",
+    f"""WITH {_ASKS}, a AS (SELECT *, {_ANSWERED} AS answer, id % 2 AS n, CASE WHEN id % 5 = 0 THEN 'live_first' ELSE 'direct' END AS strategy, id % 7 < 3 AS tried FROM lowered), b AS (SELECT *, ({_any("lower(answer)", answers.ASKS_SOURCES)} AND NOT {like("lower(answer)", answers.PORTFOLIO)}) AS sent FROM a)
+SELECT id, CASE WHEN {_STABLE} THEN 'keep' WHEN strategy = 'direct' AND NOT tried AND n = 0 THEN 'keep' WHEN sent AND n > 0 THEN 'live_update' WHEN sent AND (tried OR strategy = 'live_first') THEN 'unavailable' WHEN sent OR NOT {like("low", P.TIME_SENSITIVE)} THEN 'keep' WHEN n > 0 THEN 'live_update' WHEN tried AND answer = '' THEN 'unavailable' ELSE 'keep' END AS policy FROM b""",
+)
+def live_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("id")
+    answer = F.when(k % 3 == 0, _PLEASE).when(k % 3 == 1, "").otherwise("So it is.")
+    return asks(spark, sf_dir).select("id", P.live_policy(F.col("t"), answer, k % 2, F.when(k % 5 == 0, "live_first").otherwise("direct"), k % 7 < 3).alias("policy"))

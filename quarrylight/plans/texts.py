@@ -155,7 +155,13 @@ def exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.keep_first(docs, F.col("fingerprint"), "doc_id")
 
 
-@query("near_duplicate_sections")
+@query(
+    "near_duplicate_sections",
+    r"""WITH RECURSIVE c AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents),
+m AS (SELECT doc_id, n, list_transform(parts, lambda x: substring(trim(regexp_replace(x, '\s+', ' ', 'g')), 1, 1200)) AS p FROM c),
+w AS (SELECT doc_id, 0 AS i, []::VARCHAR[] AS kept FROM m UNION ALL SELECT w.doc_id, i + 1, CASE WHEN len(list_filter(kept, lambda y: p[i + 1] <> '' AND y <> '' AND (y = p[i + 1] OR contains(y, substring(p[i + 1], 1, 300)) OR contains(p[i + 1], substring(y, 1, 300))))) > 0 THEN kept ELSE list_append(kept, p[i + 1]) END FROM w JOIN m USING (doc_id) WHERE i < len(p))
+SELECT m.doc_id, CAST(n AS INT) AS n_sections, CAST(len(kept) AS INT) AS n_kept FROM w JOIN m USING (doc_id) WHERE i = len(p)""",
+)
 def near_duplicate_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections (lines) of each document, keep-first without near-duplicates: a greedy fold per document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("parts"))

@@ -9,8 +9,11 @@ from ..functions import answers, dates, dialogue, policy, queries, rules, urls
 from ..functions import text as T
 from ..operators import joins, merge, rank, state
 from ..sources import feeds, payloads, scan
+from . import turns
 from .common import SOURCES, Query, lit, sources, table
+from .texts import _READ as READ_SQL
 
+ROBOTS_SQL = turns.ORACLE["robots_longest_prefix"]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
@@ -410,3 +413,62 @@ def ranked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     K, _ = keys()
     items = orders(spark, sf_dir).select("o_custkey", "o_orderkey", cat(F.lit("k"), K).alias("key"), F.lit(" ").alias("text"), cat(F.lit("Tea  "), F.col("o_orderpriority")).alias("title"))
     return rank.rank_items(items, "o_custkey", "o_orderkey", 5)
+
+
+_REPLIES = [
+    '<think>so</think> {"intent":"greet","response":" Hi %s "}', "Just words %s", '```json\n{"query":" SELECT %s ","query_type":"select","tables_used":["a","b"],"execution_notes":["fast"]}\n```', "", '{"text":"other %s"}',
+    '{"query":"SELEC %s","validation_status":{"is_valid":false,"syntax_errors":["typo",""]}}',
+]
+_READ_AS = [
+    ("greet", "Hi %s"), ("casual_chat", "Just words %s"), ("sql_generation", "```sql\nSELECT %s\n```\n**Query Type:** SELECT\n**Tables Used:** a, b\n**Estimated Complexity:** Normal\n**Syntax Validation:** Passed\n\n**Execution Notes:**\n- fast"),
+    ("service_unavailable", policy.SORRY), ("casual_chat", "other %s"), ("sql_generation", "```sql\nSELEC %s\n```\n**Query Type:** SELECT\n**Tables Used:** N/A\n**Estimated Complexity:** Normal\n**Syntax Errors:** typo"),
+]
+
+
+@query(
+    "model_replies",
+    f"SELECT o_orderkey, {pick([a for a, _ in _READ_AS])} AS intent, replace({pick([b for _, b in _READ_AS])}, '%s', o_custkey::VARCHAR) AS response, CASE WHEN o_orderkey % 6 = 0 THEN 'so' ELSE '' END AS thought, 'a ' || o_custkey || ' cat' AS seen, o_orderkey % 4 IN (0, 1) AS card, CASE WHEN o_orderkey % 2 = 0 THEN 'page ' || o_custkey ELSE 'page ' || o_custkey || chr(10) || chr(10) || 'picture' END AS pdf, CAST(1 AS INT) AS marks FROM orders",
+)
+def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    K, C = keys()
+    reply = policy.model_reply(F.replace(of(_REPLIES), F.lit("%s"), C.cast("string")))
+    seen = policy.vision_text(cat(F.lit('```json\n{"summary": "a '), C, F.lit(' cat", "confidence": 0.9, "objects": [1, 2]}\n```')))
+    card = policy.shows_failure_card(of(["network timeout", "no usable results", "odd", "camera denied"]), of(["weather in Goa", "price of tea", "weather", "hello there"]))
+    pdf = policy.merged_pdf_text(cat(F.lit("page "), C), cat(F.lit(" page "), C, F.lit(" ")), F.when(K % 2 == 0, " ").otherwise("picture"))
+    mark = lambda label, w: F.struct(F.lit(label).alias("label"), F.lit(10.0).alias("x"), F.lit(10.0).alias("y"), F.lit(w).alias("width"), F.lit(5.0).alias("height"))
+    marks = policy.overlay_items(F.array(mark(" total ", 20.0), mark("", 20.0), mark("none", 0.0)))
+    return orders(spark, sf_dir).select("o_orderkey", reply["intent"].alias("intent"), reply["response"].alias("response"), reply["thought"].alias("thought"), seen.alias("seen"), card.alias("card"), pdf.alias("pdf"), F.size(marks).alias("marks"))
+
+
+@query(
+    "current_claims",
+    """WITH c AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS s, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE 1 END AS e FROM orders)
+SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY e IS NOT NULL, s DESC, o_orderkey) AS INT) AS current, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY s, o_orderkey) AS INT) AS listed FROM c""",
+)
+def current_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    c = orders(spark, sf_dir).withColumns({"start": F.col("o_orderdate").cast("date"), "end": F.when(F.col("o_orderstatus") != "O", 1)})
+    at = lambda now: F.row_number().over(Window.partitionBy("o_custkey").orderBy(*merge.claim_order(now), "o_orderkey"))
+    return c.select("o_custkey", "o_orderkey", at(True).alias("current"), at(False).alias("listed"))
+
+
+@query(
+    "refreshed_search",
+    "WITH h AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_totalprice > 250000), a AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_totalprice > 100000) SELECT * FROM h UNION ALL SELECT * FROM a WHERE o_custkey NOT IN (SELECT o_custkey FROM h)",
+)
+def refreshed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = orders(spark, sf_dir)
+    found, again = (o.filter(F.col("o_totalprice") > n).select("o_custkey", "o_orderkey") for n in (250_000, 100_000))
+    return merge.or_refreshed(found, again, "o_custkey")
+
+
+@query(
+    "readable_results",
+    f"""WITH allowed AS ({ROBOTS_SQL}), r AS (SELECT page_id, {READ_SQL} AS t FROM pages) SELECT page_id, CAST(length(substring(t, 1, 12000)) AS INT) AS n_chars FROM r JOIN allowed USING (page_id) WHERE allowed AND length(t) >= 120""",
+)
+def readable_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search results whose site lets robots in and whose page holds a readable text of 120 characters or more."""
+    pages = table(spark, sf_dir, "pages").select("page_id", T.readable_text(F.col("html")).alias("t"))
+    allowed = turns.robots_longest_prefix(spark, sf_dir).filter("allowed").select("page_id")
+    return pages.join(allowed, "page_id").filter(F.length("t") >= 120).select("page_id", F.length("t").alias("n_chars"))
