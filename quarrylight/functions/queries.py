@@ -40,11 +40,14 @@ NOT_A_NAME = r"(?i)\b(?:chief|minister|president|governor|mayor|office|governmen
 
 def subject(x: Column) -> Column:
     """What a search is about: the place of an office, else the words that are neither fresh nor small."""
+
+    def build(r: Column) -> Column:
+        rest = collapse(without(without(without(r["q"], TOPIC_WORDS, " "), YEAR_PHRASE, " "), SMALL_WORDS, " "))
+        rest = F.trim(F.regexp_replace(F.regexp_replace(rest, r"\s*\(\s*", " "), r"\s*\)\s*", ""))
+        return query_target(F.when(r["office"] != "", r["office"]).otherwise(rest))
+
     q = search_query(x)
-    office = group(q, OFFICE_OF)
-    rest = collapse(without(without(without(q, TOPIC_WORDS, " "), YEAR_PHRASE, " "), SMALL_WORDS, " "))
-    rest = F.trim(F.regexp_replace(F.regexp_replace(rest, r"\s*\(\s*", " "), r"\s*\)\s*", ""))
-    return F.when(office != "", query_target(office)).otherwise(query_target(rest))
+    return let({"q": q, "office": group(q, OFFICE_OF)}, build)
 
 
 def intent_term(x: Column) -> Column:
@@ -58,9 +61,14 @@ def is_dated_fact(x: Column) -> Column:
     return dates.date_window(t).isNotNull() & has(t, CHANGING)
 
 
-def is_current_topic(x: Column) -> Column:
-    words = F.filter(F.split(subject(x), r"\s+"), lambda w: w != "")
-    return (has(F.lower(s(x)), FRESH_OR_REVIEW) | is_dated_fact(x)) & (F.size(words) >= 2)
+def _two_words(subject: Column) -> Column:
+    """A subject is trimmed, so white space within it parts two words."""
+    return has(subject, r"\S\s+\S")
+
+
+def is_current_topic(x: Column, about: Column | None = None) -> Column:
+    """``about`` is the subject of ``x``, for callers that have it."""
+    return (has(F.lower(s(x)), FRESH_OR_REVIEW) | is_dated_fact(x)) & _two_words(subject(x) if about is None else about)
 
 
 def rewrite(x: Column) -> Column:
@@ -71,11 +79,13 @@ def rewrite(x: Column) -> Column:
 
     def build(r: Column) -> Column:
         t = r["target"]
-        fresh = is_current_topic(t) | is_dated_fact(t) | has(t, FRESH_WORD)
-        return F.struct(r["raw"].alias("query"), subject(t).alias("subject"), intent_term(t).alias("intent"), fresh.alias("fresh"))
+        # a dated fact is fresh whatever its subject, so only review words ask for two words of subject
+        fresh = lambda about: has(t, FRESH_WORD) | (has(F.lower(t), FRESH_OR_REVIEW) & _two_words(about)) | is_dated_fact(t)
+        told = lambda about: F.struct(r["raw"].alias("query"), about.alias("subject"), intent_term(t).alias("intent"), fresh(about).alias("fresh"))
+        return let({"about": subject(t)}, lambda a: told(a["about"]))
 
     empty = F.struct(F.lit("").alias("query"), F.lit("").alias("subject"), F.lit("general").alias("intent"), F.lit(False).alias("fresh"))
-    return F.when(q == "", empty).otherwise(let({"raw": raw, "target": query_target(raw)}, build))
+    return F.when(q == "", empty).otherwise(let({"raw": raw}, lambda r: let({"raw": r["raw"], "target": query_target(r["raw"])}, build)))
 
 
 def related(query: Column, title: Column, description: Column, label: Column, kind: Column, date: Column) -> Column:
@@ -94,18 +104,24 @@ def related(query: Column, title: Column, description: Column, label: Column, ki
 
 def review_queries(x: Column) -> Column:
     """Three phrasings for a current topic; none for anything else."""
-    who, what = subject(x), intent_term(x)
-    forms = F.array(*[search_query(F.concat(who, F.lit(w), what)) for w in (" ", " recent ", " latest ")])
-    return F.when(is_current_topic(x) & (who != ""), F.array_distinct(forms)).otherwise(F.array().cast("array<string>"))
+
+    def build(r: Column) -> Column:
+        forms = F.array(*[search_query(F.concat(r["who"], F.lit(w), r["what"])) for w in (" ", " recent ", " latest ")])
+        return F.when(is_current_topic(r["x"], r["who"]) & (r["who"] != ""), F.array_distinct(forms)).otherwise(F.array().cast("array<string>"))
+
+    return let({"x": s(x), "who": subject(x), "what": intent_term(x)}, build)
 
 
 def phases(x: Column) -> Column:
     """array of arrays: the exact query, up to five broad ones, up to five for official sources."""
-    q = search_query(x)
-    who = F.coalesce(F.nullif(rewrite(x)["subject"], F.lit("")), q)
-    broad = F.slice(F.array_distinct(F.concat(F.array(q), review_queries(x))), 1, 5)
-    official = F.array_distinct(F.array(*[search_query(v) for v in (F.concat(q, F.lit(" official source")), F.concat(who, F.lit(" official")), F.concat(q, F.lit(" Wikipedia Wikidata")), F.concat(who, F.lit(" current source")))]))
-    return F.when(q == "", F.array().cast("array<array<string>>")).otherwise(F.array(F.array(q), broad, official))
+
+    def build(r: Column) -> Column:
+        q, who = r["q"], F.when(r["who"] != "", r["who"]).otherwise(r["q"])
+        broad = F.slice(F.array_distinct(F.concat(F.array(q), r["reviews"])), 1, 5)
+        official = F.array_distinct(F.array(*[search_query(v) for v in (F.concat(q, F.lit(" official source")), F.concat(who, F.lit(" official")), F.concat(q, F.lit(" Wikipedia Wikidata")), F.concat(who, F.lit(" current source")))]))
+        return F.when(q == "", F.array().cast("array<array<string>>")).otherwise(F.array(F.array(q), broad, official))
+
+    return let({"q": search_query(x), "who": rewrite(x)["subject"], "reviews": review_queries(x)}, build)
 
 
 def chat_queries(x: Column, recent: Column | None = None) -> Column:

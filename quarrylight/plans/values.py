@@ -136,10 +136,8 @@ def search_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = queries.rewrite(cat(F.lit("Please search for "), q, F.lit("?!")))
     p = queries.phases(q)
     asked = F.when(K % 2 == 0, queries.contextual(F.lit("show that again"), w)).otherwise(queries.contextual(q, w))
-    return orders(spark, sf_dir).select(
-        "o_orderkey", r["query"].alias("query"), r["subject"].alias("subject"), r["intent"].alias("intent"), r["fresh"].alias("fresh"), F.array_join(queries.review_queries(q), ";").alias("reviews"), F.array_join(p[1], ";").alias("broad"), F.array_join(p[2], ";").alias("official"),
-        F.array_join(queries.chat_queries(q, F.lit("in Goa")), ";").alias("live"), asked.alias("asked"),
-    )
+    found = orders(spark, sf_dir).select("o_orderkey", r.alias("r"), F.array_join(queries.review_queries(q), ";").alias("reviews"), p.alias("p"), F.array_join(queries.chat_queries(q, F.lit("in Goa")), ";").alias("live"), asked.alias("asked"))
+    return found.select("o_orderkey", "r.*", "reviews", F.array_join(F.col("p")[1], ";").alias("broad"), F.array_join(F.col("p")[2], ";").alias("official"), "live", "asked")
 
 
 _SAYS = ["Who is the mayor of X", "find the email in section 3", "summarize the whole pdf", "When is the date"]
