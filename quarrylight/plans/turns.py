@@ -302,8 +302,8 @@ def grounding_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("answer_id", "source_count", "authoritative", "confidence", "tier", "verified", F.size("risk_flags").alias("n_flags"))
 
 
-ROBOTS = "User-agent: *\nDisallow: /en\nAllow: /en/7\nDisallow: /*.html\n\nUser-agent: other\nDisallow: /\n\nUser-agent: quarrybot\nDisallow: /fr/4*\nAllow: /fr"
-_RULES = [("disallow", "/en", 0), ("allow", "/en/7", 1), ("disallow", "/*.html", 2), ("disallow", "/fr/4*", 3), ("allow", "/fr", 4)]
+ROBOTS = "User-agent: *\nDisallow: /en\nAllow: /en/7\nDisallow: /e*s\n\nUser-agent: other\nDisallow: /\n\nUser-agent: quarrybot\nDisallow: /fr/4*\nAllow: /fr"
+_RULES = [("disallow", "/en", 0), ("allow", "/en/7", 1), ("disallow", "/e*s", 2), ("disallow", "/fr/4*", 3), ("allow", "/fr", 4)]
 
 
 @query(
