@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, minhash_join, packing, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, warc
+from . import chat_format, exact_dedup, html_extract, minhash_join, packing, quality_classifier, quality_rules, sentencepiece_codec, spelling_variants, suffix_dedup, warc
 from .common import delete_at_exit, shared_dir, text_of
 
 
@@ -81,6 +81,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures_of(warc.assemble(warc.read_warc(spark, path)))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_join": op9_minhash_join,
     "op10_warc": op10_warc,
+    "op11_spelling_variants": op11_spelling_variants,
     "sentencepiece_unigram": sentencepiece_unigram,
 }
 
@@ -132,4 +137,4 @@ SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS paylo
 FROM p LEFT JOIN g ON p.h = g.h
 """
 
-ORACLE: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL, "op3_quality_rules": _RULES_SQL, "op4_chat_format": _CHAT_SQL, "op10_warc": _WARC_SQL}
+ORACLE: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL, "op3_quality_rules": _RULES_SQL, "op4_chat_format": _CHAT_SQL, "op10_warc": _WARC_SQL, "op11_spelling_variants": spelling_variants.SQL}
