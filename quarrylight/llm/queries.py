@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, minhash_join, packing, quality_classifier, quality_rules, sentencepiece_codec, spelling_variants, suffix_dedup, warc
+from . import chat_format, exact_dedup, filter_audit, html_extract, minhash_join, packing, quality_classifier, quality_rules, secret_scans, sentencepiece_codec, spelling_variants, suffix_dedup, warc
 from .common import delete_at_exit, shared_dir, text_of
 
 
@@ -85,6 +85,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scans.span_digests(secret_scans.secret_scans(_table(spark, sf_dir, "documents")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -97,6 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_join": op9_minhash_join,
     "op10_warc": op10_warc,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_secret_scans": op12_secret_scans,
+    "op13_filter_audit": op13_filter_audit,
     "sentencepiece_unigram": sentencepiece_unigram,
 }
 
@@ -137,4 +147,4 @@ SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS paylo
 FROM p LEFT JOIN g ON p.h = g.h
 """
 
-ORACLE: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL, "op3_quality_rules": _RULES_SQL, "op4_chat_format": _CHAT_SQL, "op10_warc": _WARC_SQL, "op11_spelling_variants": spelling_variants.SQL}
+ORACLE: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL, "op3_quality_rules": _RULES_SQL, "op4_chat_format": _CHAT_SQL, "op10_warc": _WARC_SQL, "op11_spelling_variants": spelling_variants.SQL, "op12_secret_scans": secret_scans.SQL, "op13_filter_audit": filter_audit.SQL}
