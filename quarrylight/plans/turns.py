@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, policy, rules
 from ..functions import text as T
 from ..operators import conversation, evidence, rank, state
+from ..streaming import expiring
 from .common import AS_OF, HOST, QUERY, SOURCES, Query, collapse, events, like, lit, sources, sub, table, terms, words
 from .texts import _RELATED, about
 
@@ -418,6 +419,38 @@ def ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.ttl_cache(events(spark, sf_dir), "user_id", F.col("ts"), F.col("event_id"), 48 * HOUR)
 
 
+def _replayed(spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    """The events table as a stream of its files, to its end. The heartbeat stands a year after the last event."""
+    e = events(spark, sf_dir)
+    cols = [F.col("user_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.col("event_type")]
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]").select(*cols)
+    like = e.select(*cols)
+    last = like.groupBy().agg((F.coalesce(F.max("ts"), F.current_timestamp()) + F.expr("INTERVAL 365 DAYS")).alias("ts"))
+    beat = last.select(*[F.col(n) if n == "ts" else F.lit(None).cast(t).alias(n) for n, t in like.dtypes])
+    kinds = dict(like.dtypes)
+    return expiring.replay(spark, stream, build, beat).withColumn("user_id", F.col("key").cast(kinds["user_id"])).drop("key")
+
+
+@query("rate_limit_stream", ORACLE["rate_limit"])
+def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rate_limit`` as a stream whose state ends with each window."""
+    return _replayed(spark, sf_dir, lambda e: expiring.rate_limit(e, "user_id", 2, 24 * HOUR))
+
+
+@query("circuit_breaker_stream", ORACLE["circuit_breaker"])
+def circuit_breaker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``circuit_breaker`` as a stream; breakers closed without failures have no state."""
+    kind = F.col("event_type")
+    outcome = F.when(kind == "error", "failure").when(kind == "signup", "severe").when(kind == "purchase", "ok").otherwise("read")
+    return _replayed(spark, sf_dir, lambda e: expiring.circuit_breaker(e.withColumn("outcome", outcome), "user_id", 2, 6 * HOUR))
+
+
+@query("ttl_cache_stream", ORACLE["ttl_cache"])
+def ttl_cache_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ttl_cache`` as a stream whose state ends when the entry is stale."""
+    return _replayed(spark, sf_dir, lambda e: expiring.ttl_cache(e, "user_id", 48 * HOUR))
+
+
 @query(
     "lru_cache",
     f"""WITH RECURSIVE e AS (SELECT event_type AS c, event_id AS id, epoch_ms(ts) AS t, CAST(user_id AS BIGINT) AS k, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events),
