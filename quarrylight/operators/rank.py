@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -130,17 +130,8 @@ def dot(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(a) != F.size(b)), F.lit(0.0)).otherwise(product)
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 512) -> DataFrame:
-    """query_id, vec_id, place: the ``k`` best of ``vectors`` (vec_id, v) for each of ``queries`` (query_id, q), by inner product, then vec_id.
-
-    Both sides are packed into blocks of about ``block`` rows. Each pair of blocks gives the best ``k`` of its rows for each
-    query, and these are merged per query; no side is broadcast. Vectors of unequal length score 0.
-    """
-    n = "greatest(1, CAST(ceil(count(1) / {}D) AS INT)) AS n".format(block)
-
-    def blocks(df: DataFrame, id_col: str, v: str, at: str) -> DataFrame:
-        count = df.selectExpr(n)  # one row
-        return df.join(F.broadcast(count)).groupBy(F.pmod(F.xxhash64(id_col), F.col("n")).alias(at)).agg(F.collect_list(F.struct(id_col, v)).alias(f"{at}_rows"))
+def best_of_blocks(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For mapInPandas over pairs of blocks (qb_rows, vb_rows): query_id, vec_id and score of the ``k`` best of the block for each of its queries."""
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -161,12 +152,27 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 512
                     out.extend((x["query_id"], ids[t], row[t]) for x, row, places in zip(asked, scores, top, strict=True) for t in places)
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "x"])
 
+    return best
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 512) -> DataFrame:
+    """query_id, vec_id, place: the ``k`` best of ``vectors`` (vec_id, v) for each of ``queries`` (query_id, q), by inner product, then vec_id.
+
+    Both sides are packed into blocks of about ``block`` rows. Each pair of blocks gives the best ``k`` of its rows for each
+    query, and these are merged per query; no side is broadcast. Vectors of unequal length score 0.
+    """
+    n = "greatest(1, CAST(ceil(count(1) / {}D) AS INT)) AS n".format(block)
+
+    def blocks(df: DataFrame, id_col: str, v: str, at: str) -> DataFrame:
+        count = df.selectExpr(n)  # one row
+        return df.join(F.broadcast(count)).groupBy(F.pmod(F.xxhash64(id_col), F.col("n")).alias(at)).agg(F.collect_list(F.struct(id_col, v)).alias(f"{at}_rows"))
+
     # blocks of queries go to the blocks of vectors by key: each is copied once a block of the other side
     left, right = blocks(queries, "query_id", "q", "qb"), blocks(vectors, "vec_id", "v", "vb")
     grid = vectors.selectExpr(n)  # one row
     dealt = left.join(F.broadcast(grid)).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
     pairs = dealt.join(right.withColumn("vb", F.col("vb").cast("int")).hint("shuffle_hash"), "vb").select("qb_rows", "vb_rows")
-    scored = pairs.mapInPandas(best, "query_id long, vec_id long, x double")
+    scored = pairs.mapInPandas(best_of_blocks(k), "query_id long, vec_id long, x double")
     return top_k(scored, k, [F.desc("x"), F.col("vec_id")], ["query_id"], "place").select("query_id", "vec_id", F.col("place").cast("int"))
 
 
