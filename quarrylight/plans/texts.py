@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, rules, urls
 from ..functions import queries as Q
 from ..functions import text as T
-from ..operators import chunk, rank, vector_index
+from ..operators import chunk, postings, rank, vector_index
 from .common import AS_OF, HOST, QUERY, SOURCES, Query, collapse, hits, like, lit, sources, sub, table, terms, words
 
 QUERIES: dict[str, Query] = {}
@@ -71,6 +71,21 @@ def ranked_chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy(F.desc("score"), "doc_id").limit(10)
 
 
+@query(
+    "benchmark_chunk_search",
+    f"""WITH RECURSIVE {chunk_sql(most=1_000_000)}, q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS ws FROM benchmark),
+s AS (SELECT query_id, doc_id, chunk_index, len(list_filter(ws, lambda t: contains(low, t))) AS score FROM (SELECT *, lower(chunk) AS low FROM cut WHERE chunk <> ''), q)
+SELECT query_id, doc_id, CAST(chunk_index AS INT) AS chunk_index, CAST(score AS INT) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS INT) AS place FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) <= 12""",
+)
+def benchmark_chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage as a query over all chunks of all documents: its twelve best chunks by terms held."""
+    parts = chunk.explode_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", most=None)
+    index = postings.build(parts, F.struct("doc_id", "chunk_index"), F.col("chunk"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.long_terms(F.col("text")).alias("terms"))
+    return postings.search(index, asked, 12).select("query_id", "key.doc_id", "key.chunk_index", "score", "place")
+
+
 # --- tokens and words ----------------------------------------------------------------------------------------
 
 
