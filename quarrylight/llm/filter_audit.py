@@ -22,7 +22,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, text_of
+from .common import WS, stage, text_of, unstage, watched
 
 FILTERS = "ABCDE"
 MIN_WORDS = 100
@@ -46,12 +46,14 @@ def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         "id", "h", "part", F.sha2("t", 256).alias("digest"),
         (100 * F.regexp_count(t, F.lit("[A-Z]")).cast("long") > MAX_CAPITALS * F.length(t)).alias("c"), t.rlike(r"[#$%&*|]").alias("d"),
     ).groupBy("id", "h", "part", "digest", "c", "d").agg(F.count(F.lit(1)).alias("rows"))
+    # both scans of the texts end in thin tables, so neither is made again when a join above is planned anew
+    flags, words = stage(flags, "flags"), stage(word_totals(base), "totals")
     least = flags.groupBy("digest").agg(F.min("id").alias("least"))
     first = least.select(F.col("digest").alias("k_digest"), F.col("least").alias("k_id"), F.lit(True).alias("first"))
     # a null id is the first only where its text has no other id
     marked = flags.join(first, (F.col("digest") == F.col("k_digest")) & F.col("id").eqNullSafe(F.col("k_id")), "left")
     copies = flags.groupBy("id", "h").agg(F.sum("rows").alias("copies"))
-    totals = word_totals(base).alias("w").join(copies.alias("k"), F.expr("w.id <=> k.id AND w.h = k.h")).select(
+    totals = words.alias("w").join(copies.alias("k"), F.expr("w.id <=> k.id AND w.h = k.h")).select(
         "w.id", "w.h", (F.col("n_words") / F.col("copies")).cast("long").alias("n_words"), "n_distinct"
     )
     n, distinct = F.coalesce("n_words", F.lit(0)), F.coalesce("n_distinct", F.lit(0))
@@ -92,7 +94,11 @@ def orders(counts: DataFrame) -> DataFrame:
 
 
 def filter_audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
-    return orders(mask_counts(failures(docs, id_col, text_col, part_col), labels, id_col))
+    """part, filter_order, step and the counts: 600 rows per part."""
+    with watched() as mine:
+        counts = stage(mask_counts(failures(docs, id_col, text_col, part_col), labels, id_col), "counts")
+    unstage(*(t for t in list(mine) if t is not counts))
+    return orders(counts)
 
 
 #: The same rows by the definition: every document goes through every order.
