@@ -1,22 +1,25 @@
 r"""Main text of HTML pages by nearest-URL page differencing.
 
 1. A tolerant tokenizer turns a page into text *lines*: one per block, references decoded, white space
-   inside a block one space, with flags: does the line stand in an article or main container, does it
+   inside a block one space, with marks: does the line stand in an article or main container, does it
    stand in a region that is never article by its element or role (navigation, header, footer, aside, forms, menus),
-   is it the title (h1) of a container, and does a class or id of a plain box around it *hint* at advert, notice,
-   comments and the like. Scripts, styles and the like yield nothing. Hinted lines go, too, unless they are a text of
-   ``HINTED`` words or more and the larger part of the page: a hint does not outvote the page.
-2. Differencing: pages of a host are ordered by URL path (then whole URL, then id, then content); a page is paired
-   with the nearest page of its host in that order, the next one first, at most ``REACH`` pages away, that is no copy of it
-   (``is_copy``: nearly all words in common, which tells nothing about templates). The lines of the two are
-   aligned by longest common subsequence, and the lines both share, at the same kind of place, are template text.
-3. A page keeps, in page order, the lines that are not shared with its neighbour, whether they stand in a container or
-   not. A container's title stays though shared. A page without a neighbour keeps all its lines.
+   is it the title (h1) of a container, and which boxes around it *hint*, by class or id, at advert, notice,
+   comments and the like. Scripts, styles and the like yield nothing. Hints decide by place, never by size: the main place of a page is its
+   containers, or the whole page where there are none, and lines in a hinting box go unless the box is around the least hinted lines of the main
+   place, too. So comments and adverts go however long they are, and a box that wraps the whole article takes nothing.
+2. Differencing: pages of a host are ordered by URL path (then whole URL, then id, then content). Pages of equal content in a row are one run, so that
+   any number of copies is looked past. The nearest run of its host in that order, the next one first, that is no copy of the page
+   (``is_copy``: nearly all words in common, which tells nothing about templates) is its neighbour; edited copies are looked past for
+   ``REACH`` runs. The lines of the two are aligned by longest common subsequence.
+3. Lines outside containers that are shared with the neighbour are template text and go. Inside a container equal paragraphs also recur by chance, so
+   a line goes only if the ``SUPPORT`` nearest different pages all share it, at the same place counted from the container's start or end. A
+   container's title stays. All else is kept, in page order.
 
 Skew: a third of all pages may lie on one host. Pages are put in (host, path) order over blocks whose borders come from
-a sample of the keys, so a large host spans many blocks. The ``REACH`` keys at either end of a block are known to
-the driver (a few for a block, however many pages), and those pages also go to the blocks beside it. So a page's text
-depends neither on the borders nor on the number of partitions. A block is read in one pass that holds a few pages.
+a sample of the keys, so a large host spans many blocks. One page of each of the ``REACH`` runs at either end of a block is known to
+the driver (a few keys for a block, however many pages and copies), and these pages also go to the blocks beside it. So a page's text
+depends neither on the borders nor on the number of partitions. A block is read in one pass that holds a few runs: one page of each, and
+the ids and urls of the others.
 
 Defined cases: null html is empty text; null or unparsable url has an empty host and path; rows that
 repeat a page_id are pages of their own; a page alone on its host is compared with none; an empty table
@@ -30,6 +33,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from html import unescape
+from itertools import islice
 from typing import NamedTuple
 
 import pandas as pd
@@ -56,8 +60,8 @@ NEVER_NAMES = re.compile(
 
 #: Boxes whose class or id may hint; text elements (p, h1, li, td) keep their words whatever they are called.
 BOXES = frozenset("div section span ul ol dl table figure details center".split())
-HINTED = 50
-REACH = 4
+REACH = 6
+SUPPORT = 6
 #: Keys sampled for a block, and blocks for a partition: they balance the blocks, and decide nothing else.
 SAMPLED, BLOCKS = 16, 4
 
@@ -74,17 +78,17 @@ class Line(NamedTuple):
     inside: bool  # of a container
     never: bool
     title: bool
-    hint: bool
+    hint: frozenset[int]  # the boxes around it whose class or id hints
 
 
 def lines_of(html: str) -> list[Line]:
     """Each block of text, in page order."""
     out: list[Line] = []
     buf: list[str] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, skipped, in container, never, hint
+    stack: list[tuple[str, bool, bool, bool, frozenset[int]]] = []  # name, skipped, in container, never, hinting boxes
 
-    def state() -> tuple[bool, bool, bool, bool]:
-        return stack[-1][1:] if stack else (False, False, False, False)
+    def state() -> tuple[bool, bool, bool, frozenset[int]]:
+        return stack[-1][1:] if stack else (False, False, False, frozenset())
 
     def flush() -> None:
         if buf:
@@ -97,7 +101,7 @@ def lines_of(html: str) -> list[Line]:
     def close(name: str) -> None:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == name:
-                if name not in INLINE or stack[i][1] or stack[i][3:] != (stack[i - 1][3:] if i else (False, False)):
+                if name not in INLINE or stack[i][1] or stack[i][3:] != (stack[i - 1][3:] if i else (False, frozenset())):
                     flush()
                 del stack[i:]
                 return
@@ -163,7 +167,7 @@ def lines_of(html: str) -> list[Line]:
         hidden = bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", m[3])) or "display:none" in attrs.get("style", "").replace(" ", "").lower() or attrs.get("aria-hidden") == "true"
         if (own or marked) and name in INLINE:
             flush()
-        stack.append((name, skip or name in SKIP or hidden, inside or name in CONTAINER or attrs.get("role") in ("main", "article"), never or own, hint or marked))
+        stack.append((name, skip or name in SKIP or hidden, inside or name in CONTAINER or attrs.get("role") in ("main", "article"), never or own, hint | {at} if marked else hint))
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
             body, at = html[at : end.start() if end else n], end.end() if end else n
@@ -201,10 +205,12 @@ def lcs_shared(a: list, b: list) -> set[int]:
 
 
 def open_lines(lines: list[Line]) -> list[Line]:
-    """Lines outside never-article regions, without hinted ones where these are no text of their own."""
+    """Lines outside never-article regions, under no hinting box but those around the least hinted lines of the main place."""
     free = [x for x in lines if not x.never]
-    n, hinted = (sum(len(x.text.split()) for x in xs) for xs in (free, [x for x in free if x.hint]))
-    return free if hinted >= HINTED and 2 * hinted > n else [x for x in free if not x.hint]
+    main = [x.hint for x in free if x.inside] or [x.hint for x in free]
+    least = min(map(len, main), default=0)
+    around = frozenset().union(*(h for h in main if len(h) == least))
+    return [x for x in free if x.hint <= around]
 
 
 def words_of(lines: list[Line]) -> Counter:
@@ -216,27 +222,48 @@ def is_copy(a: Counter, b: Counter) -> bool:
     return (a & b).total() >= COPY * max(a.total(), b.total())
 
 
-def difference(lines: list[Line], neighbour: list[Line] | None) -> str:
-    """The main text of a page, given its open lines and those of a neighbour, no copy of it."""
-    shared = lcs_shared([x[:2] for x in lines], [x[:2] for x in neighbour]) if neighbour else set()
-    return "\n\n".join(x.text for i, x in enumerate(lines) if x.title or i not in shared)
-
-
 class Page:
-    def __init__(self, page_id: int, url: str, html: str):
-        self.page_id, self.url = page_id, url
+    """The open lines of a page, and where its container lines stand, counted from the container text's start and end."""
+
+    def __init__(self, html: str):
         self.lines = open_lines(lines_of(html))
         self.words = words_of(self.lines)
-
-
-def texts_of(pages: list[Page], at: int) -> str:
-    """The main text of one of a host's pages, which stand in order."""
-    page = pages[at]
+        self.marks = [x[:2] for x in self.lines]
+        inside = [i for i, x in enumerate(self.lines) if x.inside]
+        self.places = {i: {(self.lines[i].text, n), (self.lines[i].text, n - len(inside))} for n, i in enumerate(inside)}
+        self.edges = set().union(*self.places.values()) if self.places else set()
+
+
+def difference(page: Page, others: list[Page]) -> str:
+    """The main text of a page, given the nearest pages that are no copies of it, nearest first."""
+    gone: set[int] = set()
+    if others:
+        shared = lcs_shared(page.marks, others[0].marks)
+        gone = {i for i in shared if not page.lines[i].inside}
+        held = {i for i in shared if page.lines[i].inside and not page.lines[i].title}
+        for k, other in enumerate(others[:SUPPORT]):
+            held = {i for i in held if page.places[i] & other.edges}
+            if k and held:
+                held &= lcs_shared(page.marks, other.marks)
+        if len(others) >= SUPPORT:
+            gone |= held
+    return "\n\n".join(x.text for i, x in enumerate(page.lines) if i not in gone)
+
+
+def text_at(pages: list[Page], at: int) -> str:
+    """The main text of one of a host's pages, which stand in order, one of each run."""
+    page, others = pages[at], []
     for gap in range(1, REACH + 1):
         for i in (at + gap, at - gap):
             if 0 <= i < len(pages) and not is_copy(page.words, pages[i].words):
-                return difference(page.lines, pages[i].lines)
-    return difference(page.lines, None)
+                others.append(pages[i])
+    return difference(page, others)
+
+
+class Run(NamedTuple):
+    content: int
+    page: Page
+    rows: list[tuple]  # id and url of the pages of the run that belong to the block
 
 
 KEY = ["host", "path", "link", "order", "content"]
@@ -275,21 +302,27 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     thin = keys.withColumn("block", block_of(borders)(*KEY))
     up, down = (Window.partitionBy("block").orderBy(*(getattr(F.col(k), d)() for k in KEY)) for d in ("asc", "desc"))
-    ends = thin.withColumns({"a": F.row_number().over(up), "z": F.row_number().over(down)}).filter((F.col("a") <= REACH) | (F.col("z") <= REACH))
+    start = F.coalesce((F.lag("content").over(up) != F.col("content")) | (F.lag("host").over(up) != F.col("host")), F.lit(True))
+    runs = thin.withColumn("start", start).filter("start")
+    ends = runs.withColumns({"a": F.row_number().over(up), "z": F.row_number().over(down)}).filter((F.col("a") <= REACH) | (F.col("z") <= REACH))
     # at most 2 * REACH rows a block
     edges = sorted((*(r[k] for k in KEY), r["block"]) for r in ends.select(*KEY, "block").collect())
     unstage(keys)
     also: dict[tuple, list[int]] = {}  # blocks beside its own that a page goes to
     for i, (*key, block) in enumerate(edges):
+        beside = set()
         for step in (-1, 1):
-            seen, j, beside = 0, i + step, set()
-            # a block may hold fewer pages than REACH, so look on until so many lie between
-            while 0 <= j < len(edges) and seen < REACH and edges[j][0] == key[0]:
+            runs_between, j, content = 0, i + step, key[-1]
+            # a block may hold fewer runs than REACH, or part of one, so look on until so many lie between
+            while 0 <= j < len(edges) and edges[j][0] == key[0]:
+                runs_between += edges[j][-2] != content
+                content = edges[j][-2]
+                if runs_between > REACH:
+                    break
                 if edges[j][-1] != block:
                     beside.add(edges[j][-1])
-                seen += 1
                 j += step
-            also.setdefault(tuple(key), []).extend(sorted(beside))
+        also.setdefault(tuple(key), []).extend(sorted(beside))
     shared = spark.sparkContext.broadcast((borders, {k: v for k, v in also.items() if v}))
 
     @F.pandas_udf("array<int>")
@@ -301,35 +334,39 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     dealt = dealt.repartition(n * BLOCKS, "block").sortWithinPartitions("block", *KEY)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[Page, bool]] = []  # pages of one block and host, and whether each belongs here
+        held: list[Run] = []  # of one block and host, in order
         done, of = 0, None
 
         def texts(last: bool) -> Iterator[tuple]:
+            """Rows of the runs that have ``REACH`` more after them; the last one held may go on."""
             nonlocal done
-            while done < len(held) - (0 if last else REACH):
-                page, own = held[done]
-                if own:
-                    lo = max(0, done - REACH)
-                    text = texts_of([x for x, _ in held[lo : done + REACH + 1]], done - lo)
-                    yield page.page_id, page.url, text, len(text)
+            while done < len(held) - (0 if last else REACH + 1):
+                lo = max(0, done - REACH)
+                if held[done].rows:
+                    text = text_at([x.page for x in held[lo : done + REACH + 1]], done - lo)
+                    yield from ((*row, text, len(text)) for row in held[done].rows)
+                held[done].rows.clear()
                 done += 1
             if done > REACH:
                 del held[: done - REACH]
                 done = REACH
 
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
+        def frames(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+            """Frames of a few rows each: all pages of a run have its text."""
+            while some := list(islice(rows, 500)):
+                yield pd.DataFrame(some, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
 
         for pdf in batches:
-            out = []
-            for page_id, url, html, guest, *group in zip(*(pdf[c] for c in ("page_id", "url", "html", "guest", "block", "host")), strict=True):
+            for page_id, url, html, content, guest, *group in zip(*(pdf[c] for c in ("page_id", "url", "html", "content", "guest", "block", "host")), strict=True):
                 if group != of:
-                    out += texts(last=True)
+                    yield from frames(texts(last=True))
                     held.clear()
                     done, of = 0, group
-                held.append((Page(None if pd.isna(page_id) else int(page_id), url, html), guest == 0))
-                out += texts(last=False)
-            yield frame(out)
-        yield frame(list(texts(last=True)))
-
-    return dealt.select("page_id", "url", "html", "guest", "block", "host").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+                if not held or held[-1].content != content:
+                    held.append(Run(content, Page(html), []))
+                    yield from frames(texts(last=False))
+                if guest == 0:
+                    held[-1].rows.append((None if pd.isna(page_id) else int(page_id), url))
+        yield from frames(texts(last=True))
+
+    return dealt.select("page_id", "url", "html", "content", "guest", "block", "host").mapInPandas(run, "page_id long, url string, text string, n_chars long")

@@ -12,11 +12,17 @@ def texts(spark, rows, partitions="1"):
 
 
 def test_containers_are_differenced(spark):
-    """Shared lines go inside an article too, its title stays; unshared lines outside it stay."""
-    one = "<body><p>Motto of the site</p><article><h1>Daily report</h1><p>first story told</p><p>and more of it</p><p>Tell a friend</p></article><p>Correction to the first story</p></body>"
-    two = "<body><p>Motto of the site</p><article><h1>Daily report</h1><p>second tale</p><p>quite unlike the other</p><p>going on</p><p>Tell a friend</p></article></body>"
-    got = texts(spark, [(1, "https://h.org/a/1", one), (2, "https://h.org/a/2", two)])
-    assert got == {1: "Daily report\n\nfirst story told\n\nand more of it\n\nCorrection to the first story", 2: "Daily report\n\nsecond tale\n\nquite unlike the other\n\ngoing on"}
+    """Lines that several near pages share at one place go inside an article too, its title stays; unshared lines outside it stay, as do lines that only one neighbour shares."""
+
+    def page(story, after=""):
+        return f"<body><p>Motto of the site</p><article><h1>Daily report</h1>{''.join(f'<p>{x}</p>' for x in story)}<p>Tell a friend</p></article>{after}</body>"
+
+    stories = [["first story told", "and more of it"], ["second tale", "quite unlike the other", "said by both"], ["third thing", "said by both"], *([" ".join(f"{w}{n}" for w in "a story of its own words and matter".split())] for n in range(6))]
+    rows = [(i, f"https://h.org/a/{i}", page(s, "<p>Correction to the first story</p>" if not i else "")) for i, s in enumerate(stories)]
+    want = {i: "\n\n".join(["Daily report", *s]) for i, s in enumerate(stories)}
+    assert texts(spark, rows) == want | {0: want[0] + "\n\nCorrection to the first story"}
+    # two pages are no several
+    assert all(t.endswith("Tell a friend") for t in texts(spark, rows[:2]).values() if "Correction" not in t)
 
 
 def test_template_heavy_pages_are_no_copies(spark):
