@@ -39,7 +39,7 @@ def watched() -> Iterator[list[DataFrame]]:
     try:
         yield mine
     finally:
-        _watchers.remove(mine)
+        _watchers[:] = [w for w in _watchers if w is not mine]  # the list itself, not one equal to it
 
 
 @contextmanager
