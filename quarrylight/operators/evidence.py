@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, urls
 from ..functions.text import group, has, s, trim, without
+from ..sources.shared import written
 
 
 def conflict(text: Column) -> Column:
@@ -94,28 +95,44 @@ FORMERLY = r"\b(former|predecessor|served from|stepped down|resigned|was the|unt
 CANDIDATE = r"\b(candidate|contesting|party leader|founded|campaigning|presidential candidate|tvk|announced party|runs for)\b"
 
 
-def entity_status(entities: DataFrame, texts: DataFrame, key: str, name: str = "name", text: str = "text") -> DataFrame:
-    """key, status, confidence of every entity, from all texts that name it: twice the texts per signal, the greater wins.
+def entity_status(entities: DataFrame, texts: DataFrame, key: str, name: str = "name", text: str = "text", order: str | None = None) -> DataFrame:
+    """key, status, confidence of every entity, from all texts that name it: twice the texts per signal, the greater wins. With ``order``, a
+    unique column of the texts, also ``evidence``: the first text in that order that names the entity beside a signal.
 
-    A name is one word of four letters or more (a to z) and is named wherever it stands, inside a longer word too; an
-    entity that no text names, or without a name, is unknown. Names meet the distinct words of the texts by their first
-    four letters, and texts meet names by words, so no pair of an entity and a text is made unless the text names it.
+    A name is any text of one word or several, in any letters, and is named wherever it stands, inside longer words too. An entity that no text names is
+    unknown; one without a name, too, with confidence 0. Names meet texts by their longest word: the distinct words of the texts are found by its first
+    letters, and only texts with such a word are searched for the whole name. No pair of an entity and a text is made otherwise.
     """
     signals = {"i": INCUMBENT, "f": FORMERLY, "c": CANDIDATE}
-    low = texts.select(F.monotonically_increasing_id().alias("_row"), F.lower(F.col(text)).alias("_t"))
-    # texts without a signal count for nothing
-    said = low.select("_row", "_t", *[has(F.col("_t"), p).alias(x) for x, p in signals.items()]).filter("i OR f OR c")
-    words = said.select("_row", *signals, F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit("([a-z]{4,})"), 1))).alias("_word"))
-    names = entities.select(F.lower(F.col(name)).alias("_name")).filter("_name <> ''").distinct().withColumn("_gram", F.substring("_name", 1, 4))
-    grams = words.select("_word").distinct().select("_word", F.explode(F.expr("array_distinct(transform(sequence(1, length(_word) - 3), x -> substring(_word, x, 4)))")).alias("_gram"))
-    holds = grams.join(names, "_gram").filter(F.contains("_word", "_name")).select("_word", "_name")
-    pairs = words.join(holds, "_word").groupBy("_row", "_name").agg(*[F.first(x).alias(x) for x in signals])
-    counts = pairs.groupBy("_name").agg(*[(2 * F.count_if(x)).alias(x) for x in signals])
-    agg = entities.select(F.col(key), F.lower(F.col(name)).alias("_name")).join(counts, "_name", "left")
+    low = texts.select(F.trim(s(F.col(text))).alias("_said"), (F.col(order) if order else F.lit(None).cast("long")).alias("_order")).withColumn("_t", F.lower("_said"))
+    # texts without a signal count for nothing; the rows are written, so a row keeps its number
+    said = written(low.select("*", *[has(F.col("_t"), p).alias(x) for x, p in signals.items()]).filter("i OR f OR c").withColumn("_row", F.monotonically_increasing_id()), "said")
+    words = said.select("_row", F.explode(F.array_distinct(F.split("_t", r"\s+"))).alias("_word")).filter("_word <> ''")
+    names = entities.select(F.trim(F.lower(s(F.col(name)))).alias("_name")).filter("_name <> ''").distinct()
+    pieces = F.split("_name", r"\s+")
+    longest = F.array_max(F.transform(pieces, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    names = names.select("_name", longest.alias("_piece"), (F.size(pieces) > 1).alias("_many")).withColumn("_gram", F.substring("_piece", 1, 3))
+    # all parts of up to three letters of the distinct words
+    parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("_word")), lambda i: F.array(*[F.substring(F.col("_word"), i, F.lit(n)) for n in (1, 2, 3)]))))
+    sizes = names.select(F.length("_gram").alias("_n")).distinct()
+    grams = words.select("_word").distinct().select("_word", F.explode(parts).alias("_gram")).join(F.broadcast(sizes), F.length("_gram") == F.col("_n"), "left_semi")  # at most three sizes
+    holds = grams.join(names, "_gram").filter(F.contains("_word", "_piece")).select("_word", "_name", "_many")
+    near = words.join(holds, "_word").select("_row", "_name", "_many").distinct()
+    named = near.filter("NOT _many").select("_row", "_name").unionByName(
+        near.filter("_many").join(said.select("_row", "_t"), "_row").filter(F.contains("_t", "_name")).select("_row", "_name")
+    )
+    hits = named.join(said.select("_row", "_order", *signals), "_row")
+    counts = hits.groupBy("_name").agg(*[(2 * F.count_if(x)).alias(x) for x in signals], F.min("_order").alias("_first"))
+    agg = entities.select(F.col(key), F.trim(F.lower(s(F.col(name)))).alias("_name")).join(counts, "_name", "left")
     i, f, c = (F.coalesce(F.col(x), F.lit(0)) for x in signals)
     status = F.when((i > f) & (i > c), "incumbent").when(c > i, "candidate").when(f > i, "former").otherwise("unknown")
     n = F.when(status == "incumbent", i).when(status == "candidate", c).when(status == "former", f)
-    return agg.select(key, status.alias("status"), F.round(F.when(n.isNull(), F.lit(0.3)).otherwise(F.least(F.lit(1.0), 0.6 + n * 0.1)), 2).alias("confidence"))
+    sure = F.when(F.col("_name") == "", F.lit(0.0)).when(n.isNull(), F.lit(0.3)).otherwise(F.least(F.lit(1.0), 0.6 + n * 0.1))
+    out = agg.select(key, status.alias("status"), F.round(sure, 2).alias("confidence"), "_first")
+    if not order:
+        return out.drop("_first")
+    firsts = said.select(F.col("_order").alias("_first"), F.col("_said").alias("evidence"))
+    return out.join(firsts, "_first", "left").select(key, "status", "confidence", F.coalesce("evidence", F.lit("")).alias("evidence"))
 
 
 def robots_rules(robots: DataFrame, agent: str, key: str = "host", text: str = "robots") -> DataFrame:

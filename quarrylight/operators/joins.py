@@ -45,16 +45,16 @@ def lookup(x: Column, dimension: list[tuple[str, str]]) -> Column:
 COINS = [("bitcoin|btc", "bitcoin"), ("ethereum|eth", "ethereum"), ("solana|sol", "solana"), ("dogecoin|doge", "dogecoin")]
 
 
-def best_overlap(messages: DataFrame, threads: DataFrame, key: str, message: str, topic: str, order: str, stop: list[str]) -> DataFrame:
+def best_overlap(messages: DataFrame, threads: DataFrame, key: str, message: str, topic: str, order: str, stop: list[str], id_col: str) -> DataFrame:
     """messages with ``best``: the thread (of the same key) that shares most tokens, the first of equals; null without any.
 
-    Tokens of the message count as often as they stand there.
+    ``id_col`` names the messages. Tokens of the message count as often as they stand there.
     """
-    m = messages.withColumn("_m", F.monotonically_increasing_id()).withColumn("_w", spaced_terms(F.col(message), stop, 24, distinct=False))
+    m = messages.withColumn("_w", spaced_terms(F.col(message), stop, 24, distinct=False))
     t = threads.select(key, F.col(order).alias("_o"), F.col(topic).alias("_topic"), spaced_terms(F.col(topic), stop, 24, distinct=False).alias("_t"))
     pairs = m.join(t, key).withColumn("_n", F.size(F.filter("_w", lambda w: F.array_contains(F.col("_t"), w))))
-    best = pairs.filter("_n > 0").groupBy("_m").agg(F.max_by("_topic", F.struct("_n", -F.col("_o"))).alias("best"))
-    return m.join(best, "_m", "left").drop("_m", "_w")
+    best = pairs.filter("_n > 0").groupBy(id_col).agg(F.max_by("_topic", F.struct("_n", -F.col("_o"))).alias("best"))
+    return m.join(best, id_col, "left").drop("_w")
 
 
 def semi_or_all(rows: DataFrame, keys: DataFrame, key: str, by: str) -> DataFrame:

@@ -295,7 +295,7 @@ def turn_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.retract(merge.recorded(merge.retained(t, 1)), gone).select("conv_id", "turn")
 
 
-_GATE = "e AS (SELECT event_type, event_id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events WHERE user_id % 50 = 1)"
+_GATE = "e AS (SELECT event_type, event_id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events)"
 
 
 @query(
@@ -304,8 +304,8 @@ _GATE = "e AS (SELECT event_type, event_id, epoch_ms(ts) AS t, row_number() OVER
 SELECT e.event_type, e.event_id, e.r, w.until <= e.t, CASE WHEN w.until > e.t THEN w.until ELSE e.t + {24 * _HOUR} END FROM w JOIN e ON e.event_type = w.event_type AND e.r = w.r + 1) SELECT event_id AS id, refresh FROM w""",
 )
 def refresh_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of some users that find the last refresh of their cache a day old renew it; the others wait."""
-    asked = events(spark, sf_dir).filter("user_id % 50 = 1")
+    """Requests that find the last refresh of their cache a day old renew it; the others wait."""
+    asked = events(spark, sf_dir)
     return state.ttl_cache(asked, "event_type", F.col("ts"), F.col("event_id"), 24 * _HOUR).select("id", (~F.col("hit")).alias("refresh"))
 
 

@@ -325,15 +325,18 @@ def robots_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "entity_status",
-    f"""WITH n AS (SELECT item_id, lower(regexp_extract(text, '[A-Za-z]{{4,}}')) AS name FROM benchmark), p AS (SELECT item_id, lower(d.text) AS t FROM documents d JOIN n ON contains(lower(d.text), n.name) AND n.name <> ''),
-g AS (SELECT item_id, 2 * count(*) FILTER ({like("t", evidence.INCUMBENT)}) AS i, 2 * count(*) FILTER ({like("t", evidence.FORMERLY)}) AS f, 2 * count(*) FILTER ({like("t", evidence.CANDIDATE)}) AS c FROM p GROUP BY 1),
-s AS (SELECT *, CASE WHEN i > f AND i > c THEN 'incumbent' WHEN c > i THEN 'candidate' WHEN f > i THEN 'former' ELSE 'unknown' END AS status FROM (SELECT item_id, coalesce(i, 0) AS i, coalesce(f, 0) AS f, coalesce(c, 0) AS c FROM benchmark LEFT JOIN g USING (item_id)))
-SELECT item_id, status, round(CASE status WHEN 'incumbent' THEN least(1.0, 0.6 + i * 0.1) WHEN 'candidate' THEN least(1.0, 0.6 + c * 0.1) WHEN 'former' THEN least(1.0, 0.6 + f * 0.1) ELSE 0.3 END, 2)::DOUBLE AS confidence FROM s""",
+    f"""WITH n AS (SELECT item_id, lower(regexp_extract(text, '\\S+')) AS name FROM benchmark UNION ALL SELECT -1 - item_id, lower(regexp_extract(text, '\\S+ \\S+')) FROM benchmark), d AS (SELECT doc_id, trim(text) AS said, lower(trim(text)) AS t FROM documents),
+m AS (SELECT *, {like("t", evidence.INCUMBENT)} AS mi, {like("t", evidence.FORMERLY)} AS mf, {like("t", evidence.CANDIDATE)} AS mc FROM d), p AS (SELECT item_id, m.* FROM m JOIN n ON contains(m.t, n.name) AND n.name <> '' WHERE mi OR mf OR mc),
+g AS (SELECT item_id, 2 * count(*) FILTER (mi) AS i, 2 * count(*) FILTER (mf) AS f, 2 * count(*) FILTER (mc) AS c, arg_min(said, doc_id) AS said FROM p GROUP BY 1),
+s AS (SELECT *, CASE WHEN i > f AND i > c THEN 'incumbent' WHEN c > i THEN 'candidate' WHEN f > i THEN 'former' ELSE 'unknown' END AS status FROM (SELECT item_id, name, coalesce(i, 0) AS i, coalesce(f, 0) AS f, coalesce(c, 0) AS c, coalesce(said, '') AS said FROM n LEFT JOIN g USING (item_id)))
+SELECT item_id, status, round(CASE WHEN name = '' THEN 0.0 ELSE CASE status WHEN 'incumbent' THEN least(1.0, 0.6 + i * 0.1) WHEN 'candidate' THEN least(1.0, 0.6 + c * 0.1) WHEN 'former' THEN least(1.0, 0.6 + f * 0.1) ELSE 0.3 END END, 2)::DOUBLE AS confidence, sha256(said) AS evidence_sha256 FROM s""",
 )
 def entity_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first long word of each benchmark text as an entity, all documents as its snippets."""
-    n = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", "([A-Za-z]{4,})", 1).alias("name"))
-    return evidence.entity_status(n, table(spark, sf_dir, "documents"), "item_id")
+    """The first word, and the first two words, of each benchmark text as entities; all documents as their snippets."""
+    b = table(spark, sf_dir, "benchmark")
+    n = b.select("item_id", F.regexp_extract("text", r"(\S+)", 1).alias("name")).unionByName(b.select((-1 - F.col("item_id")).alias("item_id"), F.regexp_extract("text", r"(\S+ \S+)", 1).alias("name")))
+    out = evidence.entity_status(n, table(spark, sf_dir, "documents"), "item_id", order="doc_id")
+    return out.select("item_id", "status", "confidence", F.sha2("evidence", 256).alias("evidence_sha256"))
 
 
 # --- intervals and numbers ----------------------------------------------------------------------------------------------

@@ -183,7 +183,7 @@ def entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "object_lines",
-    """SELECT o_orderkey, CASE WHEN o_custkey % 100 > 50 THEN 'cat' ELSE 'dog' END AS top, CASE WHEN o_custkey % 100 > 50 THEN 'screen x1, cat x2, dog x' || (o_orderkey % 5 + 1) ELSE 'screen x1, dog x' || (o_orderkey % 5 + 1) || ', cat x2' END || ', sofa x1' AS line FROM orders WHERE o_custkey % 100 <> 50""",
+    """SELECT o_orderkey, CASE WHEN o_custkey % 100 > 50 OR o_custkey % 100 = 50 AND o_orderkey % 5 < 2 THEN 'cat' ELSE 'dog' END AS top, CASE WHEN o_custkey % 100 > 50 OR o_custkey % 100 = 50 AND o_orderkey % 5 < 2 THEN 'screen x1, cat x2, dog x' || (o_orderkey % 5 + 1) ELSE 'screen x1, dog x' || (o_orderkey % 5 + 1) || ', cat x2' END || ', sofa x1' AS line FROM orders""",
 )
 def object_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     K, C = keys()
@@ -191,7 +191,7 @@ def object_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.array(o("cat", F.lit(2), C % 100 / 100), o("sofa", F.lit(0), F.lit(None)))
     b = F.array(o("dog", K % 5 + 1, F.lit(0.5)), o("screen", F.lit(1), F.lit(0.995)), o(" ", F.lit(1), F.lit(1.0)))
     every = answers.merge_objects(a, b)
-    return orders(spark, sf_dir).filter("o_custkey % 100 <> 50").select("o_orderkey", answers.top_object(every)["label"].alias("top"), answers.objects_line(every).alias("line"))
+    return orders(spark, sf_dir).select("o_orderkey", answers.top_object(every)["label"].alias("top"), answers.objects_line(every).alias("line"))
 
 
 @query(
@@ -243,7 +243,7 @@ def best_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = orders(spark, sf_dir)
     talks = o.groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("first")).withColumn("topic", cat(F.lit("thread "), F.col("o_orderpriority")))
     said = o.select("o_orderkey", "o_custkey", cat(F.lit("the "), word, F.lit(" please")).alias("said"))
-    return joins.best_overlap(said, talks, "o_custkey", "said", "topic", "first", ["the", "please"]).select("o_orderkey", "best")
+    return joins.best_overlap(said, talks, "o_custkey", "said", "topic", "first", ["the", "please"], "o_orderkey").select("o_orderkey", "best")
 
 
 @query(

@@ -11,7 +11,7 @@ from .test_functions import one
 def test_best_overlap(spark):
     m = spark.createDataFrame([(1, "the red planet mars mars"), (1, "nothing shared"), (2, "mars")], "k long, text string")
     t = spark.createDataFrame([(1, 0, "venus planet"), (1, 1, "mars rover"), (1, 2, "mars base")], "k long, o long, topic string")
-    got = {(r.k, r.text): r.best for r in joins.best_overlap(m, t, "k", "text", "topic", "o", STOP_TOPIC).collect()}
+    got = {(r.k, r.text): r.best for r in joins.best_overlap(m, t, "k", "text", "topic", "o", STOP_TOPIC, "text").collect()}
     assert got == {(1, "the red planet mars mars"): "mars rover", (1, "nothing shared"): None, (2, "mars"): None}
 
 

@@ -14,10 +14,19 @@ def test_entity_status_cases(spark):
     names = spark.createDataFrame([(1, "Arden"), (2, "Borel"), (3, "Cossa"), (4, ""), (5, "arden")], "item_id long, name string")
     texts = spark.createDataFrame([("ARDEN, xardeny and Arden: the incumbent",), ("Borel, a candidate",), ("borels, a candidate",), ("Borel is former",), (None,)], "text string")
     got = {r.item_id: (r.status, r.confidence) for r in evidence.entity_status(names, texts, "item_id").collect()}
-    assert got == {1: ("incumbent", 0.8), 2: ("candidate", 1.0), 3: ("unknown", 0.3), 4: ("unknown", 0.3), 5: ("incumbent", 0.8)}
+    assert got == {1: ("incumbent", 0.8), 2: ("candidate", 1.0), 3: ("unknown", 0.3), 4: ("unknown", 0.0), 5: ("incumbent", 0.8)}
     assert evidence.entity_status(names, texts.filter(F.lit(False)), "item_id").count() == 5
 
 
+def test_entity_names_of_any_kind(spark):
+    """Short names, names of several words, accents and signs; the first text with a signal is the evidence."""
+    names = spark.createDataFrame([(1, "Li"), (2, "New York"), (3, "João"), (4, "C++"), (5, " Maria  "), (6, "York New"), (7, None), (8, "é"), (9, "new\tyork")], "item_id long, name string")
+    texts = spark.createDataFrame([(5, "Li is the incumbent of New York"), (3, "JOÃO, a former (C++)"), (2, "João and new york"), (4, "new\tyork: candidate Maria"), (1, None), (6, "newyork former")], "n long, text string").repartition(3)
+    got = {r.item_id: (r.status, r.evidence) for r in evidence.entity_status(names, texts, "item_id", order="n").collect()}
+    first = {t.n: (t.text or "").strip() for t in texts.collect()}
+    assert got == {1: ("incumbent", first[5]), 2: ("incumbent", first[5]), 3: ("former", first[3]), 4: ("former", first[3]), 5: ("candidate", first[4]), 6: ("unknown", ""), 7: ("unknown", ""), 8: ("unknown", ""), 9: ("candidate", first[4])}
+
+
 def test_cosine_topk_blocks(spark):
     """Blocks give what one block gives: ties by id, unequal lengths and empty vectors 0."""
     vs = [[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [], [1.0], [-1.0, 0.0], None] * 5
