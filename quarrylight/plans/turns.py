@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import dates, policy, rules
 from ..functions import text as T
 from ..operators import conversation, evidence, rank, state
-from ..streaming import expiring
+from ..sources.shared import new_path
+from ..streaming import expiring, flows
 from .common import AS_OF, HOST, QUERY, SOURCES, Query, collapse, events, like, lit, sources, sub, table, terms, words
 from .texts import _RELATED, about
 
@@ -429,7 +430,8 @@ def _replayed(spark: SparkSession, sf_dir: str, build) -> DataFrame:
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]").select(*cols)
     like = e.select(*cols)
     last = like.groupBy().agg((F.coalesce(F.max("ts"), F.current_timestamp()) + F.expr("INTERVAL 365 DAYS")).alias("ts"))
-    beat = last.select(*[F.col(n) if n == "ts" else F.lit(None).cast(t).alias(n) for n, t in like.dtypes])
+    # a heartbeat has a time and a key, and no id
+    beat = last.select(*[F.col(n) if n == "ts" else F.lit(-1 if n == "user_id" else None).cast(t).alias(n) for n, t in like.dtypes])
     kinds = dict(like.dtypes)
     return expiring.replay(spark, stream, build, beat).withColumn("user_id", F.col("key").cast(kinds["user_id"])).drop("key")
 
@@ -454,6 +456,34 @@ def ttl_cache_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replayed(spark, sf_dir, lambda e: expiring.ttl_cache(e, "user_id", 48 * HOUR))
 
 
+@query(
+    "span_stream",
+    """WITH a AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t FROM events WHERE event_type = 'signup'), b AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t FROM events WHERE event_type = 'purchase')
+SELECT a.user_id, a.event_id AS start_id, b.event_id AS end_id, b.t - a.t AS duration_ms FROM a LEFT JOIN b ON a.user_id = b.user_id AND b.t >= a.t AND b.t <= a.t + 3 * 86400000""",
+)
+def span_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups as starts of spans that the user's purchases of the next three days end, as two streams; spans without an end, too."""
+    of = lambda e, kind: e.filter((F.col("event_type") == kind) | F.col("id").isNull())
+    out = _replayed(spark, sf_dir, lambda e: flows.spans(of(e, "signup"), of(e, "purchase"), "user_id", "3 DAYS").withColumn("key", F.col("user_id").cast("string")).drop("user_id"))
+    return out.filter("start_id IS NOT NULL").select("user_id", "start_id", "end_id", "duration_ms")
+
+
+@query("routed_events", "SELECT topic, CAST(count(*) AS BIGINT) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM (SELECT event_type AS topic, event_id FROM events WHERE event_type IN ('signup', 'purchase', 'error') UNION ALL SELECT 'all', event_id FROM events) GROUP BY topic")
+def routed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream, routed to a table per topic and one for all; what the tables hold at the end."""
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]").select("event_type", "event_id")
+    path, topics = new_path(spark, "routes"), ["signup", "purchase", "error", "all"]
+
+    def sink(topic: str):
+        # a table per epoch, so an epoch that comes again replaces its own rows
+        return lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{path}/rows/topic={topic}/epoch={epoch}")
+
+    writer = flows.route(stream, {t: sink(t) for t in topics}, f"{path}/ledger", "event_type")
+    writer.option("checkpointLocation", f"{path}/at").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"event_type string, event_id {dict(table(spark, sf_dir, 'events').dtypes)['event_id']}, topic string, epoch long").parquet(f"{path}/rows")
+    return rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
 @query(
     "lru_cache",
     f"""WITH RECURSIVE e AS (SELECT event_type AS c, event_id AS id, epoch_ms(ts) AS t, CAST(user_id AS BIGINT) AS k, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events),
