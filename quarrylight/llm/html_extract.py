@@ -234,30 +234,30 @@ class Page:
         self.edges = set().union(*self.places.values()) if self.places else set()
 
 
-def difference(page: Page, others: list[Page]) -> str:
-    """The main text of a page, given the nearest pages that are no copies of it, nearest first."""
+def difference(page: Page, others: Iterator[Page]) -> str:
+    """The main text of a page, given the nearest pages that are no copies of it, nearest first; of these only as many are looked at as decide something."""
     gone: set[int] = set()
-    if others:
-        shared = lcs_shared(page.marks, others[0].marks)
+    first = next(others, None)
+    if first is not None:
+        shared = lcs_shared(page.marks, first.marks)
         gone = {i for i in shared if not page.lines[i].inside}
-        held = {i for i in shared if page.lines[i].inside and not page.lines[i].title}
-        for k, other in enumerate(others[:SUPPORT]):
+        held = {i for i in shared if page.lines[i].inside and not page.lines[i].title and page.places[i] & first.edges}
+        for _ in range(SUPPORT - 1):
+            other = next(others, None) if held else None
+            if other is None:
+                held = set()
+                break
             held = {i for i in held if page.places[i] & other.edges}
-            if k and held:
-                held &= lcs_shared(page.marks, other.marks)
-        if len(others) >= SUPPORT:
-            gone |= held
+            held = held and held & lcs_shared(page.marks, other.marks)
+        gone |= held
     return "\n\n".join(x.text for i, x in enumerate(page.lines) if i not in gone)
 
 
 def text_at(pages: list[Page], at: int) -> str:
     """The main text of one of a host's pages, which stand in order, one of each run."""
-    page, others = pages[at], []
-    for gap in range(1, REACH + 1):
-        for i in (at + gap, at - gap):
-            if 0 <= i < len(pages) and not is_copy(page.words, pages[i].words):
-                others.append(pages[i])
-    return difference(page, others)
+    page = pages[at]
+    near = (pages[i] for gap in range(1, REACH + 1) for i in (at + gap, at - gap) if 0 <= i < len(pages))
+    return difference(page, (other for other in near if not is_copy(page.words, other.words)))
 
 
 class Run(NamedTuple):
