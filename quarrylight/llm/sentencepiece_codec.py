@@ -3,7 +3,8 @@
 The automaton reads a text once; at each position its output links name every piece that ends there, and
 each such piece tries to improve what is known of that position:
 
-* unigram models: best sum of scores (Viterbi); a character that no piece covers costs the unknown score;
+* unigram models: best sum of scores (Viterbi) over the whole text; a character that is no piece of its own is also an edge of the
+  unknown score (10 below the lowest), so it may be lost to bytes or the unknown id, or be part of a longer piece;
 * byte-pair models: the encoding of a prefix ends in exactly one piece, the one that stands *compatibly*
   after the encoding of what is before it (merging the two pieces' characters gives the two pieces back).
   A sum of scores would not give the merges' result, so that check replaces it; the pass, the automaton
@@ -16,7 +17,8 @@ pieces into UTF-8 (invalid bytes into U+FFFD) and drops the added space.
 ``as_unigram`` reads a byte-pair vocabulary as a unigram model: a piece's score is the log of its share under Zipf's law
 of its rank. Models with a normalisation map of their own are refused, as the map is not applied here.
 
-Words are remembered in a bounded memo where no piece crosses from a word into the next space.
+Words are remembered in a bounded memo where no piece crosses from a word into the next space; words of ``MEMO_CHARS`` characters or more are not,
+so the memo is bounded in bytes. Unknown characters side by side are one unknown id.
 
 Defined cases: null text is empty and gives no ids; every text without the space mark itself round-trips as long
 as the model has byte pieces; an empty table gives an empty result; other columns are ignored.
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 SPACE = "▁"
-MEMO = 500_000
+MEMO, MEMO_CHARS = 500_000, 64
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _MARKS = ".,;:!?|\"'()$%&*#"
 # Fixed values of the model format: piece types.
@@ -80,7 +82,7 @@ class Codec:
         usable = [i for i, k in enumerate(kinds) if k in (NORMAL, USER)]
         self.score = {i: float(np.float32(proto.pieces[i].score)) for i in usable}
         self.id = {self.pieces[i]: i for i in usable}
-        self.lowest = min(self.score.values(), default=0.0) - 10.0
+        self.lowest = min((self.score[i] for i in usable if kinds[i] == NORMAL), default=0.0) - 10.0
         self.automaton = ahocorasick.Automaton()
         for i in usable:
             self.automaton.add_word(self.pieces[i], (len(self.pieces[i]), i))
@@ -124,43 +126,69 @@ class Codec:
         return ok
 
     def _known(self, text: str) -> list[int]:
-        """Ids of a text all of whose characters are pieces."""
+        """Ids of a byte-pair model for a text all of whose characters are pieces."""
         n = len(text)
         last, back = [-1] * (n + 1), [0] * (n + 1)
-        if self.is_bpe:
-            pair = self.pair
-            for end, (size, piece) in self.automaton.iter(text):
-                stop = end + 1
-                if last[stop] >= 0:
+        pair = self.pair
+        for end, (size, piece) in self.automaton.iter(text):
+            stop = end + 1
+            if last[stop] >= 0:
+                continue
+            start = stop - size
+            if start:
+                before = last[start]
+                if before < 0:
                     continue
-                start = stop - size
-                if start:
-                    before = last[start]
-                    if before < 0:
-                        continue
-                    ok = pair.get(before << 20 | piece)
-                    if ok is None:
-                        ok = self._compatible(before, piece)
-                else:
-                    ok = self._whole(piece)
-                if ok:
-                    last[stop], back[stop] = piece, start
-        else:
-            best = [float("-inf")] * (n + 1)
-            best[0] = 0.0
-            for end, (size, piece) in self.automaton.iter(text):
-                stop = end + 1
-                total = best[stop - size] + self.score[piece]
-                if total > best[stop]:
-                    best[stop], last[stop], back[stop] = total, piece, stop - size
+                ok = pair.get(before << 20 | piece)
+                if ok is None:
+                    ok = self._compatible(before, piece)
+            else:
+                ok = self._whole(piece)
+            if ok:
+                last[stop], back[stop] = piece, start
         out, at = [], n
         while at:
             out.append(last[at])
             at = back[at]
         return out[::-1]
 
+    def _best(self, text: str) -> list[int]:
+        """Ids of the best sum of scores of a text."""
+        n, score, lowest = len(text), self.score, self.lowest
+        last, back = [-1] * (n + 1), list(range(-1, n))
+        best = [float("-inf")] * (n + 1)
+        best[0] = 0.0
+        lone = [i for i, c in enumerate(text) if c not in self.id]  # places with an unknown edge
+        lone.append(n)
+        k = 0
+        for end, (size, piece) in self.automaton.iter(text):
+            stop = end + 1
+            while lone[k] < end:  # places before this end are final
+                i = lone[k]
+                if best[i] + lowest > best[i + 1]:
+                    best[i + 1], last[i + 1], back[i + 1] = best[i] + lowest, -1, i
+                k += 1
+            total = best[stop - size] + score[piece]
+            if total > best[stop]:
+                best[stop], last[stop], back[stop] = total, piece, stop - size
+        for i in lone[k:-1]:
+            if best[i] + lowest > best[i + 1]:
+                best[i + 1], last[i + 1], back[i + 1] = best[i] + lowest, -1, i
+        out, at = [], n
+        while at:
+            if last[at] >= 0:
+                out.append(last[at])
+            elif self.bytes:
+                out += [self.bytes[b] for b in reversed(text[at - 1].encode("utf-8", "replace"))]
+            else:
+                out.append(self.unk)
+            at = back[at]
+        return out[::-1]
+
     def _chunk(self, text: str) -> list[int]:
-        """Stretches of known characters are encoded, the rest becomes bytes or the unknown id."""
+        """The ids of a text. For byte-pair models stretches of known characters are encoded, the rest becomes bytes or the unknown id."""
+        if not self.is_bpe:
+            return self._best(text)
         out: list[int] = []
         for known, part in groupby(text, self.id.__contains__):
             part = "".join(part)
@@ -185,7 +213,7 @@ class Codec:
                     got = a + b
             if got is None:
                 got = np.asarray(self._chunk(word), dtype="<i4").tobytes()
-            if len(word) < 64:
+            if len(word) < MEMO_CHARS:
                 self.memo[word] = got
         return got
 
@@ -197,16 +225,21 @@ class Codec:
             text = re.sub(" +", " ", text).strip(" ")
         text = ((" " if self.prefix else "") + text).replace(" ", SPACE)
         if not self.by_word:
-            return np.asarray(self._chunk(text), dtype="<i4").tobytes()
+            return self._joined([np.asarray(self._chunk(text), dtype="<i4").tobytes()])
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo = self.memo
         words = _WORDS.findall(text)
-        for w in set(words):
-            if w not in memo:
-                memo[w] = self._word(w)
-        out = b"".join([memo[w] for w in words])
-        return out
+        held = {w: self._word(w) for w in set(words)}
+        return self._joined([held[w] for w in words])
+
+    def _joined(self, parts: list[bytes]) -> bytes:
+        out = b"".join(parts)
+        if self.bytes:
+            return out
+        ids = np.frombuffer(out, dtype="<i4")
+        unknown = ids == self.unk
+        again = np.append(False, unknown[1:] & unknown[:-1])
+        return ids[~again].tobytes() if again.any() else out
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), dtype="<i4").tolist()
