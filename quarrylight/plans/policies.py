@@ -1,4 +1,4 @@
-"""Queries over the chat policies, request logs and merged results. ``asks`` are fixed questions dealt over the orders."""
+"""Queries over the chat policies, request logs and merged results. ``asks`` are the turns of all conversations, by themselves and with questions."""
 
 from __future__ import annotations
 
@@ -32,12 +32,19 @@ ASKS = [
     "restaurants near the old port", "switch to tamil", "speak in hindi please", "change the language to english", "talk to telugu", "improve my resume", "summarize this document", "what about that?", "compare the earlier file", "who won the match yesterday", "price of bitcoin",
     "how much is the moon rock worth", "imagine a story of a dragon", "comprehensive plan for a visit to Peru", "vacation for two days in Goa", "what's new in spark", "market cap of Initech", "the launch date of the probe", "museums in Lisbon", "find best cafes around Green Park", "what is the text", "verify that",
 ]
-_ASKS = f"asks AS (SELECT o_orderkey AS id, [{', '.join(lit(a) for a in ASKS)}][CAST(o_orderkey % {len(ASKS)} + 1 AS INT)] AS t FROM orders), lowered AS (SELECT *, lower(t) AS low, trim(regexp_replace(lower(t), '[?!.,;:]+$', '')) AS bare FROM asks)"
+#: Four texts a turn: what was said, a question before it, a question after it, and the question alone.
+_ASKS = f"""turn_texts AS (SELECT (conv_id * 10000 + turn) * 4 AS k, coalesce(text, '') AS said, [{', '.join(lit(a) for a in ASKS)}][CAST((conv_id * 7 + turn) % {len(ASKS)} + 1 AS INT)] AS q FROM conversations),
+asks AS (SELECT k + v AS id, CASE v WHEN 0 THEN said WHEN 1 THEN trim(q || ' ' || said) WHEN 2 THEN trim(said || ' ' || q) ELSE q END AS t FROM turn_texts, (SELECT unnest([0, 1, 2, 3]) AS v)), lowered AS (SELECT *, lower(t) AS low, trim(regexp_replace(lower(t), '[?!.,;:]+$', '')) AS bare FROM asks)"""
 
 
 def asks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.element_at(F.array(*[F.lit(a) for a in ASKS]), (F.col("o_orderkey") % len(ASKS) + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.alias("t"))
+    """id, t: every turn of the conversations as it is, with one of the questions before or after it, and the question."""
+    c = table(spark, sf_dir, "conversations").select(
+        ((F.col("conv_id") * 10000 + F.col("turn")) * 4).alias("k"), F.coalesce("text", F.lit("")).alias("said"),
+        F.element_at(F.array(*[F.lit(a) for a in ASKS]), ((F.col("conv_id") * 7 + F.col("turn")) % len(ASKS) + 1).cast("int")).alias("q"),
+    )
+    texts = F.array(F.col("said"), F.trim(F.concat("q", F.lit(" "), "said")), F.trim(F.concat("said", F.lit(" "), "q")), F.col("q"))
+    return c.select("k", F.posexplode(texts).alias("v", "t")).select((F.col("k") + F.col("v")).alias("id"), "t")
 
 
 def _any(x: str, patterns: list[str]) -> str:
