@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import dates, urls
-from .text import COMMON_TERMS, collapse, group, has, intent_tokens, query_terms, s, trim, without
+from .text import COMMON_TERMS, collapse, group, has, intent_tokens, let, query_terms, s, trim, without
 
 # --- fixed values: routing patterns --------------------------------------------------------------------
 
@@ -51,8 +51,10 @@ DATED_THING = r"(?i)\b(?:holder|leader|head|winner|champion|ranking|release|pric
 
 def route(x: Column) -> Column:
     """struct(route, category, confidence) of a message."""
-    t = F.substring(collapse(x), 1, 500)
+    return let({"t": F.substring(collapse(x), 1, 500)}, lambda m: _route(m["t"]))
 
+
+def _route(t: Column) -> Column:
     def to(r: str, c: str, p: Column | float) -> Column:
         return F.struct(F.lit(r).alias("route"), F.lit(c).alias("category"), (F.lit(p) if isinstance(p, float) else p).cast("double").alias("confidence"))
 
@@ -107,18 +109,25 @@ ROLE_PATTERNS = [
     ("Chairperson", r"\b(?:chairman|chairperson)"),
 ]
 ROLE_TAIL = r"\s+(?:of\s+)?([a-z\s]+?)(?:\?|\.|\n|$|,)"
+ROLE_NAMED = r"\s(?:cm|pm|chief minister|prime minister|president|governor|mayor)\b"
 ROLE_REVERSED = r"\b(?:who is|what is|tell me|who's)?\s*(?:the\s+)?([a-z\s]+?)\s+(cm|pm|chief minister|prime minister|president|governor|mayor)\b"
 
 
 def entity_target(x: Column) -> Column:
     """struct(role, jurisdiction): an office and its place; null where none is named."""
-    t = F.lower(s(x))
+    return let({"t": F.lower(s(x))}, lambda r: _entity_target(r["t"]))
+
+
+def _entity_target(t: Column) -> Column:
     found = []
     for role, lead in ROLE_PATTERNS:
         place = F.trim(without(F.trim(group(t, lead + ROLE_TAIL, 1)), r"\b(?:the|current|latest|now|today|is|who)\b", ""))
         found.append(F.when(F.length(place).between(2, 40), F.struct(F.lit(role).alias("role"), F.initcap(place).alias("jurisdiction"))))
-    raw = F.trim(group(t, ROLE_REVERSED, 2))
-    place = F.trim(without(group(t, ROLE_REVERSED, 1), r"\b(?:current|the|who is|what is|who's|tell me)\b", ""))
+    # the pattern tries every start of a long run of words; a text without an office has no match
+    office = has(t, ROLE_NAMED)
+    part = lambda n: F.when(office, group(t, ROLE_REVERSED, n)).otherwise("")
+    raw = F.trim(part(2))
+    place = F.trim(without(part(1), r"\b(?:current|the|who is|what is|who's|tell me)\b", ""))
     role = F.when(raw == "cm", "Chief Minister").when(raw == "pm", "Prime Minister").otherwise(F.initcap(raw))
     found.append(F.when((raw != "") & F.length(place).between(2, 40), F.struct(role.alias("role"), F.initcap(place).alias("jurisdiction"))))
     return F.coalesce(*found)
@@ -126,8 +135,10 @@ def entity_target(x: Column) -> Column:
 
 def intent(x: Column) -> Column:
     """struct(type, category, live) of a query."""
-    t = trim(x)
+    return let({"t": trim(x)}, lambda r: _intent(r["t"]))
+
 
+def _intent(t: Column) -> Column:
     def to(kind: str, category: str, live: bool) -> Column:
         return F.struct(F.lit(kind).alias("type"), F.lit(category).alias("category"), F.lit(live).alias("live"))
 

@@ -22,8 +22,19 @@ KINDS = ["encyclopedia", "official_source", "trusted_news", "community_discussio
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Tables of texts, and the key to deal them by.
+TEXTS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows whose work is far more than their transport: dealt by their key where they come in fewer splits than the cluster has cores; a large table's splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXTS[name]) if name in TEXTS else df
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import joins, merge, rank, state
 from ..sources import feeds, payloads, scan
 from . import turns
-from .common import SOURCES, Query, lit, sources, table
+from .common import SOURCES, Query, lit, sources, spread, table
 from .texts import _READ as READ_SQL
 
 ROBOTS_SQL = turns.ORACLE["robots_longest_prefix"]
@@ -37,7 +37,7 @@ def keys() -> tuple[Column, Column]:
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders")
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey")
 
 
 def of(xs: list) -> Column:
