@@ -351,22 +351,24 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 del held[: done - REACH]
                 done = REACH
 
-        def frames(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
-            """Frames of a few rows each: all pages of a run have its text."""
-            while some := list(islice(rows, 500)):
-                yield pd.DataFrame(some, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
-
-        for pdf in batches:
-            for page_id, url, html, content, guest, *group in zip(*(pdf[c] for c in ("page_id", "url", "html", "content", "guest", "block", "host")), strict=True):
-                if group != of:
-                    yield from frames(texts(last=True))
-                    held.clear()
-                    done, of = 0, group
-                if not held or held[-1].content != content:
-                    held.append(Run(content, Page(html), []))
-                    yield from frames(texts(last=False))
-                if guest == 0:
-                    held[-1].rows.append((None if pd.isna(page_id) else int(page_id), url))
-        yield from frames(texts(last=True))
+        def rows() -> Iterator[tuple]:
+            nonlocal done, of
+            for pdf in batches:
+                for page_id, url, html, content, guest, *group in zip(*(pdf[c] for c in ("page_id", "url", "html", "content", "guest", "block", "host")), strict=True):
+                    if group != of:
+                        yield from texts(last=True)
+                        held.clear()
+                        done, of = 0, group
+                    if not held or held[-1].content != content:
+                        held.append(Run(content, Page(html), []))
+                        yield from texts(last=False)
+                    if guest == 0:
+                        held[-1].rows.append((None if pd.isna(page_id) else int(page_id), url))
+            yield from texts(last=True)
+
+        # frames of some hundred rows, whether they come from many pages or from one long run of copies
+        found = rows()
+        while some := list(islice(found, 500)):
+            yield pd.DataFrame(some, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
 
     return dealt.select("page_id", "url", "html", "content", "guest", "block", "host").mapInPandas(run, "page_id long, url string, text string, n_chars long")
