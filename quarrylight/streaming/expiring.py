@@ -6,7 +6,7 @@ depend on how rows were dealt to micro-batches and equals the batch result.
 
 A second timer stands where the folded state stops to matter: a rate limiter's window is over, a cached entry is stale, a breaker is closed
 without failures. When it fires, the state is cleared, so what is held follows the keys of the last window and not every key ever seen.
-Rows behind the watermark are late and are dropped by the engine; rows without a time or an id have no place and are left out.
+Rows behind the watermark of the micro-batch before are late and are dropped by the engine; rows without a time or an id have no place and are left out.
 
 ``replay`` drives such a stream over a table: to the end of its files, and then, from the checkpoint, past a heartbeat that moves the watermark on.
 """
