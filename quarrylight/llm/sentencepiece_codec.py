@@ -228,9 +228,11 @@ class Codec:
             return self._joined([np.asarray(self._chunk(text), dtype="<i4").tobytes()])
         if len(self.memo) > MEMO:
             self.memo.clear()
-        words = _WORDS.findall(text)
-        held = {w: self._word(w) for w in set(words)}
-        return self._joined([held[w] for w in words])
+        memo, words = self.memo, _WORDS.findall(text)
+        fresh = {w: self._word(w) for w in set(words) if w not in memo}
+        if all(w in memo for w in fresh):
+            return self._joined([memo[w] for w in words])
+        return self._joined([memo[w] if w in memo else fresh[w] for w in words])
 
     def _joined(self, parts: list[bytes]) -> bytes:
         out = b"".join(parts)
