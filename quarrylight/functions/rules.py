@@ -108,6 +108,7 @@ ROLE_PATTERNS = [
     ("CEO", r"\b(?:ceo|chief executive officer)"),
     ("Chairperson", r"\b(?:chairman|chairperson)"),
 ]
+ROLE_LEAD = rf"\b(?:{'|'.join(p[5:-1] for _, p in ROLE_PATTERNS)})"
 ROLE_TAIL = r"\s+(?:of\s+)?([a-z\s]+?)(?:\?|\.|\n|$|,)"
 ROLE_NAMED = r"\s(?:cm|pm|chief minister|prime minister|president|governor|mayor)\b"
 ROLE_REVERSED = r"\b(?:who is|what is|tell me|who's)?\s*(?:the\s+)?([a-z\s]+?)\s+(cm|pm|chief minister|prime minister|president|governor|mayor)\b"
@@ -119,18 +120,22 @@ def entity_target(x: Column) -> Column:
 
 
 def _entity_target(t: Column) -> Column:
+    def placed(role: Column, place: Column) -> Column:
+        return F.when(F.length(place).between(2, 40), F.struct(role.alias("role"), F.initcap(place).alias("jurisdiction")))
+
+    def reversed_(r: Column) -> Column:
+        raw = r["raw"]
+        role = F.when(raw == "cm", "Chief Minister").when(raw == "pm", "Prime Minister").otherwise(F.initcap(raw))
+        return F.when(raw != "", placed(role, r["place"]))
+
     found = []
     for role, lead in ROLE_PATTERNS:
         place = F.trim(without(F.trim(group(t, lead + ROLE_TAIL, 1)), r"\b(?:the|current|latest|now|today|is|who)\b", ""))
-        found.append(F.when(F.length(place).between(2, 40), F.struct(F.lit(role).alias("role"), F.initcap(place).alias("jurisdiction"))))
+        found.append(let({"role": F.lit(role), "place": place}, lambda r: placed(r["role"], r["place"])))
     # the pattern tries every start of a long run of words; a text without an office has no match
-    office = has(t, ROLE_NAMED)
-    part = lambda n: F.when(office, group(t, ROLE_REVERSED, n)).otherwise("")
-    raw = F.trim(part(2))
-    place = F.trim(without(part(1), r"\b(?:current|the|who is|what is|who's|tell me)\b", ""))
-    role = F.when(raw == "cm", "Chief Minister").when(raw == "pm", "Prime Minister").otherwise(F.initcap(raw))
-    found.append(F.when((raw != "") & F.length(place).between(2, 40), F.struct(role.alias("role"), F.initcap(place).alias("jurisdiction"))))
-    return F.coalesce(*found)
+    parts = {"raw": F.trim(group(t, ROLE_REVERSED, 2)), "place": F.trim(without(group(t, ROLE_REVERSED, 1), r"\b(?:current|the|who is|what is|who's|tell me)\b", ""))}
+    found.append(F.when(has(t, ROLE_NAMED), let(parts, reversed_)))
+    return F.when(has(t, ROLE_LEAD), F.coalesce(*found))
 
 
 def intent(x: Column) -> Column:
@@ -187,7 +192,13 @@ def risk_flags(message: Column, answer: Column, purpose: Column | None = None, n
     ``purpose`` is what the answer is for, ``note`` why it came by its route, ``mutable`` whether the message asks for a fact that may change.
     """
     m, a = s(message), s(answer)
-    both, low = F.lower(F.concat(m, F.lit("\n"), a)), F.lower(a)
+    parts = {"m": m, "a": a, "both": F.lower(F.concat(m, F.lit("\n"), a)), "low": F.lower(a)}
+    more = {"purpose": purpose, "note": note, "mutable": mutable}
+    return let(parts | {k: c for k, c in more.items() if c is not None}, lambda r: _risk_flags(r, *[r[k] if c is not None else None for k, c in more.items()]))
+
+
+def _risk_flags(r: Column, purpose: Column | None, note: Column | None, mutable: Column | None) -> Column:
+    m, a, both, low = r["m"], r["a"], r["both"], r["low"]
     both_of = dict(RISK_BOTH)
     flags = [
         F.when(s(purpose).isin("verify_answer", "selection_verify"), "explicit_verification") if purpose is not None else None,
