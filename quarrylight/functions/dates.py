@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .text import collapse, group, has, let, s, trim, without
 
 MONTH = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+#: What every date phrase has: a word before the date, and a year.
+DATED = r"(?is)\b(?:between|from|on|as of|at|by|before|after|in|during|for)\s.*\d{4}\b"
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
@@ -19,8 +21,10 @@ def iso_date(year: Column, month: Column, day: Column) -> Column:
 
 def date_window(x: Column) -> Column:
     """struct(kind, label, start, end) of the first kind of date phrase that fits; null where none does."""
-    t = collapse(x)
+    return let({"t": collapse(x)}, lambda r: F.when(has(r["t"], DATED), _date_window(r["t"])))
 
+
+def _date_window(t: Column) -> Column:
     def got(p: str, g: int = 1) -> Column:
         return F.nullif(group(t, "(?i)" + p, g), F.lit(""))
 

@@ -46,19 +46,21 @@ def subject(x: Column) -> Column:
         rest = F.trim(F.regexp_replace(F.regexp_replace(rest, r"\s*\(\s*", " "), r"\s*\)\s*", ""))
         return query_target(F.when(r["office"] != "", r["office"]).otherwise(rest))
 
-    q = search_query(x)
-    return let({"q": q, "office": group(q, OFFICE_OF)}, build)
+    return let({"q": search_query(x)}, lambda r: let({"q": r["q"], "office": group(r["q"], OFFICE_OF)}, build))
 
 
 def intent_term(x: Column) -> Column:
     """latest, comparison, review or reviews. Only the outer words of each list are bound to word borders."""
-    t = F.lower(s(x))
+    return let({"t": F.lower(s(x))}, lambda r: _intent_term(r["t"]))
+
+
+def _intent_term(t: Column) -> Column:
     return F.when(has(t, r"\bprice|available|availability|launched|released?\b"), "latest").when(has(t, r"\bvs|compare|comparison\b"), "comparison").when(has(t, r"\bworth\s+it|best\b"), "review").otherwise("reviews")
 
 
 def is_dated_fact(x: Column) -> Column:
     t = F.lower(s(x))
-    return dates.date_window(t).isNotNull() & has(t, CHANGING)
+    return has(t, CHANGING) & dates.date_window(t).isNotNull()
 
 
 def _two_words(subject: Column) -> Column:
@@ -73,9 +75,9 @@ def is_current_topic(x: Column, about: Column | None = None) -> Column:
 
 def rewrite(x: Column) -> Column:
     """struct(query, subject, intent, fresh): a search request without its command words."""
-    q = F.trim(F.regexp_replace(search_query(x), r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))
-    told = group(q, ASK_TO_SEARCH)
-    raw = search_query(F.regexp_replace(F.regexp_replace(F.when(told != "", told).otherwise(q), r"(?i)^(?:about|on|for)\s+", ""), r"[?.!]+$", ""))
+    def raw(r: Column) -> Column:
+        asked = F.when(r["told"] != "", r["told"]).otherwise(r["q"])
+        return search_query(F.regexp_replace(F.regexp_replace(asked, r"(?i)^(?:about|on|for)\s+", ""), r"[?.!]+$", ""))
 
     def build(r: Column) -> Column:
         t = r["target"]
@@ -85,7 +87,9 @@ def rewrite(x: Column) -> Column:
         return let({"about": subject(t)}, lambda a: told(a["about"]))
 
     empty = F.struct(F.lit("").alias("query"), F.lit("").alias("subject"), F.lit("general").alias("intent"), F.lit(False).alias("fresh"))
-    return F.when(q == "", empty).otherwise(let({"raw": raw}, lambda r: let({"raw": r["raw"], "target": query_target(r["raw"])}, build)))
+    of_raw = lambda raw: let({"raw": raw}, lambda r: let({"raw": r["raw"], "target": query_target(r["raw"])}, build))
+    of_query = lambda r: F.when(r["q"] == "", empty).otherwise(let({"q": r["q"], "told": group(r["q"], ASK_TO_SEARCH)}, lambda r: of_raw(raw(r))))
+    return let({"q": F.trim(F.regexp_replace(search_query(x), r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))}, of_query)
 
 
 def related(query: Column, title: Column, description: Column, label: Column, kind: Column, date: Column) -> Column:
@@ -139,22 +143,26 @@ def jurisdiction(x: Column) -> Column:
 
 def office(x: Column) -> Column:
     """struct(role, property, jurisdiction) of a question for an office; null where it names no office and place."""
-    q = search_query(x)
+    first = let({"q": search_query(x)}, lambda r: F.coalesce(*_offices(r["q"])))
+    return let({"o": first}, lambda r: F.when(F.length(r["o"]["jurisdiction"]) >= 2, r["o"]))
+
+
+def _offices(q: Column) -> list[Column]:
+    """The struct of each known office, null where the question does not name it."""
     found = []
     for role, p, prop in ROLES:
         after = group(q, rf"(?i)(?:{p})\s+(?:of|for|in)\s+(.+?)[?.!]*$")
         before = group(q, rf"(?i)\b(.+?)\s+(?:current\s+|latest\s+)?(?:{p})[?.!]*$")
         place = jurisdiction(F.when(after != "", after).otherwise(before))
         found.append(F.when(has(q, f"(?i){p}"), F.struct(F.lit(role).alias("role"), F.lit(prop).alias("property"), place.alias("jurisdiction"))))
-    first = F.coalesce(*found)
-    return let({"o": first}, lambda r: F.when(F.length(r["o"]["jurisdiction"]) >= 2, r["o"]))
+    return found
 
 
 def holder_name(x: Column) -> Column:
     """A person's name without titles; empty where what is left is none."""
     t = without(s(x), r"(?i)\b(?:the|current|present|incumbent|hon'?ble|honorable|shri|smt|mr|ms|dr)\b\.?", " ")
     t = collapse(F.regexp_replace(t, r"[,;:].*$", " "))
-    return F.when((F.length(t) < 3) | (F.length(t) > 90) | has(t, NOT_A_NAME), "").otherwise(t)
+    return let({"t": t}, lambda r: F.when((F.length(r["t"]) < 3) | (F.length(r["t"]) > 90) | has(r["t"], NOT_A_NAME), "").otherwise(r["t"]))
 
 
 def holder(text: Column, role: str, place: str) -> Column:
@@ -185,10 +193,14 @@ def claim_range(start: Column, end: Column) -> Column:
 
 def contextual(query: Column, anchor: Column) -> Column:
     """A follow-up question with its conversation's anchor, where it does not name what it is about."""
-    q, low = trim(query), F.lower(trim(query))
-    words, about = topic_terms(q), topic_terms(anchor)
-    shared = F.size(F.array_intersect(words, about)) > 0
-    n = F.size(words)
+    parts = lambda r: {"q": r["q"], "anchor": anchor, "low": F.lower(r["q"]), "words": topic_terms(r["q"]), "about": topic_terms(anchor)}
+    return let({"q": trim(query)}, lambda r: let(parts(r), _contextual))
+
+
+def _contextual(r: Column) -> Column:
+    q, low, anchor = r["q"], r["low"], r["anchor"]
+    shared = F.size(F.array_intersect(r["words"], r["about"])) > 0
+    n = F.size(r["words"])
     named = has(q, r"(?i)^(who|what)\s+(?:is|are|was|were)\s+(?:the\s+)?[A-Z][A-Za-z0-9.'-]+(?:\s+[A-Z][A-Za-z0-9.'-]+){0,5}\??$") | has(q, r"(?i)^(tell me about|explain|define)\s+[A-Z][A-Za-z0-9.'-]+(?:\s+[A-Z][A-Za-z0-9.'-]+){0,5}\??$")
     diverted = has(low, r"\b(now|instead|different topic|another topic|new topic|change topic|switch topic)\b") | ((n >= 4) & has(low, r"\b(who is|what is|tell me about)\s+[a-z0-9][a-z0-9\s-]{2,}"))
     vague = has(low, r"\b(it|its|they|them|that|this|these|those|there|same|above|earlier|previous|first match|opening match|that match|that game|who are playing|who is playing)\b") | ((n > 0) & (n <= 3)) | (has(low, r"^(who|what|when|where|which|how)\b") & (n <= 4))

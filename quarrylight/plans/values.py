@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import joins, merge, rank, state
 from ..sources import feeds, payloads, scan
 from . import turns
-from .common import SOURCES, Query, lit, sources, spread, table
+from .common import SOURCES, TASK_ROWS, Query, lit, sources, spread, table
 from .texts import _READ as READ_SQL
 
 ROBOTS_SQL = turns.ORACLE["robots_longest_prefix"]
@@ -37,7 +37,7 @@ def keys() -> tuple[Column, Column]:
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey", TASK_ROWS["orders"])
 
 
 def of(xs: list) -> Column:
@@ -121,7 +121,8 @@ def office_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = cat(F.lit("Welcome. The former governor of Goa was Old Man. "), of(_PEOPLE), F.lit(" is the current governor of Goa . News."))
     name = of(["Hon'ble Shri Ann Lee, MP", "the current minister", "Dr. Bo  Chi"])
     portal = queries.portal_confidence(of(["https://www.x.org/", "https://goa.gov.in/a", "https://blog.net"]), K % 3 == 0)
-    return orders(spark, sf_dir).select("o_orderkey", o["role"].alias("role"), o["property"].alias("property"), o["jurisdiction"].alias("jurisdiction"), queries.holder(page, "governor", "Goa").alias("holder"), queries.holder_name(name).alias("name"), portal.alias("portal"))
+    found = orders(spark, sf_dir).select("o_orderkey", o.alias("o"), queries.holder(page, "governor", "Goa").alias("holder"), queries.holder_name(name).alias("name"), portal.alias("portal"))
+    return found.select("o_orderkey", "o.role", "o.property", "o.jurisdiction", "holder", "name", "portal")
 
 
 @query(
@@ -435,7 +436,8 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     pdf = policy.merged_pdf_text(cat(F.lit("page "), C), cat(F.lit(" page "), C, F.lit(" ")), F.when(K % 2 == 0, " ").otherwise("picture"))
     mark = lambda label, w: F.struct(F.lit(label).alias("label"), F.lit(10.0).alias("x"), F.lit(10.0).alias("y"), F.lit(w).alias("width"), F.lit(5.0).alias("height"))
     marks = policy.overlay_items(F.array(mark(" total ", 20.0), mark("", 20.0), mark("none", 0.0)))
-    return orders(spark, sf_dir).select("o_orderkey", reply["intent"].alias("intent"), reply["response"].alias("response"), reply["thought"].alias("thought"), seen.alias("seen"), card.alias("card"), pdf.alias("pdf"), F.size(marks).alias("marks"))
+    found = orders(spark, sf_dir).select("o_orderkey", reply.alias("r"), seen.alias("seen"), card.alias("card"), pdf.alias("pdf"), F.size(marks).alias("marks"))
+    return found.select("o_orderkey", "r.*", "seen", "card", "pdf", "marks")
 
 
 @query(
