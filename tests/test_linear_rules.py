@@ -63,3 +63,40 @@ def test_tasks_follow_the_rows(spark, tmp_path):
     out = spread(df, "id", 500)
     assert out.rdd.getNumPartitions() == 20 and out.count() == 10_000
     assert max(out.rdd.glom().map(len).collect()) < 700
+
+
+def test_pages_are_read_once(spark):
+    """The condition on a page's text does not read the text again, nor the pages that are not asked for."""
+    from quarrylight import catalog
+
+    from .conftest import SF
+
+    plan = catalog.QUERIES["ranked_readable"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    reads = [line.lstrip(" +-:") for line in plan if "(?is)<main" in line]
+    assert reads and not any(line.startswith("Filter") for line in reads)
+
+
+def test_an_arrival_is_one_entry_of_the_state():
+    import pandas as pd
+
+    from quarrylight.streaming.expiring import Fold, _Expiring
+
+    class Handle:
+        def __init__(self):
+            self.held, self.timers = [], []
+
+        def getValueState(self, *_):
+            return self
+
+        getListState = getValueState
+
+        def appendValue(self, row):
+            self.held.append(row)
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+    handle, keyed = Handle(), _Expiring(Fold((-1,), "until bigint", lambda *_: None, lambda s: None, "id bigint"))
+    keyed.init(handle)
+    list(keyed.handleInputRows(("a",), iter([pd.DataFrame({"t": [3.0, 9.0, None], "id": [1, 2, 3], "x": ["u", None, "w"]})]), None))
+    assert handle.held == [([3, 9], [1, 2], ["u", None])] and handle.timers == [10]
