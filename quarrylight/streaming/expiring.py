@@ -40,6 +40,11 @@ class Fold:
     columns: str
 
 
+def _packed(rows: list[tuple[int, int, str | None]]) -> tuple[list[int], list[int], list[str | None]]:
+    """Rows as one row of columns."""
+    return [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+
+
 class _Expiring(StatefulProcessor):
     def __init__(self, fold: Fold) -> None:
         self.fold, self.names = fold, ["key", *[c.split()[0] for c in fold.columns.split(", ")]]
@@ -47,18 +52,23 @@ class _Expiring(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", self.fold.state)
-        self.waiting = handle.getListState("waiting", "t bigint, id bigint, x string")
+        # the rows of an arrival are one entry of the list, so the store is asked once an arrival and not once a row
+        self.waiting = handle.getListState("waiting", "t array<bigint>, id array<bigint>, x array<string>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        got = [r for pdf in rows for r in zip(pdf["t"].tolist(), pdf["id"].tolist(), pdf["x"].tolist(), strict=True) if pd.notna(r[0]) and pd.notna(r[1])]
-        if got:
-            self.waiting.appendList([(int(t), int(i), x) for t, i, x in got])
-            self.handle.registerTimer(int(max(r[0] for r in got)) + 1)
+        latest = None
+        for pdf in rows:
+            got = [(int(t), int(i), x) for t, i, x in zip(pdf["t"].tolist(), pdf["id"].tolist(), pdf["x"].tolist(), strict=True) if pd.notna(t) and pd.notna(i)]
+            if got:
+                self.waiting.appendValue(_packed(got))
+                latest = max(r[0] for r in got) if latest is None else max(latest, *(r[0] for r in got))
+        if latest is not None:
+            self.handle.registerTimer(latest + 1)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(((r[0], r[1], r[2]) for r in self.waiting.get()), key=lambda r: r[:2])
+        rows = sorted((r for held in self.waiting.get() for r in zip(*held, strict=True)), key=lambda r: r[:2])
         now = tuple(self.state.get()) if self.state.exists() else self.fold.start
         due, later = [r for r in rows if r[0] < passed], [r for r in rows if r[0] >= passed]
         out = []
@@ -66,7 +76,7 @@ class _Expiring(StatefulProcessor):
             now, row = self.fold.step(now, t, i, x)
             out.append((key[0], *row))
         if due:
-            self.waiting.put(later) if later else self.waiting.clear()
+            self.waiting.put([_packed(later)]) if later else self.waiting.clear()
         ends = self.fold.ends(now)
         if ends is not None and ends <= passed:
             self.state.clear()
