@@ -106,16 +106,19 @@ len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'), lambda t: NOT
 len(list_distinct(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.''-]*'))) AS n_identifiers FROM documents""",
 )
 def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's runs of letters and digits are found once; all but two of the columns follow from them."""
     x = F.col("text")
     flat = lambda c: F.array_join(F.sort_array(c), " ")
-    return table(spark, sf_dir, "documents").select(
+    found = table(spark, sf_dir, "documents").select("doc_id", "text", T.runs(x).alias("runs"))
+    found = found.select("doc_id", "text", F.array_distinct("runs").alias("terms"), F.filter("runs", lambda t: F.length(t) > 1).alias("words"))
+    return found.select(
         "doc_id",
-        F.size(T.query_terms(x)).cast("long").alias("n_query_terms"),
-        flat(T.long_terms(x)).alias("long_terms"),
+        F.size("terms").cast("long").alias("n_query_terms"),
+        flat(F.filter("terms", lambda t: F.length(t) > 2)).alias("long_terms"),
         F.size(T.fresh_terms(x)).cast("long").alias("n_fresh_terms"),
-        flat(T.relevance_terms(x)).alias("relevance_terms"),
-        flat(T.topic_terms(x)).alias("topic_terms"),
-        F.size(T.intent_tokens(x)).cast("long").alias("n_intent_tokens"),
+        flat(T.first_terms(F.col("words"), T.STOP_RELEVANCE, 16)).alias("relevance_terms"),
+        flat(T.first_terms(F.col("words"), T.STOP_TOPIC, 16)).alias("topic_terms"),
+        F.size(F.filter("words", lambda t: ~t.isin(T.STOP_INTENT))).cast("long").alias("n_intent_tokens"),
         F.size(T.code_tokens(x)).cast("long").alias("n_identifiers"),
     )
 
