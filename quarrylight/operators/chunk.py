@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
 
+#: Characters of texts after which their chunks go out.
+HELD = 1_000_000
+
 
 def chunks(text: Column, size: int = 1400, overlap: int = 160, most: int | None = 24, collapsed: bool = False) -> Column:
     """Array of chunks. A full-width slice ends after its last space, if that lies beyond 55 per cent of the width; the next one starts ``overlap`` before. Without ``most``, the whole text."""
@@ -51,12 +56,25 @@ def cut(text: str, size: int, overlap: int, most: int | None) -> list[str]:
     return [c for c in out if c]
 
 
+def _cuts(batches: Iterator[pd.Series], size: int, overlap: int, most: int | None) -> Iterator[pd.Series]:
+    for t in batches:
+        out, held = [], 0
+        for x in t:
+            out.append(cut(x, size, overlap, most))
+            held += len(x)
+            if held > HELD:
+                yield pd.Series(out)
+                out, held = [], 0
+        if out:
+            yield pd.Series(out)
+
+
 def explode_chunks(df: DataFrame, text: str, size: int = 1400, overlap: int = 160, most: int | None = 24) -> DataFrame:
-    """One row per chunk: the input's columns, chunk_index, chunk. Long texts are cut in one pass each, an Arrow batch at a time."""
+    """One row per chunk: the input's columns, chunk_index, chunk. Long texts are cut in one pass each. A worker holds the texts of an Arrow batch and the chunks of about ``HELD`` characters of them."""
     size, overlap = max(300, min(2400, size)), max(0, min(400, overlap))
 
     @F.pandas_udf("array<string>")
-    def pieces(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: cut(x, size, overlap, most))
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return _cuts(batches, size, overlap, most)
 
     return df.select("*", F.posexplode(pieces(collapse(F.col(text)))).alias("chunk_index", "chunk"))

@@ -21,10 +21,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import settings, written
 from .rank import top_k
 
 BLOCK = 4096
+#: Rows of an Arrow batch while chunks are made.
+BATCH = 1000
 #: Terms shorter than this are not looked up.
 LEAST = 3
 
@@ -42,7 +44,9 @@ def tokens(text: Column) -> Column:
 
 def build(chunks: DataFrame, key: Column, text: Column, block: int = BLOCK) -> Index:
     """The index of ``chunks``; ``key`` is a column or struct that orders and names them."""
-    rows = written(chunks.select(key.alias("key"), F.lower(F.coalesce(text, F.lit(""))).alias("text")), "chunks")
+    # chunks are cut here: what a Python worker holds follows the rows of a batch
+    with settings(chunks.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH)):
+        rows = written(chunks.select(key.alias("key"), F.lower(F.coalesce(text, F.lit(""))).alias("text")), "chunks")
     blocks = F.lit(max(1, -(-rows.count() // block)))
     each = rows.select("key", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"), F.explode(tokens(F.col("text"))).alias("token"))
     postings = written(each.groupBy("token", "block").agg(F.count(F.lit(1)).alias("n"), F.collect_list("key").alias("keys")), "postings")

@@ -2,9 +2,11 @@
 
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
+from quarrylight.operators import chunk
 from quarrylight.plans import texts
 
 from .conftest import SF
@@ -24,3 +26,12 @@ def test_first_terms_of_spaced_texts(spark):
     got = spark.createDataFrame([(t,) for t in rows], "t string").select(T.relevance_terms(F.col("t")).alias("a"), T.spaced_terms(F.col("t"), ["the"], 3, False).alias("b")).collect()
     plain = lambda t, stop, n: [w for w in re.sub(r"[^a-z0-9\s]", " ", (t or "").lower(), flags=re.A).split() if len(w) > 1 and w not in stop][:n]
     assert [(r.a, r.b) for r in got] == [(list(dict.fromkeys(plain(t, T.STOP_RELEVANCE, 16))), plain(t, ["the"], 3)) for t in rows]
+
+
+def test_chunks_go_out_before_a_batch_ends(spark):
+    one = "word " * 40_000
+    held = [sum(map(len, cuts)) for cuts in chunk._cuts(iter([pd.Series([one] * 50)]), 1400, 160, None)]
+    assert [sum(map(len, x)) for x in chunk._cuts(iter([pd.Series(["a b", "", "c"])]), 1400, 160, None)] == [2] and len(held) > 5 and max(held) * 1400 < 2 * (chunk.HELD + len(one))
+    rows = [(i, one if i % 2 else ("" if i % 3 else "a b")) for i in range(40)]
+    got = chunk.explode_chunks(spark.createDataFrame(rows, "id long, t string").coalesce(1), "t", most=None).collect()
+    assert [(r.id, r.chunk_index, r.chunk) for r in got] == [(i, k, c) for i, t in rows for k, c in enumerate(chunk.cut(t.strip(), 1400, 160, None))]
