@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import text as T
 from quarrylight.operators import chunk
 from quarrylight.plans import texts
+from quarrylight.sources import ingest
 
 from .conftest import SF
 
@@ -35,3 +36,17 @@ def test_chunks_go_out_before_a_batch_ends(spark):
     rows = [(i, one if i % 2 else ("" if i % 3 else "a b")) for i in range(40)]
     got = chunk.explode_chunks(spark.createDataFrame(rows, "id long, t string").coalesce(1), "t", most=None).collect()
     assert [(r.id, r.chunk_index, r.chunk) for r in got] == [(i, k, c) for i, t in rows for k, c in enumerate(chunk.cut(t.strip(), 1400, 160, None))]
+
+
+def test_ingest_makes_its_files_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    rows = [("a.txt", b"The quick brown fox jumps over the lazy dog again and again."), ("b.txt", b"short"), ("c.docx", b"PK no archive"), ("d.pdf", b"%PDF-1.4"), ("e.png", b"x"), ("f.bin", b"y")]
+    files = spark.createDataFrame(rows, "name string, content binary").mapInPandas(count, "name string, content binary")
+    got = ingest.ingest(files).collect()
+    assert {r.name: r.ok for r in got} == {n: n == "a.txt" for n, _ in rows} and made.value == len(rows)
