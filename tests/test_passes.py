@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import text as T
 from quarrylight.operators import chunk
 from quarrylight.plans import texts
-from quarrylight.sources import ingest
+from quarrylight.sources import feeds, ingest
 
 from .conftest import SF
 
@@ -50,3 +50,14 @@ def test_ingest_makes_its_files_once(spark):
     files = spark.createDataFrame(rows, "name string, content binary").mapInPandas(count, "name string, content binary")
     got = ingest.ingest(files).collect()
     assert {r.name: r.ok for r in got} == {n: n == "a.txt" for n, _ in rows} and made.value == len(rows)
+
+
+def test_feeds_find_each_field_once(spark):
+    item = "<item><title>{0}</title><link>{1}</link><description>d {0}</description><pubDate>{2}</pubDate></item>"
+    times = ["Mon, 05 Feb 2024 10:00:00 GMT", "5 Feb 2024 10:00:00 +0530", "05 Feb 2024 10:00:00 +0530", "2024-02-05T10:00:00Z", "5 Feb 2024 10:00:00 EST", "2024-02-05", "Feb 5 2024", "31 Feb 2024 10:00:00 GMT", ""]
+    rows = [("a", "<rss>" + "".join(item.format(f"t{i}", f"https://x.org/{i}", t) for i, t in enumerate(times)) + item.format("", "u", "") + item.format("t", " ", "") + "</rss>"), ("b", None), ("c", '<feed><entry><title>e</title><link href=""/><id>i</id></entry><entry><title>n</title></entry></feed>')]
+    out = feeds.parse_feeds(spark.createDataFrame(rows, "source string, xml string"))
+    utc = ["2024-02-05 10:00:00", "2024-02-05 04:30:00", "2024-02-05 04:30:00", "2024-02-05 10:00:00", "2024-02-05 15:00:00", "2024-02-05 00:00:00", None, None, None]
+    assert [(r.source, r.ord, r.title, r.url, r.summary, r.p) for r in out.withColumn("p", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss")).orderBy("source", "ord").collect()] == [("a", i, f"t{i}", f"https://x.org/{i}", f"d t{i}", p) for i, p in enumerate(utc)] + [("c", 0, "e", "i", "", None)]
+    # an empty field is told from a missing one by a second mention of the same expression
+    assert plan(out).count("(?:[a-z]+:)?title") == 2 and plan(out).count("<item") == 1
