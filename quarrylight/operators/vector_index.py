@@ -10,7 +10,8 @@ so a list that holds a third of all rows spreads over many tasks. Of vectors wit
 the others are left out before anything is dealt, map-side first, and equal queries are asked once.
 
 Defined cases: vectors of another length than the fitted one have a list of their own per length; an empty vector has no neighbours but others of its
-list, with score 0; fewer than ``k`` vectors in the probed lists give fewer rows; ties fall to the smaller id; empty tables give empty results.
+list, with score 0; a null vector stands in no list, and a null query gets the ``k`` smallest ids of all vectors, as in ``cosine_topk``; fewer than
+``k`` vectors in the probed lists give fewer rows; ties fall to the smaller id; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import best_of_blocks, cosine_topk, top_k
+from .rank import best_of_blocks, block_entry, cosine_topk, top_k
 
 SAMPLE = 20_000
 MOST_LISTS = 4096
@@ -33,13 +34,13 @@ class Index:
     centroids: np.ndarray  # (lists, dimension), unit rows
 
     def near(self, v: Column, probes: int) -> Column:
-        """The ``probes`` lists nearest to a vector, nearest first; a vector of another length has the list ``-1 - length``."""
+        """The ``probes`` lists nearest to a vector, nearest first; a vector of another length has the list ``-1 - length``, a null one none."""
         c, n = self.centroids, min(probes, len(self.centroids))
 
         @F.pandas_udf("array<int>")
         def lists(vs: pd.Series) -> pd.Series:
-            out: list[np.ndarray] = [np.array([-1 - len(v)], dtype=np.int32) for v in vs]
-            fits = [i for i, v in enumerate(vs) if len(v) == c.shape[1] and n]
+            out: list[np.ndarray | None] = [None if v is None else np.array([-1 - len(v)], dtype=np.int32) for v in vs]
+            fits = [i for i, v in enumerate(vs) if v is not None and len(v) == c.shape[1] and n]
             if fits:
                 x = np.stack([vs.iloc[i] for i in fits])
                 for i, row in zip(fits, np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :n], strict=True):
@@ -69,6 +70,7 @@ def fit(vectors: DataFrame, lists: int | None = None, sample: int = SAMPLE, roun
 
 def probes_for(index: Index, queries: DataFrame, vectors: DataFrame, k: int = 10, recall: float = 0.95, asked: int = 200) -> int:
     """The least number of probes at which at least ``recall`` of the exact ``k`` nearest of ``asked`` sampled queries are found."""
+    queries, vectors = queries.filter("q IS NOT NULL"), vectors.filter("v IS NOT NULL")
     some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(asked)
     exact = cosine_topk(some, vectors, k).select("query_id", "vec_id")
     home = vectors.select("vec_id", F.element_at(index.near(F.col("v"), 1), 1).alias("list"))
@@ -90,20 +92,22 @@ def _blocks(rows: DataFrame, entry: Column, block: int, at: str) -> DataFrame:
 
 def search(index: Index, queries: DataFrame, vectors: DataFrame, k: int = 10, probes: int = 8, block: int = 512) -> DataFrame:
     """query_id, vec_id, place: for each of ``queries`` (query_id, q) the ``k`` best of ``vectors`` (vec_id, v) in its ``probes`` nearest lists."""
-    first = Window.partitionBy("v").orderBy("vec_id")
-    held = vectors.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k).select(
+    first = Window.partitionBy("v").orderBy(F.asc_nulls_last("vec_id"))
+    held = vectors.filter("v IS NOT NULL").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k).select(
         F.col("vec_id").alias("id"), "vec_id", "v", F.element_at(index.near(F.col("v"), 1), 1).alias("list")
     )
-    one = queries.groupBy("q").agg(F.min("query_id").alias("query_id"))
+    one = queries.filter("q IS NOT NULL").groupBy("q").agg(F.min("query_id").alias("query_id"))
     asked = one.select(F.col("query_id").alias("id"), "query_id", "q", F.explode(index.near(F.col("q"), probes)).alias("list"))
-    v = _blocks(held, F.struct("vec_id", "v"), block, "vb")
+    v = _blocks(held, block_entry(), block, "vb")
     q = _blocks(asked, F.struct("query_id", "q"), block, "qb").withColumnRenamed("n", "qn")
     # a block of queries goes once to each block of vectors of its list
     spread = q.join(v.groupBy("list").agg(F.max("n").alias("n")), "list").withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
     pairs = spread.join(v.drop("n"), ["list", "vb"]).select("qb_rows", "vb_rows")
-    best = top_k(pairs.mapInPandas(best_of_blocks(k), "query_id long, vec_id long, x double"), k, [F.desc("x"), F.col("vec_id")], ["query_id"], "place")
+    best = top_k(pairs.mapInPandas(best_of_blocks(k), "query_id long, vec_id long, x double"), k, [F.desc("x"), F.asc_nulls_last("vec_id")], ["query_id"], "place")
     same = queries.join(one.select(F.col("query_id").alias("asked"), F.col("q")), "q").select("query_id", "asked")
-    return best.select(F.col("query_id").alias("asked"), "vec_id", F.col("place").cast("int").alias("place")).join(same, "asked").select("query_id", "vec_id", "place")
+    found = best.select(F.col("query_id").alias("asked"), "vec_id", F.col("place").cast("int").alias("place")).join(same, "asked").select("query_id", "vec_id", "place")
+    least = top_k(vectors.select("vec_id"), k, [F.asc_nulls_last("vec_id")], rank="place").select("vec_id", F.col("place").cast("int").alias("place"))
+    return found.unionByName(queries.filter("q IS NULL").select("query_id").join(F.broadcast(least)))  # k rows
 
 
 def recall_of(found: DataFrame, exact: DataFrame) -> float:

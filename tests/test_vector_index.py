@@ -1,5 +1,6 @@
 """The inverted file against exact neighbours."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +52,29 @@ def test_registered_query_finds_nine_tenths(spark, name):
     found = catalog.QUERIES[name](spark, SF)
     assert vector_index.recall_of(found, exact) >= 0.9
     assert found.select("query_id").distinct().count() == u.filter("vec_id % 20 = 0").count()
+
+
+def test_null_vectors(spark, tmp_path):
+    """A null vector is no error: it comes after all others, and as a query gets the smallest ids, as the SQL has it."""
+    r = np.random.default_rng(5)
+    rows = [(i, None if i in (0, 7, 40) else [float(x) for x in r.normal(size=8).round(3)], 0) for i in range(60)]
+    rows += [(None, rows[20][1], 0), (2**60 + 1, rows[20][1], 0)]  # without an id: after its equals
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    e.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {tuple(x) for x in con.execute(catalog.ORACLE["cosine_topk_batch"]).fetchall()}
+    assert [x[1] for x in sorted(want, key=lambda x: x[2]) if x[0] == 40] == list(range(10))
+    assert {(20, 20, 1), (20, 2**60 + 1, 2), (20, None, 3)} < want
+    assert {tuple(x) for x in catalog.QUERIES["cosine_topk_batch"](spark, str(tmp_path)).collect()} == want
+    got = catalog.QUERIES["vector_index_topk"](spark, str(tmp_path)).collect()
+    assert len(got) == 30 and len({(x.query_id, x.vec_id) for x in got} & {x[:2] for x in want}) >= 27
+    assert {(20, 20, 1), (20, 2**60 + 1, 2), (20, None, 3)} < {tuple(x) for x in got}
+    # few vectors: null ones take the last places of the exact search
+    u = e.filter("vec_id < 9").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    found = rank.cosine_topk(u.filter("vec_id = 1").selectExpr("vec_id AS query_id", "v AS q"), u, 10, block=2).orderBy("place").collect()
+    assert [x.vec_id for x in found][-2:] == [0, 7] and len(found) == 9
+    none = u.filter("v IS NULL").selectExpr("vec_id", "v")
+    asked = none.selectExpr("vec_id AS query_id", "v AS q")
+    index = vector_index.fit(none)
+    assert sorted(tuple(x) for x in vector_index.search(index, asked, none, 2, vector_index.probes_for(index, asked, none)).collect()) == [(0, 0, 1), (0, 7, 2), (7, 0, 1), (7, 7, 2)]
