@@ -1,9 +1,13 @@
 """Queries over whole tables, held against plain versions."""
 
+import random
+import re
+
 import duckdb
 from pyspark.sql import functions as F
 
 from quarrylight import catalog
+from quarrylight.functions import rules
 from quarrylight.functions import text as T
 from quarrylight.operators import evidence, rank
 from quarrylight.plans.common import QUERY, sources
@@ -84,3 +88,34 @@ def test_grounding_confidence_of_odd_rows_is_the_sqls(spark, tmp_path):
     want = con.execute(catalog.ORACLE["grounding_confidence"]).fetchall()
     got = catalog.QUERIES["grounding_confidence"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(want) == 140
+
+
+def test_route_reads_messages_to_their_end(spark, tmp_path):
+    """What decides a route may stand after any number of characters; the SQL says the same."""
+    fill = "ertion of thoning " * 40
+    ends = ["weather in Testville", "bitcoin price now", "who was ceo in 2023", "explain physics", "show all customers where total over 3", "reviews of device", "latest news", "price of a hotel, open now", ""]
+    texts = [fill + e for e in ends] + [e + " " + fill for e in ends] + [a + " " + fill + b for a in ("find", "news", "now", "store", "quote") for b in ("rows, sum", "latest", "stock", "best", "btc")] + ["\n" + fill * 200 + "quote btc", None]
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.read.parquet(f"{SF}/orders.parquet").limit(24).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    for t in ("conversations", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = {tuple(r) for r in catalog.QUERIES["route_messages"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(catalog.ORACLE["route_messages"]).fetchall())
+    said = {r[0]: r[3] for r in got}
+    assert [said[i] for i in range(6)] == ["weather", "crypto", "web_search", "stable_knowledge", "sql_generation", "web_search"]
+    assert next(r[4] for r in got if r[0] == 3) == 0.56
+
+
+def test_ordered_patterns_in_one_look(spark):
+    """``A.*B`` by the first A alone gives what the plain pattern gives, and a text of many A takes no look each."""
+    found = [p for p in [rules.SQL_VERB, *rules.NO_FREE_SOURCE, *[c[2] for c in rules.CATEGORIES]] if ".*" in p]
+    rnd = random.Random(11)
+    words = [w for w in dict.fromkeys(w for p in found for w in re.findall("[a-z' ]{3,}", p)) if w.strip()] + ["x", "é", "today's", "shown", "btc_"]
+    texts = [rnd.choice([" ", "", "é", "_"]).join(rnd.choice([w, w.upper()]) + rnd.choice([" ", " ", "-", "é"]) for w in rnd.choices(words, k=rnd.randint(1, 12))) for _ in range(3000)]
+    t = F.col("t")
+    df = spark.createDataFrame([(x,) for x in texts], "t string").repartition(4)
+    r = df.select(*[F.sum((T.has(t, p) != rules._in_turn(t, p)).cast("int")).alias(f"w{i}") for i, p in enumerate(found)], *[F.count_if(T.has(t, p)).alias(f"n{i}") for i, p in enumerate(found)]).first()
+    assert len(found) == 5 and [r[f"w{i}"] for i in range(5)] == [0] * 5 and all(100 < r[f"n{i}"] < 2900 for i in range(5))
+    many = spark.createDataFrame([("show news latex " * 40_000,)], "t string")
+    assert many.select(*[rules._in_turn(t, p).alias(f"p{i}") for i, p in enumerate(found)]).first()[0] is False
